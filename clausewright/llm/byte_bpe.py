@@ -25,6 +25,7 @@ from clausewright.llm._shared import blocks, mix, span_hashes
 
 #: Distinct pre-tokens that a task remembers before it forgets all of them.
 REMEMBERED = 400_000
+_WARM: dict[bytes, dict] = {}
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -95,7 +96,17 @@ class ByteBpe:
         self._start()
 
     def _start(self):
-        self.rank = {t: i for i, t in enumerate(self.tokens)}
+        rank = {t: i for i, t in enumerate(self.tokens)}
+        halves = ((t, i, rank.get(t[:k]), rank.get(t[k:])) for i, t in enumerate(self.tokens) for k in range(1, len(t)))
+        none: dict[int, int] = {}
+        #: By its first token, the rank of each pair of tokens that make a token together.
+        self.joins = [none] * len(self.tokens)
+        for _, i, a, b in halves:
+            if a is not None and b is not None:
+                if self.joins[a] is none:
+                    self.joins[a] = {}
+                self.joins[a][b] = i
+        self.byte = [rank[bytes([c])] for c in range(256)]
         self.split = regex.compile(self.pattern).findall
         self._forget()
 
@@ -107,40 +118,45 @@ class ByteBpe:
         return {"tokens": self.tokens, "pattern": self.pattern, "hash": self.hash}
 
     def __setstate__(self, state):
-        self.__dict__ |= state
-        self._start()
+        name = hashlib.sha256(b"\0".join([state["pattern"].encode(), *state["tokens"]])).digest()
+        if name not in _WARM:  # a worker that runs many tasks resolves a pre-token once
+            self.__dict__ |= state
+            self._start()
+            _WARM.clear()
+            _WARM[name] = self.__dict__
+        self.__dict__ = _WARM[name]
 
     def merge(self, piece: bytes) -> list[int]:
         """Tier two: ids of a pre-token that isn't in the vocabulary."""
-        n, rank, tokens = len(piece), self.rank, self.tokens
-        ids = [rank[piece[i : i + 1]] for i in range(n)]
+        n, joins = len(piece), self.joins
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        ids = [self.byte[c] for c in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [rank.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        heap = [(r, i) for i, r in enumerate(pair) if r >= 0]
+        pair = [joins[a].get(b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        pair.append(-1)
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]  # rank first, then place
         heapify(heap)
         while heap:
-            r, i = heappop(heap)
+            top = heappop(heap)
+            r, i = top >> bits, top & place
             if pair[i] != r:
                 continue
             gone = after[i]
-            ids[i], pair[gone] = r, -1
-            after[i] = nxt = after[gone]
+            nxt, back = after[gone], before[i]
+            ids[i], ids[gone], pair[gone], after[i] = r, -1, -1, nxt
             if nxt < n:
                 before[nxt] = i
-                pair[i] = new = rank.get(tokens[r] + tokens[ids[nxt]], -1)
+                pair[i] = new = joins[r].get(ids[nxt], -1)
                 if new >= 0:
-                    heappush(heap, (new, i))
+                    heappush(heap, new << bits | i)
             else:
                 pair[i] = -1
-            if (back := before[i]) >= 0:
-                pair[back] = new = rank.get(tokens[ids[back]] + tokens[r], -1)
+            if back >= 0:
+                pair[back] = new = joins[ids[back]].get(r, -1)
                 if new >= 0:
-                    heappush(heap, (new, back))
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
+                    heappush(heap, new << bits | back)
+        return [i for i in ids if i >= 0]
 
     def _learn(self, new: list[bytes]) -> None:
         likely, tokens = self.hash.find(new).tolist(), self.tokens
