@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import byte_bpe, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, simhash, warc
+from clausewright.llm import byte_bpe, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, simhash, suffix_dedup, warc
 from clausewright.llm._shared import shared_path
 
 
@@ -43,6 +43,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), bpe, digests=True)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -63,5 +67,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_warc, op2_quality_rules, op3_simhash, op4_licences, op5_byte_bpe, op7_decontamination, op8_language_id, op9_masked_lm, op10_knn_quality)
+    made = (op1_warc, op2_quality_rules, op3_simhash, op4_licences, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_language_id, op9_masked_lm, op10_knn_quality)
     return {f.__name__: f for f in made}

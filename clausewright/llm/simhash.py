@@ -186,9 +186,11 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     Rows of an index bucket meet in one task only up to 2 * BUCKET of them; a larger bucket is cut into
     blocks, and each pair of blocks is a group by itself. A group reports a spanning forest of its links.
     """
-    keyed = distinct.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = keyed.join(sizes, "key").withColumn("k", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(n, "fp")  # each row becomes 64
+    keyed = spread.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
+    live = keyed.join(hot, "key", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / F.lit(BUCKET)), F.lit(1)).cast("int"))
     own = F.expr("cast(pmod(xxhash64(fp, 7L), k) as int)")
     dealt = (
         live.withColumn("own", own)
