@@ -43,8 +43,8 @@ class HashedGrams:
             for k in range(n):
                 packed |= block.buf[k : k + len(packed)].astype(np.uint64) << np.uint64(8 * k)
             ids = (mix(packed + np.uint64(n)) >> shift).astype(np.int64)
-            lo = block.bounds[:-1]
-            out.append((ids, lo, np.maximum(block.bounds[1:] - n, lo)))  # the line feed behind a text is no part of it
+            lo = np.minimum(block.bounds[:-1], len(ids))  # a short last text has none
+            out.append((ids, lo, np.clip(block.bounds[1:] - n, lo, len(ids))))  # the line feed behind a text is no part of it
         return [(ids + (g << self.bits), lo, hi) for g, (ids, lo, hi) in enumerate(out)]
 
     def means(self, block: Block, tables: np.ndarray) -> np.ndarray:
