@@ -91,32 +91,44 @@ class HashedGrams:
 
 
 class Rows:
-    """Collected sparse rows of a bounded training sample."""
+    """Collected sparse rows of a bounded training sample, one behind the other; products take ``CHUNK`` rows at a time."""
+
+    CHUNK = 256
 
     def __init__(self, packed: list[tuple[bytes, bytes]], size: int):
         self.size, self.n = size, len(packed)
-        idx = [np.frombuffer(i, np.int32) for i, _ in packed]
-        self.idx = np.concatenate([*idx, np.empty(0, np.int32)])
-        self.val = np.concatenate([*(np.frombuffer(v, np.float32) for _, v in packed), np.empty(0, np.float32)])
-        self.row = np.repeat(np.arange(self.n), [len(i) for i in idx]) if idx else np.empty(0, np.int64)
+        self.idx = np.frombuffer(b"".join(i for i, _ in packed), np.int32)
+        self.val = np.frombuffer(b"".join(v for _, v in packed), np.float32)
+        self.first = np.concatenate([[0], np.cumsum([len(i) // 4 for i, _ in packed], dtype=np.int64)])
 
     def take(self, rows: np.ndarray) -> Rows:
-        out, where = object.__new__(Rows), np.full(self.n, -1)
-        where[rows] = np.arange(len(rows))
-        keep = where[self.row] >= 0
-        out.size, out.n = self.size, len(rows)
-        out.idx, out.val, out.row = self.idx[keep], self.val[keep], where[self.row[keep]]
-        return out
+        if len(rows) == self.n:
+            return self
+        spans = [(self.first[r], self.first[r + 1]) for r in rows]
+        return Rows([(self.idx[a:b].tobytes(), self.val[a:b].tobytes()) for a, b in spans], self.size)
+
+    def _chunks(self):
+        for lo in range(0, self.n, self.CHUNK):
+            hi = min(lo + self.CHUNK, self.n)
+            a, b = self.first[lo], self.first[hi]
+            yield lo, hi, np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1])), self.idx[a:b], self.val[a:b]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.idx], self.n)
+        out = np.zeros(self.n)
+        for lo, hi, row, idx, val in self._chunks():
+            out[lo:hi] = np.bincount(row, val * w[idx], hi - lo)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.idx, self.val * g[self.row], self.size)
+        out = np.zeros(self.size)
+        for lo, hi, row, idx, val in self._chunks():
+            out += np.bincount(idx, val * g[lo:hi][row], self.size)
+        return out
 
     def dense(self) -> np.ndarray:
         out = np.zeros((self.n, self.size), np.float32)
-        out[self.row, self.idx] = self.val
+        for lo, _, row, idx, val in self._chunks():
+            out[lo + row, idx] = val
         return out
 
 

@@ -89,6 +89,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     lang = np.array([r.lang for r in data], object)
     family = np.array([family_of(x) for x in lang], object)
     x, langs, machines = Rows([(r.idx, r.val) for r in data], GRAMS.size), sorted(set(lang)), {}
+    del data
 
     def machine(at: np.ndarray, positive: np.ndarray):
         y = np.where(positive, 1.0, -1.0)

@@ -87,12 +87,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     if len(set(y)) < 2:
         share = np.mean(y > 0) if len(y) else 1.0
         return QualityModel(np.zeros(GRAMS.size), shift=60.0 * (2 * share - 1))
-    data = Rows([(r.idx, r.val) for r in sample], GRAMS.size)
     fold = np.arange(len(y)) % 5 == 4
-    fit, held = np.flatnonzero(~fold), np.flatnonzero(fold)
-    weights, bias = fit_linear(data.take(fit), y[fit], "logistic")
-    scores = data.take(held).dot(weights) + bias
-    return QualityModel(weights, bias, *_calibrate(scores, y[held]))
+    fit, held = (Rows([(r.idx, r.val) for r, f in zip(sample, fold, strict=True) if f == part], GRAMS.size) for part in (False, True))
+    del sample
+    weights, bias = fit_linear(fit, y[~fold], "logistic")
+    return QualityModel(weights, bias, *_calibrate(held.dot(weights) + bias, y[fold]))
 
 
 def apply_rules(
