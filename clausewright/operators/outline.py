@@ -22,19 +22,20 @@ class OutlineSpec:
     subitem: str = rf"^\s*[(（]({T.NUMERAL}+|[0-9]+|[a-zA-Z])[)）]\s*"
 
 
-def headings(text: Column, pattern: str) -> Column:
-    """array<struct<no, title, start, body>> of the headings in a text and what stands below each."""
+def headings(text: Column, pattern: str, stripped: bool = True) -> Column:
+    """array<struct<no, title, start, body>> of the headings in a text and what stands below each, stripped or as it is."""
     marked = F.regexp_replace(text, f"(?mdU){pattern}", "\x01$1\x02$2\x03$0\x04")
     parts = F.split(marked, "\x01", -1)
     empty = F.array().cast("array<struct<no:string,title:string,start:int,body:string>>")
 
     def add(state, part):
         behind = F.substring_index(part, "\x03", -1)
+        below = F.substring_index(part, "\x04", -1)
         head = F.struct(
             F.substring_index(part, "\x02", 1).alias("no"),
             T.strip(F.substring_index(F.substring_index(part, "\x03", 1), "\x02", -1)).alias("title"),
             state["at"].alias("start"),
-            T.strip(F.substring_index(part, "\x04", -1)).alias("body"),
+            (T.strip(below) if stripped else below).alias("body"),
         )
         return F.struct((state["at"] + F.length(behind) - 1).alias("at"), F.concat(state["out"], F.array(head)).alias("out"))
 

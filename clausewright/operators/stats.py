@@ -38,3 +38,15 @@ def quality_summary(intents: DataFrame) -> DataFrame:
         F.round(F.avg(q), 9).alias("mean_score"), count((q < 0.8) & F.col("item_no").isNull()).alias("n_low"),
         count(q > 0.9).alias("n_high"), count((q >= 0.8) & (q <= 0.9)).alias("n_middle"), count(q < 0.8).alias("n_below"),
     )
+
+
+def avg_intents_per_clause(chunks: DataFrame, intents: DataFrame) -> DataFrame:
+    """Intents divided by clauses; null without clauses."""
+    both = chunks.agg(F.count("*").alias("c")).crossJoin(F.broadcast(intents.agg(F.count("*").alias("i"))))  # one row each
+    return both.select(F.round(F.try_divide("i", "c"), 9).alias("avg_intents"))
+
+
+def token_usage_summary(answers: DataFrame) -> DataFrame:
+    """Questions, total tokens (missing counts as 0) and their mean, which is null without questions."""
+    tokens = F.coalesce(F.col("usage.total_tokens"), F.lit(0))
+    return answers.agg(F.count("*").alias("n_questions"), F.coalesce(F.sum(tokens), F.lit(0)).alias("total_tokens"), F.round(F.avg(tokens), 6).alias("avg_tokens"))
