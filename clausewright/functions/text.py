@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMERAL = "[一二三四五六七八九十百]"
 # Entity patterns by kind, and what counts as a reference.
 ENTITIES = {
@@ -17,8 +19,8 @@ PREVIOUS = dict(zip("二三四五六七八九十", "一二三四五六七八九"
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of any script from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Remove white space of any script from both ends; trimming by characters does not search the whole text as a pattern does."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_page_numbers(text: Column) -> Column:

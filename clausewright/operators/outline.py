@@ -60,7 +60,9 @@ def split_clauses(docs: DataFrame, spec: OutlineSpec | None = None) -> DataFrame
 def _numbered(text: Column, pattern: str, build) -> Column:
     parts = F.split(F.regexp_replace(text, f"(?mdU){pattern}", "\x01$1\x02"), "\x01", -1)
     found = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.transform(found, lambda p: build(F.substring_index(p, "\x02", 1), T.strip(F.substring_index(p, "\x02", -1))))
+    # Two steps: a lambda's text would be cut anew for each of its uses, an array's element is not.
+    pairs = F.transform(found, lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("no"), T.strip(F.substring_index(p, "\x02", -1)).alias("text")))
+    return F.transform(pairs, lambda q: build(q["no"], q["text"]))
 
 
 def _described(text: Column) -> list[Column]:

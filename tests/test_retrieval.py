@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 import zlib
 
@@ -161,7 +162,9 @@ def test_streamed_history_equals_batch(spark, tmp_path):
     rows = [(c, i, "user" if i % 2 == 0 or w in ("clear", "quit") else "assistant", w) for c in (1, 2) for i, w in enumerate(said)]
     for n, part in enumerate((rows[:5], rows[5:])):
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("conv_id", "seq", "role", "content"), r, strict=True))) for r in part))
+        file = tmp_path / "in" / f"{n}.json"
+        file.write_text("\n".join(json.dumps(dict(zip(("conv_id", "seq", "role", "content"), r, strict=True))) for r in part))
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))  # files stream in order of their times
     schema = "conv_id long, seq long, role string, content string"
     stream = live.stream_history(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
