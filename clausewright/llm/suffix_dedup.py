@@ -7,6 +7,11 @@ the first of each goes on with its bytes. There a task takes runs in order of (d
 a suffix array (its suffixes in order, as far as ``length`` bytes), which is merge-scanned against the levels of the index, then joins them; levels
 of about equal size merge, so their number is logarithmic. Levels are dropped when their hash has been dealt with.
 
+A frequent hash (a passage with other neighbours in very many documents) would be one large group. Summaries of bounded size find all
+such hashes beforehand. Their runs are dealt by what they hold instead of by the hash, and their strings go to the suffix arrays one by
+one, each dealt by its own hash. Within a batch only the first of equal ones travels with its bytes. So no group grows with the documents that
+share a passage, but for one narrow row a batch, and the result is the same.
+
 The text is shuffled once, by doc_id; what finds the runs, what cuts out their bytes, and what removes the spans reuse that exchange.
 
 Cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; matches never cross documents; equal
@@ -24,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import Block, blocks, span_hashes
+from clausewright.llm._shared import Block, blocks, materialise, mix, span_hashes
 
 LENGTH = 100
 GRAM = 32
 #: Strings in one batch of the index.
 BATCH = 1 << 16
+#: A hash is frequent with at least HOT runs, if they are also one in SHARE of all; none with three in SHARE is missed. So at most SHARE
+#: hashes (half a megabyte) are sent to the tasks.
+HOT, SHARE = 1024, 1 << 16
 _LAST = (1 << 63) - 1
-RUN = "part long, known boolean, h long, s long, doc_id long, start long, n long"
+RUN = "part long, known boolean, hot boolean, h long, s long, doc_id long, start long, n long"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,12 +74,44 @@ def block_runs(block: Block, length: int, gram: int):
 
 
 def _columns(names: list[str], arrays: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
+
+
+def summarise(keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Add up counts by key and keep at most ``size`` keys, each count too low by at most one in ``size`` of all (Misra and Gries)."""
+    keys, at = np.unique(keys, return_inverse=True)
+    counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+    if len(keys) > size:
+        counts -= np.partition(counts, -size - 1)[-size - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
+
+
+def frequent_hashes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, least: int | None = None, share: int | None = None) -> np.ndarray:
+    """The sorted hashes of very many runs, from one bounded summary a task; the texts aren't shuffled."""
+    least, share = least or HOT, share or SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                h = block_runs(block, length, gram)[0].view(np.int64)
+                keys, counts = summarise(np.concatenate([keys, h]), np.concatenate([counts, np.ones(len(h), np.int64)]), share)
+                total += len(h)
+        keep = counts * share >= total
+        h, n = pa.array([None, *keys[keep].tolist()], pa.int64()), pa.array([total, *counts[keep].tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([h, n], names=["h", "n"])
+
+    counted = materialise(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    total = counted.filter("h is null").first()
+    rows = counted.filter(F.col("h").isNotNull() & (F.col("n") >= max(least, (total.n if total else 0) / share))).select("h").collect()
+    return np.sort(np.array([r.h for r in rows], np.int64))
 
 
-def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> DataFrame:
     """All runs; of equal ones in an Arrow batch only the first is open, the others are ``known`` and dealt by doc_id."""
     names = [f.split()[0] for f in RUN.split(", ")]
+    frequent = np.zeros(0, np.int64) if frequent is None else frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,25 +127,30 @@ def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             same = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
             known = np.zeros(len(h), bool)
             known[1:] = same & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
-            yield _columns(names, [np.where(known, doc, h), known, h, s, doc, start, n])
+            hot = np.isin(h, frequent)
+            part = np.where(hot, mix((h ^ s).view(np.uint64)).view(np.int64), h)
+            yield _columns(names, [np.where(known, doc, part), known, hot, h, s, doc, start, n])
 
     return docs.select("doc_id", "text").mapInArrow(run, RUN)
 
 
 def resolve_runs(found: DataFrame) -> DataFrame:
-    """(h, doc_id, start, n, repeated): runs that repeat an earlier one, and the first of each of several different runs of a hash."""
+    """(h, doc_id, start, n, hot, repeated): runs that repeat an earlier one, and the first of each of several different runs of a hash.
+
+    Runs of a frequent hash are spread over tasks; the first of each goes on whether others differ or not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last, first, waiting = ["h", "doc_id", "start", "n", "repeated"], None, None, None
+        names, last, first, waiting = ["h", "doc_id", "start", "n", "hot", "repeated"], None, None, None
 
-        def out(rows, repeated):
-            return _columns(names, [*(np.asarray(x, np.int64) for x in rows), np.full(len(rows[0]), repeated)])
+        def out(rows, hot, repeated):
+            return _columns(names, [*(np.asarray(x, np.int64) for x in rows), np.asarray(hot, bool), np.full(len(rows[0]), repeated)])
 
         for batch in batches:
-            known, h, s, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            known, hot, h, s, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
             if known.any():
-                yield out([x[known] for x in (h, doc, start, n)], True)
-                h, s, doc, start, n = (x[~known] for x in (h, s, doc, start, n))
+                yield out([x[known] for x in (h, doc, start, n)], hot[known], True)
+                hot, h, s, doc, start, n = (x[~known] for x in (hot, h, s, doc, start, n))
             if not len(h):
                 continue
             before = [np.concatenate([[last[i] if last else 0], x[:-1]]) for i, x in enumerate((h, s))]
@@ -119,39 +164,67 @@ def resolve_runs(found: DataFrame) -> DataFrame:
             first_doc = np.where(head >= 0, doc[heads[head]] if len(heads) else 0, first[0] if first else 0)
             first_start = np.where(head >= 0, start[heads[head]] if len(heads) else 0, first[1] if first else 0)
             repeated = ~new_s & ((doc != first_doc) | (start != first_start))
-            yield out([x[repeated] for x in (h, doc, start, n)], True)
+            yield out([x[repeated] for x in (h, doc, start, n)], hot[repeated], True)
             if len(heads):
                 if waiting is not None and not new_h[heads[0]]:
-                    yield out([[x] for x in waiting], False)
+                    yield out([[x] for x in waiting], [False], False)
                 follows = np.append(~new_h[heads[1:]], False)
-                mixed = heads[~new_h[heads] | follows]
-                yield out([x[mixed] for x in (h, doc, start, n)], False)
+                mixed = heads[~new_h[heads] | follows | hot[heads]]
+                yield out([x[mixed] for x in (h, doc, start, n)], hot[mixed], False)
                 k = heads[-1]
-                waiting = (h[k], doc[k], start[k], n[k]) if new_h[k] else None
+                waiting = (h[k], doc[k], start[k], n[k]) if new_h[k] and not hot[k] else None
             last, first = (h[-1], s[-1]), (first_doc[-1], first_start[-1])
 
     sorted_runs = found.repartition("part").sortWithinPartitions("part", "h", "s", "doc_id", "start")
-    return sorted_runs.mapInArrow(run, "h long, doc_id long, start long, n long, repeated boolean")
+    return sorted_runs.mapInArrow(run, "h long, doc_id long, start long, n long, hot boolean, repeated boolean")
+
+
+def _places(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    """Of the strings of some runs: number of the run, doc_id, start in the text, place in the runs' bytes."""
+    sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
+    counts, begin = sizes - length + 1, np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(rows)), counts)
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    doc, start = (np.array([r[i] for r in rows], np.int64)[owner] for i in (1, 2))
+    return owner, doc, start + offset, begin[owner] + offset
+
+
+def single_strings(rows: list[tuple[int, int, int, bytes]], length: int) -> list[list]:
+    """The strings of runs one by one: hash, doc_id, start, bytes. All but the first of equal ones have no bytes, and doc_id as hash."""
+    data = b"".join(r[3] for r in rows)
+    _, doc, start, at = _places(rows, length)
+    key = span_hashes(np.frombuffer(data + b"\n", np.uint8), at, at + length).view(np.int64)
+    order = np.lexsort((start, doc, key))
+    key, doc, start, at = (x[order] for x in (key, doc, start, at))
+    known = np.zeros(len(key), bool)
+    known[1:] = (key[1:] == key[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+    content = [None if again else data[k : k + length] for again, k in zip(known.tolist(), at.tolist(), strict=True)]
+    return [np.where(known, doc, key), doc, start, content]
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(h, doc_id, start, content): the bytes of some runs, cut from their texts."""
+    """(h, doc_id, start, content): the bytes of some runs, cut from their texts; those of frequent hashes string by string."""
+
+    def out(rows, hot) -> Iterator[pa.RecordBatch]:
+        for columns in ([list(zip(*rows, strict=True))] if rows else []) + ([single_strings(hot, length)] if hot else []):
+            arrays = [*(pa.array(np.asarray(c, np.int64)) for c in columns[:3]), pa.array(columns[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "doc_id", "start", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
+            rows, hot, size = [], [], 0
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.cast(pa.large_binary()).as_py() or b""
                 for span in spans.as_py():
-                    rows.append((span["h"], doc, span["start"], data[span["start"] : span["start"] + span["n"] + length - 1]))
-                    size += len(rows[-1][3])
-                if size > 1 << 22:
-                    yield _columns(["h", "doc_id", "start", "content"], list(zip(*rows, strict=True)))
-                    rows, size = [], 0
-            if rows:
-                yield _columns(["h", "doc_id", "start", "content"], list(zip(*rows, strict=True)))
-
-    spans = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("spans"))  # of one text
+                    content = data[span["start"] : span["start"] + span["n"] + length - 1]
+                    (hot if span["hot"] else rows).append((span["h"], doc, span["start"], content))
+                    size += len(content)
+                    if size > 1 << 22:
+                        yield from out(rows, hot)
+                        rows, hot, size = [], [], 0
+            yield from out(rows, hot)
+
+    spans = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n", "hot")).alias("spans"))  # of one text
     return docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "h long, doc_id long, start long, content binary")
 
 
@@ -177,15 +250,12 @@ class SuffixIndex:
 
 
 def repeated_strings(cut: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, n): runs of strings that an earlier run of the same hash has, found by suffix arrays."""
+    """(doc_id, start, n): runs of strings that an earlier run of the same hash has, found by suffix arrays; rows without bytes are known."""
 
     def scan(rows: list[tuple[int, int, int, bytes]], index: SuffixIndex) -> tuple[pa.RecordBatch, np.ndarray]:
-        sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
-        counts, begin = sizes - length + 1, np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(rows)), counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        owner, doc, place, at = _places(rows, length)
         buf = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        strings = np.lib.stride_tricks.sliding_window_view(buf, length)[begin[owner] + offset]
+        strings = np.lib.stride_tricks.sliding_window_view(buf, length)[at]
         strings = np.ascontiguousarray(strings).view(f"S{length}").ravel()
         suffixes = np.argsort(strings, kind="stable")  # the batch's suffix array; equal ones stay in order of place
         ordered = strings[suffixes]
@@ -195,18 +265,23 @@ def repeated_strings(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         hit = np.zeros(len(strings), bool)
         hit[suffixes[found]] = True
         start = hit.copy()
-        start[1:] &= ~hit[:-1] | (offset[1:] == 0)
+        start[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
         first = np.flatnonzero(start)
         n = np.add.reduceat(hit.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        doc = np.array([r[1] for r in rows], np.int64)[owner[first]]
-        at = np.array([r[2] for r in rows], np.int64)[owner[first]] + offset[first]
         tail = np.array([r[0] == rows[-1][0] for r in rows])[owner[suffixes]]
-        return _columns(["doc_id", "start", "n"], [doc, at, n]), ordered[tail & ~found]
+        return _columns(["doc_id", "start", "n"], [doc[first], place[first], n]), ordered[tail & ~found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, index, current = [], 0, SuffixIndex(), None
+        rows, size, index, current, last = [], 0, SuffixIndex(), None, None
         for batch in batches:
+            if batch.column(3).null_count:
+                known = batch.filter(batch.column(3).is_null())
+                yield _columns(["doc_id", "start", "n"], [known.column(1), known.column(2), pa.array(np.ones(known.num_rows, np.int64))])
+                batch = batch.filter(batch.column(3).is_valid())
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] == last:
+                    continue  # a repeated row isn't an earlier place
+                last = row[:3]
                 if size >= BATCH:
                     if current != rows[0][0]:
                         index = SuffixIndex()
@@ -264,7 +339,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").repartition(n, "doc_id")
-    resolved = resolve_runs(runs(dealt, length, gram))
+    resolved = resolve_runs(runs(dealt, length, gram, frequent_hashes(docs, length, gram)))
     parts = repeated_strings(run_bytes(dealt, resolved.filter("not repeated"), length), length)
     spans = resolved.filter("repeated").select("doc_id", "start", "n").unionByName(parts)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # of one text

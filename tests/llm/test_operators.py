@@ -191,16 +191,32 @@ def test_suffix_dedup(spark, docs, cases, empty, monkeypatch):
     rng = np.random.default_rng(0)
     base = "".join(rng.choice(list("abcdé"), 3000))
     cut = [(i, base[a : a + n] + ("" if i % 3 else base[b : b + 150])) for i, (a, n, b) in enumerate(zip(*rng.integers(0, (2800, 600, 2800), (150, 3)).T, strict=True))]
-    cut += [(500, "a" * 5000), (501, "a" * 99), (502, "ab" * 3000), (505, "x" * 100), (506, "x" * 101)]
+    cut += [(500, "a" * 5000), (501, "a" * 99), (502, "ab" * 3000), (505, "x" * 100), (506, "x" * 101), (600, "y" + base[:400] + "z"), (600, "y" + base[:400] + "z")]
     made = spark.createDataFrame([(int(i), t) for i, t in cut], "doc_id long, text string")
-    for table in (docs, cases, made):
-        rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
-        want = brute_removed(rows, 100)
-        got = suffix_dedup.deduplicate(table).collect()
-        assert len(got) == len(rows) and all(tuple(r)[1:5] == want[r.doc_id] for r in got)
+    # Then with frequent hashes: some, and all that occur twice.
+    for least, tables in ((suffix_dedup.HOT, (docs, cases, made)), (20, (docs, made)), (2, (cases, made))):
+        monkeypatch.setattr(suffix_dedup, "HOT", least)
+        for table in tables:
+            rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+            want = brute_removed(rows, 100)
+            got = suffix_dedup.deduplicate(table).collect()
+            assert len(got) == len(rows) and all(tuple(r)[1:5] == want[r.doc_id] for r in got)
+    assert len(suffix_dedup.frequent_hashes(made)) > 10
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+def test_frequent_hash_summary():
+    rng = np.random.default_rng(1)
+    stream = np.concatenate([np.repeat(np.arange(5), 400), rng.integers(10, 10**9, 3000)])
+    rng.shuffle(stream)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in np.array_split(stream, 40):
+        keys, counts = suffix_dedup.summarise(np.concatenate([keys, part]), np.concatenate([counts, np.ones(len(part), np.int64)]), 50)
+        assert len(keys) <= 50
+    found = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    assert all(400 - len(stream) / 50 <= found[k] <= 400 for k in range(5))
+
+
 # 7
 def test_decontamination(spark, cases, empty):
     items = [("b", "one two three four five six seven eight nine ten eleven"), ("a", "Short ITEM"), ("c", "..."), ("d", None), ("e", "ONE two three four five six seven eight nine ten")]
