@@ -105,17 +105,27 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     return LanguageModel(langs, machines)
 
 
+def _decided(texts: pa.Array, model: LanguageModel | None) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """First row, number of rows, languages and scores, block by block."""
+    for block in blocks(texts, lambda t: t.translate(LOWER_AZ)):
+        lang, score = model.decide(GRAMS.means(block, model.tables) + model.bias) if model else (["und"] * len(block), np.zeros(len(block)))
+        yield block.lo, len(block), lang, score
+
+
+def _has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), lambda t: t.translate(LOWER_AZ)):
-                lang, score = model.decide(GRAMS.means(block, model.tables) + model.bias) if model else (["und"] * len(block), np.zeros(len(block)))
-                rest = [batch.column(i).slice(block.lo, len(block)) for i in (0, 2)]
+            for lo, n, lang, score in _decided(batch.column(1), model):
+                rest = [batch.column(i).slice(lo, n) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "letters", "lang", "score"])
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _has_letter().alias("letters"))
     found = ready.mapInArrow(run, "doc_id long, letters boolean, lang string, score double")
     return found.select(
         "doc_id",
@@ -126,7 +136,18 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """Documents that have a language: rows that are ``und`` go; all columns stay."""
-    model = model or train(docs)
-    known = identify(docs, model).filter("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi")
+    """Rows that have a language, with all columns: rows predicted as ``und`` go.
+
+    Each row is judged by its own text as it passes, so nothing is shuffled, and rows without doc_id or with a repeated one are judged alike.
+    """
+    model, at, names = model or train(docs), docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, lang, _ in _decided(batch.column(at), model):
+                part = batch.slice(lo, n)
+                known = pa.array([x != "und" for x in lang], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(known) for c in part.columns], names=names)
+
+    # A text without a letter is ``und`` whatever the machines say.
+    return docs.filter(_has_letter()).mapInArrow(run, docs.schema)

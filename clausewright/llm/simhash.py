@@ -241,6 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The documents whose doc_id names its class: one of each group, with all columns of docs."""
-    first = near_duplicates(docs, width, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One document of each class, that whose doc_id names it, with all columns of docs.
+
+    Repeated rows of it stay repeated. Rows without doc_id can't name a class: they stay.
+    """
+    named = near_duplicates(docs, width, distance).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = named.filter("not first").withColumnRenamed("doc_id", "d")
+    return docs.join(gone, docs["doc_id"] == gone["d"], "left_anti")

@@ -302,18 +302,18 @@ def repeated_strings(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and mark (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, spans, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data, pieces, at, removed, count = text.cast(pa.large_binary()).as_py() or b"", [], 0, 0, 0
                 for begin, end in merged(spans.as_py() or ()):
                     pieces.append(data[at:begin])
                     at, removed, count = end, removed + end - begin, count + 1
                 kept = b"".join([*pieces, data[at:]])
-                rows.append((None if doc == _LAST else doc, len(data), removed, count, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((None if doc == _LAST else doc, len(data), removed, count, hashlib.sha256(kept).hexdigest(), kept, mark))
                 size += len(kept)
                 if size > 1 << 23:
                     yield result(rows)
@@ -332,16 +332,16 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             yield begin, end
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "mark"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").repartition(n, "doc_id")
     resolved = resolve_runs(runs(dealt, length, gram, frequent_hashes(docs, length, gram)))
     parts = repeated_strings(run_bytes(dealt, resolved.filter("not repeated"), length), length)
     spans = resolved.filter("repeated").select("doc_id", "start", "n").unionByName(parts)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # of one text
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return dealt.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, mark long"
+    return dealt.join(spans, "doc_id", "left").select("doc_id", "text", "spans", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)

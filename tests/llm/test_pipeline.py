@@ -27,3 +27,16 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in now.collect()}[5] == rows[4][1][: -len(same) - 1]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted(r.doc_id for r in out.collect()) == [1, 5]
+
+
+def test_stages_keep_repeated_and_unnamed_rows(spark, tmp_path):
+    """Repeated rows, null doc_ids and extra columns whose names clash with the operators' own."""
+    same = "A passage that stands in more than one of these documents, word for word, and that is longer than one hundred bytes. "
+    rows = [(1, "the house by the lake is old and " + same, "x"), (2, "a garden with red and white flowers " + same, "y"), (2, "a garden with red and white flowers " + same, "y"), (None, "someone walks along the quiet street at night", "z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k, k, k) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, d string, kept string, mark string")
+    spark.createDataFrame([(1, "unrelated words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns and sorted(r.kept for r in now.collect()) == ["x", "y", "y", "z"]
+    assert {r.kept: r.text for r in now.collect()} == {"x": rows[0][1], "y": rows[1][1][:35], "z": rows[3][1]}
