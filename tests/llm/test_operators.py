@@ -264,6 +264,58 @@ def test_masked_lm(docs, cases, empty):
     assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
 
 
+def test_masked_lm_knows_words(spark):
+    """Texts whose words are exchanged for others of the same class, or out of order, are less likely; by brute force too."""
+    rng = np.random.default_rng(4)
+    made = [[f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("rin", "sin")][k::4] for k in range(4)]  # all end alike
+    text = lambda: " ".join(w for k in rng.integers(0, 25, 12) for w in (made[0][k], made[1][k], made[2][k], made[3][k]))
+    train = spark.createDataFrame([(i, text()) for i in range(400)] + [(1000 + i, " ".join([f"top{i}"] * 200)) for i in range(95)], "doc_id long, text string").repartition(3)
+    model = masked_lm.train(train)
+    fluent = [text() for _ in range(20)]
+    flat = sum(made, [])
+    exchanged = [" ".join(rng.permutation(flat)[: len(t.split())]) for t in fluent]
+    shuffled = [" ".join(rng.permutation(t.split())) for t in fluent]
+    rows = [(100 * k + i, t) for k, group in enumerate((fluent, exchanged, shuffled)) for i, t in enumerate(group)] + [(900, "qqq zzzrin"), (None, fluent[0]), (5, fluent[0])]
+    got = {r.doc_id: r for r in masked_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    mean = lambda k: np.mean([got[100 * k + i].mean_log_prob for i in range(20)])
+    assert mean(0) > mean(1) + 1 and mean(0) > mean(2) + 1
+    assert len(got) == 62 and got[None].log_prob == got[5].log_prob == got[0].log_prob
+
+    texts = [r.text for r in train.collect()]
+    block = lambda t: next(_shared.blocks(__import__("pyarrow").array([t])))
+    kinds = {}
+
+    def parts(t):
+        words, kind = t.split(), model.vocabulary.classes(block(t))[0]
+        kinds.update(zip(words, kind.tolist(), strict=True))
+        rare = lambda i: 0 <= i < len(words) and kind[i] >= masked_lm.FREQUENT
+        for i, w in enumerate(words):
+            if rare(i):
+                right = not rare(i - 1) and rare(i + 1)
+                yield w, (right, words[i + 1] if right else words[i - 1] if i else None)
+
+    pairs = Counter(p for t in texts for p in parts(t))
+    single, context, sizes, types = Counter(), Counter(), Counter(), Counter()
+    for (w, q), n in pairs.items():
+        single[w] += n
+        context[kinds[w], q] += n - 1
+    for w, n in single.items():
+        sizes[kinds[w]] += n
+        types[kinds[w]] += 1
+    for d, t in [(0, fluent[0]), (100, exchanged[0]), (200, shuffled[0]), (900, "qqq zzzrin")]:
+        want = model.log_probabilities(block(t))[1][0]
+        for w, q in parts(t):
+            c, chars = kinds[w], w.encode()
+            spelled = np.exp(sum(model.spelling[a * 256 + b] for a, b in zip(b" " + chars, chars + b" ", strict=True)))
+            if sizes[c]:
+                alone = (max(single[w] - 1, 0) + types[c] * spelled) / sizes[c]
+                share = max(pairs[w, q] - 1, 0) / context[c, q] if context[c, q] else 0
+                want += np.log(masked_lm.INTERPOLATED * share + (1 - masked_lm.INTERPOLATED) * alone) - np.log(spelled)
+            else:
+                want += np.log(1 - masked_lm.INTERPOLATED)
+        assert abs(got[d].log_prob - want) < 1e-3
+
+
 # 10
 def test_knn_quality(spark, docs, cases, empty):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
