@@ -1,9 +1,10 @@
 """Removal of repeated byte strings by logarithmic families of suffix arrays (operator 6).
 
-A byte goes if a ``length``-byte string that covers it also starts earlier (smaller doc_id, or earlier in the document). Each such string is
+A byte goes if a ``length``-byte string that covers it also starts earlier (smaller doc_id, or earlier in the document; texts with
+one doc_id, or with none, are in order of their hashes). Each such string is
 dealt by its least k-gram hash, so equal strings meet; consecutive strings that share the gram travel as one run. Runs are
 first compared by hash: a run that equals an earlier one is repeated as a whole. Of hashes that have several different runs,
-the first of each goes on with its bytes. There a task takes runs in order of (doc_id, start), a batch at a time: the batch gets
+the first of each goes on with its bytes. There a task takes runs in order of (doc_id, text hash, start), a batch at a time: the batch gets
 a suffix array (its suffixes in order, as far as ``length`` bytes), which is merge-scanned against the levels of the index, then joins them; levels
 of about equal size merge, so their number is logarithmic. Levels are dropped when their hash has been dealt with.
 
@@ -12,11 +13,11 @@ such hashes beforehand. Their runs are dealt by what they hold instead of by the
 one, each dealt by its own hash. Within a batch only the first of equal ones travels with its bytes. So no group grows with the documents that
 share a passage, but for one narrow row a batch, and the result is the same.
 
-The text is shuffled once, by doc_id; what finds the runs, what cuts out their bytes, and what removes the spans reuse that exchange.
+The text is shuffled once, by doc_id and text hash; what finds the runs, what cuts out their bytes, and what removes the spans reuse that exchange.
 
 Cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; matches never cross documents; equal
 texts keep the one with the smallest doc_id whole; rows that repeat a doc_id with its text are treated alike and none makes the
-other go; a null doc_id counts as the largest; an empty table gives an empty result; extra columns are ignored.
+other go; a null doc_id counts as the largest, and different texts with one doc_id or without are documents of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ BATCH = 1 << 16
 #: hashes (half a megabyte) are sent to the tasks.
 HOT, SHARE = 1024, 1 << 16
 _LAST = (1 << 63) - 1
-RUN = "part long, known boolean, hot boolean, h long, s long, doc_id long, start long, n long"
+RUN = "part long, known boolean, hot boolean, h long, s long, doc_id long, mark long, start long, n long"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,6 +74,11 @@ def block_runs(block: Block, length: int, gram: int):
     return least[starts], span_hashes(buf, starts, ends + length - 1), text, starts - block.bounds[text], ends - starts
 
 
+def _elsewhere(*place: np.ndarray) -> np.ndarray:
+    """Which places differ from the one before."""
+    return np.any([x[1:] != x[:-1] for x in place], axis=0)
+
+
 def _columns(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
 
@@ -109,48 +115,48 @@ def frequent_hashes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lea
 
 
 def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> DataFrame:
-    """All runs; of equal ones in an Arrow batch only the first is open, the others are ``known`` and dealt by doc_id."""
+    """All runs; of equal ones in an Arrow batch only the first is open, the others are ``known`` and dealt by document."""
     names = [f.split()[0] for f in RUN.split(", ")]
     frequent = np.zeros(0, np.int64) if frequent is None else frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(zero_copy_only=False), []
+            ids, marks, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), []
             for block in blocks(batch.column(1)):
                 h, s, text, start, n = block_runs(block, length, gram)
-                found.append((h.view(np.int64), s.view(np.int64), ids[block.lo + text], start, n))
+                found.append((h.view(np.int64), s.view(np.int64), ids[block.lo + text], marks[block.lo + text], start, n))
             if not found:
                 continue
-            h, s, doc, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, doc, s, h))
-            h, s, doc, start, n = (x[order] for x in (h, s, doc, start, n))
+            h, s, doc, mark, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, mark, doc, s, h))
+            h, s, doc, mark, start, n = (x[order] for x in (h, s, doc, mark, start, n))
             same = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
             known = np.zeros(len(h), bool)
-            known[1:] = same & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+            known[1:] = same & _elsewhere(doc, mark, start)
             hot = np.isin(h, frequent)
             part = np.where(hot, mix((h ^ s).view(np.uint64)).view(np.int64), h)
-            yield _columns(names, [np.where(known, doc, part), known, hot, h, s, doc, start, n])
+            yield _columns(names, [np.where(known, doc ^ mark, part), known, hot, h, s, doc, mark, start, n])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RUN)
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, RUN)
 
 
 def resolve_runs(found: DataFrame) -> DataFrame:
-    """(h, doc_id, start, n, hot, repeated): runs that repeat an earlier one, and the first of each of several different runs of a hash.
+    """(h, doc_id, mark, start, n, hot, repeated): runs that repeat an earlier one, and the first of each of several different runs of a hash.
 
     Runs of a frequent hash are spread over tasks; the first of each goes on whether others differ or not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last, first, waiting = ["h", "doc_id", "start", "n", "hot", "repeated"], None, None, None
+        names, last, first, waiting = ["h", "doc_id", "mark", "start", "n", "hot", "repeated"], None, None, None
 
         def out(rows, hot, repeated):
             return _columns(names, [*(np.asarray(x, np.int64) for x in rows), np.asarray(hot, bool), np.full(len(rows[0]), repeated)])
 
         for batch in batches:
-            known, hot, h, s, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            known, hot, h, s, doc, mark, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
             if known.any():
-                yield out([x[known] for x in (h, doc, start, n)], hot[known], True)
-                hot, h, s, doc, start, n = (x[~known] for x in (hot, h, s, doc, start, n))
+                yield out([x[known] for x in (h, doc, mark, start, n)], hot[known], True)
+                hot, h, s, doc, mark, start, n = (x[~known] for x in (hot, h, s, doc, mark, start, n))
             if not len(h):
                 continue
             before = [np.concatenate([[last[i] if last else 0], x[:-1]]) for i, x in enumerate((h, s))]
@@ -161,71 +167,70 @@ def resolve_runs(found: DataFrame) -> DataFrame:
             # The place of the first equal run, which may lie in an earlier batch.
             heads = np.flatnonzero(new_s)
             head = np.searchsorted(heads, np.arange(len(h)), side="right") - 1
-            first_doc = np.where(head >= 0, doc[heads[head]] if len(heads) else 0, first[0] if first else 0)
-            first_start = np.where(head >= 0, start[heads[head]] if len(heads) else 0, first[1] if first else 0)
-            repeated = ~new_s & ((doc != first_doc) | (start != first_start))
-            yield out([x[repeated] for x in (h, doc, start, n)], hot[repeated], True)
+            firsts = [np.where(head >= 0, x[heads[head]] if len(heads) else 0, first[i] if first else 0) for i, x in enumerate((doc, mark, start))]
+            repeated = ~new_s & np.any([x != y for x, y in zip((doc, mark, start), firsts, strict=True)], axis=0)
+            yield out([x[repeated] for x in (h, doc, mark, start, n)], hot[repeated], True)
             if len(heads):
                 if waiting is not None and not new_h[heads[0]]:
                     yield out([[x] for x in waiting], [False], False)
                 follows = np.append(~new_h[heads[1:]], False)
                 mixed = heads[~new_h[heads] | follows | hot[heads]]
-                yield out([x[mixed] for x in (h, doc, start, n)], hot[mixed], False)
+                yield out([x[mixed] for x in (h, doc, mark, start, n)], hot[mixed], False)
                 k = heads[-1]
-                waiting = (h[k], doc[k], start[k], n[k]) if new_h[k] and not hot[k] else None
-            last, first = (h[-1], s[-1]), (first_doc[-1], first_start[-1])
+                waiting = (h[k], doc[k], mark[k], start[k], n[k]) if new_h[k] and not hot[k] else None
+            last, first = (h[-1], s[-1]), tuple(x[-1] for x in firsts)
 
-    sorted_runs = found.repartition("part").sortWithinPartitions("part", "h", "s", "doc_id", "start")
-    return sorted_runs.mapInArrow(run, "h long, doc_id long, start long, n long, hot boolean, repeated boolean")
+    sorted_runs = found.repartition("part").sortWithinPartitions("part", "h", "s", "doc_id", "mark", "start")
+    return sorted_runs.mapInArrow(run, "h long, doc_id long, mark long, start long, n long, hot boolean, repeated boolean")
 
 
-def _places(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
-    """Of the strings of some runs: number of the run, doc_id, start in the text, place in the runs' bytes."""
-    sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
+def _places(rows: list[tuple[int, int, int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    """Of the strings of some runs: number of the run, doc_id, hash of the text, start in the text, place in the runs' bytes."""
+    sizes = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))
     counts, begin = sizes - length + 1, np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(rows)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    doc, start = (np.array([r[i] for r in rows], np.int64)[owner] for i in (1, 2))
-    return owner, doc, start + offset, begin[owner] + offset
+    doc, mark, start = (np.array([r[i] for r in rows], np.int64)[owner] for i in (1, 2, 3))
+    return owner, doc, mark, start + offset, begin[owner] + offset
 
 
-def single_strings(rows: list[tuple[int, int, int, bytes]], length: int) -> list[list]:
-    """The strings of runs one by one: hash, doc_id, start, bytes. All but the first of equal ones have no bytes, and doc_id as hash."""
-    data = b"".join(r[3] for r in rows)
-    _, doc, start, at = _places(rows, length)
+def single_strings(rows: list[tuple[int, int, int, int, bytes]], length: int) -> list[list]:
+    """The strings of runs one by one: hash, doc_id, mark, start, bytes. All but the first of equal ones have no bytes, and their document as hash."""
+    data = b"".join(r[4] for r in rows)
+    _, doc, mark, start, at = _places(rows, length)
     key = span_hashes(np.frombuffer(data + b"\n", np.uint8), at, at + length).view(np.int64)
-    order = np.lexsort((start, doc, key))
-    key, doc, start, at = (x[order] for x in (key, doc, start, at))
+    order = np.lexsort((start, mark, doc, key))
+    key, doc, mark, start, at = (x[order] for x in (key, doc, mark, start, at))
     known = np.zeros(len(key), bool)
-    known[1:] = (key[1:] == key[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+    known[1:] = (key[1:] == key[:-1]) & _elsewhere(doc, mark, start)
     content = [None if again else data[k : k + length] for again, k in zip(known.tolist(), at.tolist(), strict=True)]
-    return [np.where(known, doc, key), doc, start, content]
+    return [np.where(known, doc ^ mark, key), doc, mark, start, content]
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(h, doc_id, start, content): the bytes of some runs, cut from their texts; those of frequent hashes string by string."""
+    """(h, doc_id, mark, start, content): the bytes of some runs, cut from their texts; those of frequent hashes string by string."""
 
     def out(rows, hot) -> Iterator[pa.RecordBatch]:
         for columns in ([list(zip(*rows, strict=True))] if rows else []) + ([single_strings(hot, length)] if hot else []):
-            arrays = [*(pa.array(np.asarray(c, np.int64)) for c in columns[:3]), pa.array(columns[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h", "doc_id", "start", "content"])
+            arrays = [*(pa.array(np.asarray(c, np.int64)) for c in columns[:4]), pa.array(columns[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "doc_id", "mark", "start", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hot, size = [], [], 0
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, spans, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = text.cast(pa.large_binary()).as_py() or b""
                 for span in spans.as_py():
                     content = data[span["start"] : span["start"] + span["n"] + length - 1]
-                    (hot if span["hot"] else rows).append((span["h"], doc, span["start"], content))
+                    (hot if span["hot"] else rows).append((span["h"], doc, mark, span["start"], content))
                     size += len(content)
                     if size > 1 << 22:
                         yield from out(rows, hot)
                         rows, hot, size = [], [], 0
             yield from out(rows, hot)
 
-    spans = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n", "hot")).alias("spans"))  # of one text
-    return docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "h long, doc_id long, start long, content binary")
+    spans = wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("h", "start", "n", "hot")).alias("spans"))  # of one text
+    return docs.join(spans, ["doc_id", "mark"]).select("doc_id", "text", "spans", "mark").mapInArrow(run, "h long, doc_id long, mark long, start long, content binary")
 
 
 class SuffixIndex:
@@ -250,11 +255,11 @@ class SuffixIndex:
 
 
 def repeated_strings(cut: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, n): runs of strings that an earlier run of the same hash has, found by suffix arrays; rows without bytes are known."""
+    """(doc_id, mark, start, n): runs of strings that an earlier run of the same hash has, found by suffix arrays; rows without bytes are known."""
 
-    def scan(rows: list[tuple[int, int, int, bytes]], index: SuffixIndex) -> tuple[pa.RecordBatch, np.ndarray]:
-        owner, doc, place, at = _places(rows, length)
-        buf = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    def scan(rows: list[tuple[int, int, int, int, bytes]], index: SuffixIndex) -> tuple[pa.RecordBatch, np.ndarray]:
+        owner, doc, mark, place, at = _places(rows, length)
+        buf = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
         strings = np.lib.stride_tricks.sliding_window_view(buf, length)[at]
         strings = np.ascontiguousarray(strings).view(f"S{length}").ravel()
         suffixes = np.argsort(strings, kind="stable")  # the batch's suffix array; equal ones stay in order of place
@@ -269,19 +274,19 @@ def repeated_strings(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         first = np.flatnonzero(start)
         n = np.add.reduceat(hit.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         tail = np.array([r[0] == rows[-1][0] for r in rows])[owner[suffixes]]
-        return _columns(["doc_id", "start", "n"], [doc[first], place[first], n]), ordered[tail & ~found]
+        return _columns(["doc_id", "mark", "start", "n"], [doc[first], mark[first], place[first], n]), ordered[tail & ~found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, index, current, last = [], 0, SuffixIndex(), None, None
         for batch in batches:
-            if batch.column(3).null_count:
-                known = batch.filter(batch.column(3).is_null())
-                yield _columns(["doc_id", "start", "n"], [known.column(1), known.column(2), pa.array(np.ones(known.num_rows, np.int64))])
-                batch = batch.filter(batch.column(3).is_valid())
+            if batch.column(4).null_count:
+                known = batch.filter(batch.column(4).is_null())
+                yield _columns(["doc_id", "mark", "start", "n"], [known.column(1), known.column(2), known.column(3), pa.array(np.ones(known.num_rows, np.int64))])
+                batch = batch.filter(batch.column(4).is_valid())
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] == last:
+                if row[:4] == last:
                     continue  # a repeated row isn't an earlier place
-                last = row[:3]
+                last = row[:4]
                 if size >= BATCH:
                     if current != rows[0][0]:
                         index = SuffixIndex()
@@ -294,11 +299,11 @@ def repeated_strings(cut: DataFrame, length: int = LENGTH) -> DataFrame:
                         index.add(fresh)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3]) - length + 1
+                size += len(row[4]) - length + 1
         if rows:
             yield scan(rows, index if current == rows[0][0] else SuffixIndex())[0]
 
-    return cut.repartition("h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(run, "doc_id long, start long, n long")
+    return cut.repartition("h").sortWithinPartitions("h", "doc_id", "mark", "start").mapInArrow(run, "doc_id long, mark long, start long, n long")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -338,10 +343,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "mark"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").repartition(n, "doc_id")
+    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    dealt = dealt.repartition(n, "doc_id", "mark")
     resolved = resolve_runs(runs(dealt, length, gram, frequent_hashes(docs, length, gram)))
     parts = repeated_strings(run_bytes(dealt, resolved.filter("not repeated"), length), length)
-    spans = resolved.filter("repeated").select("doc_id", "start", "n").unionByName(parts)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # of one text
+    spans = resolved.filter("repeated").select("doc_id", "mark", "start", "n").unionByName(parts)
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # of one text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, mark long"
-    return dealt.join(spans, "doc_id", "left").select("doc_id", "text", "spans", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
+    return dealt.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", "mark").mapInArrow(run, schema)

@@ -205,6 +205,25 @@ def test_suffix_dedup(spark, docs, cases, empty, monkeypatch):
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("least", [suffix_dedup.HOT, 2])
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark, monkeypatch, least):
+    """Different texts without doc_id, or with one doc_id, are documents of their own: clean text stays, shared passages go."""
+    monkeypatch.setattr(suffix_dedup, "HOT", least)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, other = word(160), word(140)
+    for same in (None, 7):
+        rows = [(same, shared + word(200)), (same, shared + word(300)), (same, word(500)), (same, word(30) + other + word(90)), (same, word(80) + other), (3, word(50) + other)]
+        table = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string").repartition(3)
+        marks = {r.text: r.m for r in table.select("text", F.xxhash64("text").alias("m")).collect()}
+        order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, marks[r[1]]))
+        want = dict(zip((marks[t] for _, t in order), brute_removed([(k, t) for k, (_, t) in enumerate(order)], 100).values(), strict=True))
+        got = suffix_dedup.deduplicate(table).collect()
+        assert len(got) == 7 and all(tuple(r)[1:5] == want[r.mark] for r in got)
+        assert sorted(r.doc_id for r in got if r.doc_id is not None) == [3] + [7] * (6 if same else 0)
+        assert want[marks[rows[2][1]]][1] == 0 and sum(w[1] > 0 for w in want.values()) == 3
+
+
 def test_frequent_hash_summary():
     rng = np.random.default_rng(1)
     stream = np.concatenate([np.repeat(np.arange(5), 400), rng.integers(10, 10**9, 3000)])
