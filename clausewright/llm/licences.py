@@ -6,6 +6,9 @@ size; the sequence of identifiers of a document is matched, left to right, again
 Cases: null and empty texts, and texts without a known sentence, have no licences; sentences between two known ones don't separate
 them; a repeated licence is listed once, in order of first appearance, and counted each time; identifiers that no rule takes are reported as
 ``unmatched``; repeated documents stay repeated; an empty table gives an empty result; extra columns are ignored.
+
+By default a line break ends a sentence, as in the operator's SQL. With ``wrapped`` a sentence may run over lines, as canonical notices do, and the
+tables NOTICES and NOTICE_RULES join the others.
 """
 
 from __future__ import annotations
@@ -58,6 +61,38 @@ RULES = (
     ("CC0-1.0", ("cc0-short",)),
     ("all-rights-reserved", ("reserved",)),
 )
+# Whole sentences of canonical notices that the table above has only in part, and their rules. For wrapped scans.
+NOTICES = {
+    "apache-at": "you may obtain a copy of the license at",
+    "apache-url": "http www apache org licenses license 2 0",
+    "apache-urls": "https www apache org licenses license 2 0",
+    "mit-whole": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "gpl3-whole": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-whole": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+}
+NOTICE_RULES = (
+    ("Apache-2.0", ("apache-1", "apache-2", "apache-at", "apache-url")),
+    ("Apache-2.0", ("apache-1", "apache-2", "apache-at", "apache-urls")),
+    ("MIT", ("mit-2", "mit-whole")),
+    ("GPL-3.0-or-later", ("gpl3-whole",)),
+    ("GPL-2.0-or-later", ("gpl2-whole",)),
+)
+
+
+def unwrapped(text, known: dict[str, str]):
+    """The text with one sentence a line: known sentences that a line holds whole are set apart, then other lines of a paragraph are joined.
+
+    Paragraphs end at lines without a letter or digit, at colons that end a line, and before numbered items.
+    """
+    phrase = "|".join("[^a-z0-9\\n]+".join(s.split()) for s in sorted(known.values(), key=len, reverse=True))
+    apart = rf"(?im)(^|[.!?;][ \t]+)[^a-z0-9\n]*({phrase})(?=[.!?;][ \t]|[^a-z0-9\n]*$)"
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    text = F.regexp_replace(text, apart, "\n\n$0\n\n")
+    text = F.regexp_replace(text, r"\n[ \t*/#;-]*[0-9]{1,3}[.)][ \t]+", "\n\n")
+    text = F.regexp_replace(text, r":[ \t]*\n", "\n\n")
+    text = F.regexp_replace(text, r"\n([^A-Za-z0-9\n]*\n)+", "\u0001")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n", " "), r"(?i)\bv\.\s+", "v ")  # no end of a sentence
+    return F.regexp_replace(text, "\u0001", "\n")
 
 
 def sentences(text):
@@ -66,16 +101,18 @@ def sentences(text):
     return F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
 
-def recognised(docs: DataFrame, known: dict[str, str] = SENTENCES) -> DataFrame:
+def recognised(docs: DataFrame, known: dict[str, str] = SENTENCES, wrapped: bool = False) -> DataFrame:
     """(doc_id, mark, place, sid): known sentences of each document; mark is a hash of the text."""
     table = docs.sparkSession.createDataFrame([(s, i) for i, s in known.items()], "sentence string, sid string")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    text = unwrapped(F.col("text"), known) if wrapped else F.col("text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(sentences(text)).alias("place", "sentence"))
     return rows.join(F.broadcast(table), "sentence").select("doc_id", "mark", "place", "sid")  # a table of fixed size
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES, wrapped: bool = False) -> DataFrame:
     """One row per document: doc_id, licences, n_matches, n_sentences, unmatched."""
-    found = recognised(docs, known).distinct().groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("place", "sid"))).alias("s"))
+    known, rules = (known | NOTICES, (*rules, *NOTICE_RULES)) if wrapped else (known, rules)
+    found = recognised(docs, known, wrapped).distinct().groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("place", "sid"))).alias("s"))
     chain = F.array_join(F.transform("s", lambda x: F.concat(F.lit("<"), x["sid"], F.lit(">"))), "")
     ordered = sorted(rules, key=lambda r: -len(r[1]))  # stable: the given order among equals
     keys = {"".join(f"<{i}>" for i in ids): name for name, ids in ordered}

@@ -156,6 +156,60 @@ def test_licences(spark, cases, empty):
     assert licences.scan(cases).filter("n_matches = 0").count() == cases.count() and licences.scan(empty).count() == 0
 
 
+NOTICES = {
+    "Apache-2.0": """Copyright 2020 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS.""",
+    "MIT": """The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "GPL-2.0-or-later": """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation; either version 2
+# of the License, or (at your option) any later version.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+}
+
+
+def test_licences_in_wrapped_notices(spark, docs):
+    rows = [(name, text) for name, text in NOTICES.items()] + [(name + "+", text.replace("\n", "\r\n")) for name, text in NOTICES.items()]
+    got = {r.doc_id: (r.licences, r.n_matches, r.unmatched) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), wrapped=True).collect()}
+    assert got == {i: ([i.rstrip("+")], 1, []) for i, _ in rows}
+    # What lines hold whole is found as without wrapping.
+    text = "words that go on\nAll rights reserved. Some\nmore words; licensed under CC BY 4.0\nReleased under the MIT License\nand so on.\nAll rights reserved.\nAll rights reserved."
+    plain = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for table in (plain, docs):
+        assert sorted(licences.scan(table, wrapped=True).collect()) == sorted(licences.scan(table).collect())
+    assert licences.scan(plain).first().n_matches == 5
+
+
 # 5
 def test_byte_bpe(spark, docs, cases, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
