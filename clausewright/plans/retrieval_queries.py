@@ -65,7 +65,7 @@ def intent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     marks = lambda pairs: F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in pairs]))
     rows = Q.table(spark, sf_dir, "documents").select(
-        "doc_id", F.coalesce(F.substring(text, 1, 40), F.lit("")).alias("user_query"),
+        "doc_id", F.coalesce(text, F.lit("")).alias("user_query"),
         marks([("延誤", text.contains("!!")), ("遺失", text.contains("@")), ("取消", text.contains(" | "))]).alias("semantic_tags"),
         marks([("延誤", F.col("lang") == "fr"), ("更改", F.col("lang") == "de")]).alias("clause_keywords"),
         F.when(F.col("lang") == "es", F.lit(I.EXCLUSION)).otherwise("一般規定").alias("clause_function"),

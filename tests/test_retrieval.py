@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from clausewright.operators import chat, flat, intents as I, outline, retrieve as R, search, stats
-from clausewright.plans import jobs
+from clausewright.plans import jobs, retrieval_queries
 from clausewright.sources import tables
 from clausewright.streaming import live
 
@@ -179,3 +179,11 @@ def test_streamed_retrieval(spark, tmp_path):
     stream = spark.readStream.schema("query_id long, text string").json(str(tmp_path / "q"))
     live.stream_retrieve(stream, lambda b: R.prepare_queries(b, encode), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.tags for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [["延誤"]]
+
+
+def test_intent_quality_asks_whole_texts(spark, monkeypatch):
+    seen, validate = [], I.validate_intents
+    monkeypatch.setattr(I, "validate_intents", lambda rows: seen.append(rows) or validate(rows))
+    retrieval_queries.intent_quality(spark, "/root/testdata/sf0.001")
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert seen[0].join(texts, "doc_id").filter("user_query <> text").count() == 0
