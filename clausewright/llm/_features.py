@@ -1,4 +1,4 @@
-"""Hashed word and byte n-gram counts of text blocks, and linear models over them."""
+"""Hashed word and character n-gram counts of text blocks, and linear models over them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import IS_SPACE, Block, blocks, mix, span_hashes, spans
+from clausewright.llm._shared import IS_SPACE, Block, blocks, mix, spans, word_hashes
+
+#: N-grams of a family that are hashed at once.
+STRETCH = 1 << 20
+
+
+def _joined_words(hashes: np.ndarray, n: int) -> np.ndarray:
+    joined, count = hashes, len(hashes) - n + 1
+    for k in range(1, n):
+        joined = mix(joined[: len(hashes) - k] * np.uint64(31) + hashes[k:])
+    return joined[:count]
+
+
+def _joined_characters(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n code points: three of 21 bits fit a number, then it is mixed and goes on."""
+    packed = np.full(len(codes) - n + 1, n, np.uint64)
+    for k in range(n):
+        if k % 3 == 0:
+            packed = mix(packed)
+        packed = packed ^ (codes[k : k + len(packed)].astype(np.uint64) << np.uint64(21 * (k % 3)))
+    return mix(packed)
 
 
 @dataclass(frozen=True)
@@ -25,42 +45,42 @@ class HashedGrams:
     def size(self) -> int:
         return (len(self.words) + len(self.chars)) << self.bits
 
-    def groups(self, block: Block) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per family: the bucket of every n-gram, and where each text's n-grams begin and end."""
-        shift, out = np.uint64(64 - self.bits), []
+    def groups(self, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Family, buckets of a stretch of its n-grams, and where in it each text's n-grams begin and end.
+
+        A family is cut into stretches of STRETCH n-grams, so that memory hardly follows the length of a text.
+        """
         if self.words:
             starts, ends = spans(~IS_SPACE[block.buf])
-            bounds = block.word_bounds(starts)
-            hashes = span_hashes(block.buf, starts, ends)
-            for n in self.words:
-                joined = hashes
-                for k in range(1, n):
-                    joined = mix(joined[: len(hashes) - k] * np.uint64(31) + hashes[k:]) if len(hashes) > k else hashes[:0]
-                ids = (joined >> shift).astype(np.int64)
-                out.append((ids, bounds[:-1], np.maximum(bounds[1:] - n + 1, bounds[:-1])))
-        for n in self.chars:
-            packed = np.zeros(max(len(block.buf) - n + 1, 0), np.uint64)
-            for k in range(n):
-                packed |= block.buf[k : k + len(packed)].astype(np.uint64) << np.uint64(8 * k)
-            ids = (mix(packed + np.uint64(n)) >> shift).astype(np.int64)
-            lo = np.minimum(block.bounds[:-1], len(ids))  # a short last text has none
-            out.append((ids, lo, np.clip(block.bounds[1:] - n, lo, len(ids))))  # the line feed behind a text is no part of it
-        return [(ids + (g << self.bits), lo, hi) for g, (ids, lo, hi) in enumerate(out)]
+            bounds, hashes = block.word_bounds(starts), word_hashes(block.buf, starts, ends)
+            for g, n in enumerate(self.words):
+                yield from self._stretches(g, n, hashes, _joined_words, bounds[:-1], np.maximum(bounds[1:] - n + 1, bounds[:-1]))
+        if self.chars:
+            codes, bounds = block.characters()
+            for g, n in enumerate(self.chars, len(self.words)):
+                # The line feed behind a text is no part of it.
+                yield from self._stretches(g, n, codes, _joined_characters, bounds[:-1], np.maximum(bounds[1:] - n, bounds[:-1]))
+
+    def _stretches(self, g: int, n: int, units: np.ndarray, join, lo: np.ndarray, hi: np.ndarray):
+        for first in range(0, len(units) - n + 1, STRETCH):
+            ids = (join(units[first : first + STRETCH + n - 1], n) >> np.uint64(64 - self.bits)).astype(np.int64) + (g << self.bits)
+            yield g, ids, np.clip(lo - first, 0, len(ids)), np.clip(hi - first, 0, len(ids))
 
     def means(self, block: Block, tables: np.ndarray) -> np.ndarray:
         """For each text and each row of tables: the sum over families of the mean weight of its n-grams."""
-        out = np.zeros((len(block), len(tables)))
-        for ids, lo, hi in self.groups(block):
-            n = np.maximum(hi - lo, 1)
+        families = len(self.words) + len(self.chars)
+        total, n = np.zeros((families, len(block), len(tables))), np.zeros((families, len(block), 1))
+        for g, ids, lo, hi in self.groups(block):
+            n[g, :, 0] += hi - lo
             for k, table in enumerate(tables):
-                total = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
-                out[:, k] += (total[hi] - total[lo]) / n
-        return out
+                sums = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
+                total[g, :, k] += sums[hi] - sums[lo]
+        return (total / np.maximum(n, 1)).sum(axis=0)
 
     def counts(self, block: Block) -> np.ndarray:
         """Dense counts, one row per text."""
         out = np.zeros(len(block) * self.size, np.float32)
-        for ids, lo, hi in self.groups(block):
+        for _, ids, lo, hi in self.groups(block):
             n = hi - lo
             owner = np.repeat(np.arange(len(block)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[owner]

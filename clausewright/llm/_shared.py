@@ -57,6 +57,16 @@ class Block:
         """Where each text's words begin in an ascending array of word starts."""
         return np.searchsorted(starts, self.bounds)
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text's bytes and the line feed behind, without a running sum of all."""
+        return np.add.reduceat(values, self.bounds[:-1], dtype=np.int64)
+
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the texts, a line feed behind each, and where each text begins."""
+        texts = [t.decode("utf-8", "replace") for t in self.texts]
+        codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+        return codes, np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+
 
 def blocks(column: pa.Array, prepare=None, limit: int = BLOCK_BYTES, rows: int = 4096) -> Iterator[Block]:
     """Cut a string column into blocks of about ``limit`` bytes and at most ``rows`` texts; null counts as empty."""
@@ -100,6 +110,14 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+class Numbers(dict):
+    """Numbers what is looked up, in order of first appearance."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -127,3 +145,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     prefix = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int = 1 << 17) -> np.ndarray:
+    """Hashes of words in order, a stretch at a time, so that memory doesn't follow the length of a text."""
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), words):
+        a, b = starts[lo : lo + words], ends[lo : lo + words]
+        out[lo : lo + words] = span_hashes(buf[a[0] : b[-1] + 1], a - a[0], b - a[0])
+    return out

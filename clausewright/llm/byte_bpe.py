@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import blocks, mix, span_hashes
+from clausewright.llm._shared import Numbers, blocks, mix, span_hashes
 
 #: Distinct pre-tokens that a task remembers before it forgets all of them.
 REMEMBERED = 400_000
@@ -82,14 +82,6 @@ class MinimalPerfectHash:
         return self.key_at[np.where(shift < 0, -shift - 1, slots)]
 
 
-class _Numbers(dict):
-    """Numbers what is looked up, in order of first appearance."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class ByteBpe:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern, self.hash = tokens, pattern, MinimalPerfectHash(tokens)
@@ -111,7 +103,7 @@ class ByteBpe:
         self._forget()
 
     def _forget(self):
-        self.numbers, self.count, self.flat = _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.numbers, self.count, self.flat = Numbers(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
 
     def __getstate__(self):

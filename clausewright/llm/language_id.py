@@ -24,6 +24,8 @@ from clausewright.llm._shared import LOWER_AZ, blocks, held_out
 
 TRAIN_ROWS = 800
 GRAMS = HashedGrams(words=(1,), chars=(2, 3, 4), bits=12)
+#: A prediction that scores less (more likely wrong than right) is no identified language.
+LEAST_SCORE = 0.5
 #: ISO 639-1 codes by language family.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -135,18 +137,22 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """Rows that have a language, with all columns: rows predicted as ``und`` go.
+def keep_identified(docs: DataFrame, model: LanguageModel | None = None, least: float = LEAST_SCORE, langs: list[str] | None = None) -> DataFrame:
+    """Rows that have a language, with all columns.
 
-    Each row is judged by its own text as it passes, so nothing is shuffled, and rows without doc_id or with a repeated one are judged alike.
+    Texts without a letter go, and those whose prediction scores less than ``least`` or, if ``langs`` are given, is none of them. Without anything to
+    learn from nothing can be predicted: then all texts with a letter stay. Each row is judged by its own text as it
+    passes, so nothing is shuffled, and rows without doc_id or with a repeated one are judged alike.
     """
     model, at, names = model or train(docs), docs.columns.index("text"), docs.columns
+    if model is None:
+        return docs.filter(_has_letter())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, n, lang, _ in _decided(batch.column(at), model):
+            for lo, n, lang, score in _decided(batch.column(at), model):
                 part = batch.slice(lo, n)
-                known = pa.array([x != "und" for x in lang], pa.bool_())
+                known = pa.array(score >= least if langs is None else (score >= least) & np.isin(lang, langs), pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(known) for c in part.columns], names=names)
 
     # A text without a letter is ``und`` whatever the machines say.

@@ -3,6 +3,9 @@
 The model is trained on at most ``TRAIN_ROWS`` labelled rows chosen by a hash of doc_id; four fifths fit the
 weights and one fifth fits the probability calibration. Scoring reads every text in Arrow batches.
 
+Words are numbered exactly within a block of texts, so windows count as repeated only if their bytes agree. A very long text is a block of its own,
+whose n-grams are hashed a stretch at a time.
+
 Cases: a null, empty or word-less text has zero counts, fails the base rules and is not kept; without
 usable labels, or with one class only, the probability is the share of label 1 (1 without any labels); repeated rows
 give repeated rows; an empty table gives an empty result; extra columns are ignored.
@@ -18,41 +21,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm._features import HashedGrams, Rows, fit_linear, labelled_sample, sigmoid
-from clausewright.llm._shared import IS_SPACE, SPACES, Block, blocks, byte_set, mix, segment_sum, span_hashes, spans
+from clausewright.llm._shared import IS_SPACE, SPACES, Block, Numbers, blocks, byte_set, segment_sum, spans
 
 TRAIN_ROWS = 4000
 THRESHOLD = 0.5
 MIN_WORDS = 50
 GRAMS = HashedGrams(words=(1, 2), chars=(3, 4), bits=12)
+#: Words that are split off and numbered at once.
+WORDS = 1 << 17
 _SYMBOL = byte_set(b"#*$%&|<>")
 
 
+def _repeated_windows(owner: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Which windows of three words occur twice in their text; words are numbered from 0 to size - 1, so nothing is hashed."""
+    at = np.flatnonzero(owner[2:] == owner[:-2])
+    bits = max(size - 1, 1).bit_length()
+    if int(owner[-1]).bit_length() + 3 * bits < 64:
+        key = owner[at]
+        for k in range(3):
+            key = (key << bits) | word[at + k]
+    else:
+        key = np.unique(owner[at] * size + word[at], return_inverse=True)[1]
+        key = np.unique(key * size + word[at + 1], return_inverse=True)[1] * size + word[at + 2]
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    return at[twice]
+
+
 def base_counts(block: Block) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text of a block."""
     buf, inside = block.buf, ~IS_SPACE[block.buf]
     starts, ends = spans(inside)
-    bounds = block.word_bounds(starts)
-    hashes, owner = span_hashes(buf, starts, ends), np.repeat(np.arange(len(block)), np.diff(bounds))
+    bounds, numbers = block.word_bounds(starts), Numbers()
+    word, owner = np.zeros(len(starts), np.int64), np.repeat(np.arange(len(block)), np.diff(bounds))
+    for lo in range(0, len(starts), WORDS):
+        hi = min(lo + WORDS, len(starts))
+        word[lo:hi] = np.fromiter(map(numbers.__getitem__, buf[starts[lo] : ends[hi - 1]].tobytes().split()), np.int64, hi - lo)
     repeated = np.zeros(len(starts), bool)
     if len(starts) > 2:
-        whole = owner[2:] == owner[:-2]
-        key = mix(hashes[:-2] * np.uint64(3) + mix(hashes[1:-1] * np.uint64(5) + mix(hashes[2:])))
-        at = np.flatnonzero(whole)
-        key = key[at] ^ mix(owner[at].astype(np.uint64) + np.uint64(1))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        at = _repeated_windows(owner, word, len(numbers))
         for k in range(3):
-            repeated[at[twice] + k] = True
+            repeated[at + k] = True
     dup_lines = []
     for text in block.texts:
         lines = [line for line in text.split(b"\n") if line.strip(SPACES)]
         dup_lines.append(len(lines) - len(set(lines)))
     return {
         "n_words": np.diff(bounds),
-        "word_chars": segment_sum(inside & ((buf & 0xC0) != 0x80), block.bounds),
-        "n_symbols": segment_sum(_SYMBOL[buf], block.bounds),
+        "word_chars": block.sums(inside & ((buf & 0xC0) != 0x80)),
+        "n_symbols": block.sums(_SYMBOL[buf]),
         "n_dup_lines": np.array(dup_lines, np.int64),
         "n_repeat_words": segment_sum(repeated, bounds),
     }

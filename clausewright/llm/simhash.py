@@ -28,6 +28,8 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: An index bucket with more fingerprints is dealt out as pairs of blocks of about this size.
 BUCKET = 1024
+#: Shingles that are hashed at once.
+SHINGLES = 1 << 18
 
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -102,12 +104,17 @@ def block_fingerprints(block: Block, width: int) -> np.ndarray:
     shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     has = np.flatnonzero(shingles)
     offset = np.concatenate([[0], np.cumsum(shingles[has])])
-    owner = np.repeat(np.arange(len(has)), shingles[has])
-    at = np.arange(offset[-1]) - offset[owner] + first[has][owner]
-    last = np.minimum(at + width, first[has + 1][owner]) - 1
-    hashes = xxh64_spans(text, starts[at], ends[last])
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, offset[:-1], axis=0, dtype=np.int32)
+    ones = np.zeros((len(has), 64), np.int64)
+    for lo in range(0, int(offset[-1]), SHINGLES):  # a very long text is hashed a stretch at a time
+        number = np.arange(lo, min(lo + SHINGLES, int(offset[-1])))
+        owner = np.searchsorted(offset, number, side="right") - 1
+        at = number - offset[owner] + first[has][owner]
+        last = np.minimum(at + width, first[has + 1][owner]) - 1
+        a, b = starts[at[0]], ends[last[-1]]
+        hashes = xxh64_spans(text[a:b], starts[at] - a, ends[last] - a)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        heads = np.flatnonzero(np.diff(owner, prepend=-1))
+        ones[owner[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
     result[has] = np.packbits(2 * ones > shingles[has][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return result
 

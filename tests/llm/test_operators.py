@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from clausewright.llm import (
-    _shared, byte_bpe, components, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, simhash, suffix_dedup, warc,
+    _features, _shared, byte_bpe, components, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, simhash, suffix_dedup, warc,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -89,7 +89,46 @@ def test_quality_rules(spark, docs, cases, empty):
     assert quality_rules.apply_rules(docs, none).filter("kept = base_failed").count() == 0
 
 
+def test_quality_rules_count_exactly(spark, monkeypatch):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, but are different words; also a long text, a stretch at a time."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rng = np.random.default_rng(8)
+    long = " ".join(f"wörd{x}" for x in rng.integers(0, 60, 5000)) + "\n" + " ".join(f"u{i}" for i in range(3000))
+    rows = [(1, f"{morse} x y {other} x y"), (2, f"{morse} x y {morse} x y"), (3, long), (4, "a b c a b"), (5, "a b c\na b c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_rules.QualityModel(np.random.default_rng(1).normal(size=quality_rules.GRAMS.size))
+    whole = {r.doc_id: r for r in quality_rules.apply_rules(table, model).collect()}
+    assert all(tuple(whole[i])[1:6] == brute_counts(t) for i, t in rows) and whole[1].n_repeat_words == 0
+    for name, least in (("WORDS", 7), ("STRETCH", 100)):
+        monkeypatch.setattr(quality_rules if name == "WORDS" else _features, name, least)
+        blocks = list(_shared.blocks(__import__("pyarrow").array([t for _, t in rows])))
+        assert [int(x) for x in quality_rules.base_counts(blocks[0])["n_repeat_words"]] == [whole[i].n_repeat_words for i, _ in rows]
+        assert np.allclose(model.probability(blocks[0]), [whole[i].probability for i, _ in rows])
+    # Beyond 63 bits of owner and words: ranks of pairs instead.
+    word = rng.integers(0, 40, 500) + (1 << 20)
+    owner = np.sort(rng.integers(0, 9, 500))
+    seen = Counter((owner[i], *word[i : i + 3]) for i in range(498) if owner[i] == owner[i + 2])
+    want = [i for i in range(498) if owner[i] == owner[i + 2] and seen[(owner[i], *word[i : i + 3])] > 1]
+    assert quality_rules._repeated_windows(owner, word, 1 << 21).tolist() == want
+
+
+def test_grams_are_of_characters():
+    grams = _features.HashedGrams(words=(1,), chars=(3, 4), bits=12)
+    block = next(_shared.blocks(__import__("pyarrow").array(["日本語の", "é", "ab cd", ""])))
+    assert grams.counts(block).reshape(4, 3, -1).sum(axis=2).tolist() == [[1, 2, 1], [1, 0, 0], [2, 3, 2], [0, 0, 0]]
+
+
 # 3
+def test_simhash_of_a_long_text_in_stretches(monkeypatch):
+    texts = ["one two three four five six " * 50, "", "a b", "x y z w v u t s r q p"]
+    block = next(_shared.blocks(__import__("pyarrow").array(texts)))
+    want = [brute_fingerprint(t) for t in texts]
+    for size in (3, 1 << 18):
+        monkeypatch.setattr(simhash, "SHINGLES", size)
+        assert simhash.block_fingerprints(block, 4).tolist() == want
+
+
 def brute_fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(_shared.LOWER_AZ))
     shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
@@ -329,6 +368,48 @@ def test_language_id(spark, docs, cases, empty):
     assert language_id.identify(cases, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_decisions(spark, docs):
+    """Family first, then votes between its languages, from the learned weights by plain loops; ties take the first in order of name."""
+    model = language_id.train(docs)
+    grams = language_id.GRAMS
+    rows = docs.filter("text is not null").orderBy("doc_id").limit(40).collect()
+    rows += [rows[0], rows[0]]
+    got = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.identify(spark.createDataFrame(rows, docs.schema), model).filter("score > 0").collect()}
+    want = set()
+    for r in rows:
+        if not re.search(r"[^\W\d_]", r.text):
+            continue
+        block = next(_shared.blocks(__import__("pyarrow").array([r.text.encode().translate(_shared.LOWER_AZ).decode()])))
+        parts = grams.counts(block).reshape(-1, 1 << grams.bits).astype(float)
+        parts /= np.maximum(parts.sum(axis=1, keepdims=True), 1)
+        value = {k: float(parts.ravel() @ model.tables[i] + model.bias[i]) for i, k in enumerate(model.keys)}
+        families = sorted({language_id.family_of(x) for x in model.langs})
+        ranked = sorted(families, key=lambda f: -value["family", f])
+        score = 1 / (1 + np.exp(-2 * (value["family", ranked[0]] - value["family", ranked[1]])))
+        langs = sorted(x for x in model.langs if language_id.family_of(x) == ranked[0])
+        votes = dict.fromkeys(langs, 0.0)
+        for i, a in enumerate(langs):
+            for b in langs[i + 1 :]:
+                p = 1 / (1 + np.exp(-2 * value[a, b]))
+                votes[a] += p
+                votes[b] += 1 - p
+        best = max(langs, key=lambda x: votes[x])
+        want.add((r.doc_id, best, round(score * (votes[best] / (len(langs) - 1) if len(langs) > 1 else 1), 6)))
+    assert {x[:2] for x in got} == {x[:2] for x in want}
+    assert all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_keep_identified(spark, docs, cases, empty):
+    model = language_id.train(docs)
+    found = {r.doc_id: r for r in language_id.identify(cases, model).collect()}
+    for least, langs in ((0.5, None), (0.9, None), (0.0, ["de"])):
+        kept = language_id.keep_identified(cases, model, least, langs)
+        want = [r for r in cases.collect() if found[r.doc_id].lang_pred != "und" and found[r.doc_id].score >= least and (not langs or found[r.doc_id].lang_pred in langs)]
+        assert kept.columns == cases.columns and sorted(map(str, kept.collect())) == sorted(map(str, want))
+    assert language_id.keep_identified(empty).count() == 0
+    assert language_id.keep_identified(cases.withColumn("lang", F.lit(None).cast("string"))).count() == cases.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
 # 9
 def test_masked_lm(docs, cases, empty):
     model = masked_lm.train(docs)
