@@ -60,9 +60,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def pieces(column: pa.Array, length: int, limit: int | None = None) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, length: int, limit: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
     """Blocks of texts with the row and the offset of each; each string of a text lies in exactly one piece of it."""
-    limit = limit or BLOCK_BYTES
     texts, rows, offsets, size = [], [], [], 0
     for i, value in enumerate(column.cast(pa.large_binary())):
         text = value.as_py() or b""
@@ -127,7 +126,7 @@ def _dealt(part: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tupl
         yield p, [c[at] for c in columns]
 
 
-def _ask(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int, piece: int) -> Iterator[pa.RecordBatch]:
     """ASKED rows of (text, key): by partition the hashes of a task's runs, each with one document that has it and how many different runs; and
     which other documents have it, if several do."""
 
@@ -149,7 +148,7 @@ def _ask(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int) -> I
     held, size = [], 0
     for batch in batches:
         keys = batch.column(1).to_numpy()
-        for block, rows, _ in pieces(batch.column(0), length):
+        for block, rows, _ in pieces(batch.column(0), length, piece):
             h, s, text, _, _ = block_runs(block, length, gram)
             held.append((h, s, keys[rows[text]]))
             size += len(h)
@@ -188,8 +187,8 @@ def _answer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 def repeated_hashes(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, least: int | None = None) -> DataFrame:
     """What ``_answer`` says about (text, key): the hashes of each document's runs that occur more than once in all texts."""
-    least, n = least or HOT, _partitions(keyed)
-    asked = keyed.select("text", "key").mapInArrow(lambda b: _ask(b, length, gram, n), ASKED)
+    least, n, piece = least or HOT, _partitions(keyed), BLOCK_BYTES
+    asked = keyed.select("text", "key").mapInArrow(lambda b: _ask(b, length, gram, n, piece), ASKED)
     return asked.repartitionById(n, "p").mapInArrow(lambda b: _answer(b, least), "key long, hashes binary, h long, n long")
 
 
@@ -218,7 +217,7 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _ship(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _ship(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int, piece: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """SHIPPED rows of (doc_id, mark, text, hashes): the bytes of runs that may repeat, by partition; rows without bytes are spans known to go."""
 
     def packed(held) -> pa.RecordBatch:
@@ -265,7 +264,7 @@ def _ship(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int, fre
     for batch in batches:
         doc, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         wanted = np.unique(_joined([x for row in batch.column(3).to_pylist() for x in row], np.uint64))
-        for block, rows, offsets in pieces(batch.column(2), length):
+        for block, rows, offsets in pieces(batch.column(2), length, piece):
             h, s, text, start, count = (x for x in block_runs(block, length, gram))
             keep = np.isin(h, wanted)
             h, s, text, start, count = (x[keep] for x in (h, s, text, start, count))
@@ -323,7 +322,7 @@ def scan_batch(index: SuffixIndex, strings: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
     """Spans of strings that an earlier place of the partition has. A partition's runs are taken range by range, in order of place."""
     rows = [[] for _ in range(6)]
     for batch in batches:
@@ -347,7 +346,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     for r in range(RANGES):
         own, index = np.flatnonzero(part == r), SuffixIndex()
         behind = np.cumsum(count[own])
-        for at in np.split(own, np.searchsorted(behind, np.arange(BATCH, behind[-1], BATCH))) if len(own) else ():
+        for at in np.split(own, np.searchsorted(behind, np.arange(size, behind[-1], size))) if len(own) else ():
             if len(at):
                 owner, offset = _spread(count[at])
                 hit = scan_batch(index, _strings(data, begin[at][owner] + offset, length))
@@ -357,15 +356,15 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, doc_id, mark, text, spans) of each document: row is all its columns; spans are (doc_id, mark, start, n) of strings that go."""
-    n = _partitions(docs)
+    n, piece, size = _partitions(docs), BLOCK_BYTES, BATCH
     identity = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("mark"))
     keyed = identity.select("*", F.xxhash64("doc_id", "mark").alias("key"))
     answers = materialise(repeated_hashes(keyed.select(F.col("row.text").alias("text"), "key"), length, gram), "repeated")
     frequent = frequent_hashes(answers)
     dealt = keyed.repartition(n, "key")
     told = answers.filter("key is not null").groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    shipped = dealt.join(told, "key").select("doc_id", "mark", "row.text", "hashes").mapInArrow(lambda b: _ship(b, length, gram, n, frequent), SHIPPED)
-    spans = shipped.repartitionById(n, "p").mapInArrow(lambda b: _scan(b, length), SPAN)
+    shipped = dealt.join(told, "key").select("doc_id", "mark", "row.text", "hashes").mapInArrow(lambda b: _ship(b, length, gram, n, piece, frequent), SHIPPED)
+    spans = shipped.repartitionById(n, "p").mapInArrow(lambda b: _scan(b, length, size), SPAN)
     spans = spans.groupBy(F.xxhash64("doc_id", "mark").alias("key")).agg(F.collect_list(F.struct("doc_id", "mark", "start", "n")).alias("spans"))
     return dealt.join(spans, "key", "left").select("row", "doc_id", "mark", F.col("row.text").alias("text"), "spans")
 

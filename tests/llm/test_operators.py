@@ -411,80 +411,103 @@ def test_keep_identified(spark, docs, cases, empty):
 
 
 # 9
+def arrow_block(*texts):
+    return next(_shared.blocks(__import__("pyarrow").array(list(texts))))
+
+
 def test_masked_lm(docs, cases, empty):
     model = masked_lm.train(docs)
-    assert np.allclose(np.exp(model.table.reshape(-1, masked_lm.CLASSES)).sum(axis=1), 1, atol=1e-3)
-    block = next(_shared.blocks(__import__("pyarrow").array(["the and of the", "", "of"])))
-    kind, starts, ends, bounds = model.vocabulary.classes(block)
-    n, total = model.log_probabilities(block)
-    table, want = model.table.reshape(masked_lm.CLASSES, masked_lm.CLASSES, -1), []
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        k, s = [masked_lm.EDGE, *kind[lo:hi], masked_lm.EDGE], 0.0
-        for i in range(1, len(k) - 1):
-            s += table[k[i - 1], k[i + 1], k[i]]
-            if k[i] >= masked_lm.FREQUENT:
-                word = bytes(block.buf[starts[lo + i - 1] : ends[lo + i - 1]])
-                s += sum(model.spelling[a * 256 + b] for a, b in zip(b" " + word, word + b" ", strict=True))
-        want.append(s)
-    assert np.allclose(total, want) and n.tolist() == [4, 0, 1]
+    network, rng = model.network, np.random.default_rng(1)
+    # All classes of a window sum to one, and a window's probability is that of a plain network.
+    window = rng.integers(0, masked_lm.CLASSES, (4, 3))
+    for k in range(3):
+        every = network.log_probabilities(np.repeat(window[:, k : k + 1], masked_lm.CLASSES, axis=1), np.arange(masked_lm.CLASSES))
+        assert abs(np.exp(every).sum() - 1) < 1e-4
+        h = np.tanh(network.bias + sum(network.embedding[i][c] for i, c in enumerate(window[:, k])))
+        z, group = h @ network.group + network.group_bias, 17
+        inner = h @ network.member[group] + network.member_bias[group]
+        want = z[group] - np.log(np.exp(z).sum()) + inner[5] - np.log(np.exp(inner).sum())
+        assert abs(every[group * masked_lm.SIDE + 5] - want) < 1e-4
+    # Words are counted over all documents.
+    count = Counter(w for r in docs.collect() for w in (r.text or "").encode().translate(_shared.LOWER_AZ).split())
+    words, total = masked_lm.frequent_words(docs, 50)
+    assert total == sum(count.values()) and len(words) == 50
+    by_hash = {int(_shared.span_hashes(np.frombuffer(w + b" ", np.uint8), np.array([0]), np.array([len(w)]))[0].view(np.int64)): n for w, n in count.items()}
+    assert [by_hash[w] for w in words] == sorted(count.values(), reverse=True)[:50]
+    # Windows and byte pairs too.
+    found = {(r.kind, r.cell): r.n for r in masked_lm.window_counts(docs, model.vocabulary, 1.0).collect()}
+    want = Counter()
+    for r in docs.collect():
+        block = arrow_block((r.text or "").encode().translate(_shared.LOWER_AZ).decode())
+        kind, _, starts, ends, _ = model.vocabulary.classes(block)
+        kind = kind.tolist()
+        at = lambda i: kind[i] if 0 <= i < len(kind) else masked_lm.EDGE
+        for i, c in enumerate(kind):
+            cell = c
+            for place in masked_lm.PLACES:
+                cell = cell * masked_lm.CLASSES + at(i + place)
+            want[0, cell] += 1
+            if c >= masked_lm.OWN:
+                word = bytes(block.buf[starts[i] : ends[i]])
+                want.update((1, a * 256 + b) for a, b in zip(b" " + word, word + b" ", strict=True))
+    assert found == want
+    assert masked_lm.window_counts(docs, model.vocabulary, 0.01).filter("kind = 0").count() < 0.03 * sum(k == 0 for k, _ in want)
     even = masked_lm.score(docs, model).agg(F.avg("mean_log_prob")).first()[0]
-    backwards = docs.withColumn("text", F.array_join(F.shuffle(F.split("text", " "), F.lit(3)), " ")) if False else docs.withColumn("text", F.reverse("text"))
-    assert even > masked_lm.score(backwards, model).agg(F.avg("mean_log_prob")).first()[0]
+    backwards = docs.withColumn("text", F.reverse("text"))
+    assert even > masked_lm.score(backwards, model, docs).agg(F.avg("mean_log_prob")).first()[0]
     edge = {r.doc_id: r for r in masked_lm.score(cases, model).collect()}
-    assert edge[1].n_tokens == 0 and edge[1].log_prob == 0 and edge[1].mean_log_prob is None
+    assert edge[1].n_tokens == 0 and edge[1].log_prob == 0 and edge[1].mean_log_prob is None and edge[9].n_tokens == 20_000
     assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
 
 
-def test_masked_lm_knows_words(spark):
-    """Texts whose words are exchanged for others of the same class, or out of order, are less likely; by brute force too."""
+def test_masked_lm_scores(spark):
+    """Sums by brute force; fluent texts are likelier than ones whose words are exchanged or out of order, and texts that occur twice than others."""
     rng = np.random.default_rng(4)
-    made = [[f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("rin", "sin")][k::4] for k in range(4)]  # all end alike
+    made = [[f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("rin", "sin")][k::4] for k in range(4)]
     text = lambda: " ".join(w for k in rng.integers(0, 25, 12) for w in (made[0][k], made[1][k], made[2][k], made[3][k]))
-    train = spark.createDataFrame([(i, text()) for i in range(400)] + [(1000 + i, " ".join([f"top{i}"] * 200)) for i in range(95)], "doc_id long, text string").repartition(3)
-    model = masked_lm.train(train)
+    twice = "unique words that nobody else would ever put into such an order here"
+    texts = [text() for _ in range(400)] + [twice, twice, "other single words which no one has written down before in this way", "", None, "one"]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    common = " ".join(f"top{i}" for i in range(masked_lm.OWN))  # these words take all classes of their own
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.range(250).select((F.col("id") + 5000).alias("doc_id"), F.lit(common).alias("text"))).repartition(3)
+    model = masked_lm.train(corpus)
+
+    def parts(t):
+        if not (t or "").split():
+            return []
+        block = arrow_block(t)
+        kind, words = model.vocabulary.classes(block)[0].tolist(), t.split()
+        rare = lambda i: 0 <= i < len(kind) and kind[i] >= masked_lm.OWN
+        near = lambda i: words[i] if 0 <= i < len(words) else ""
+        return [(i, w, (near(i - 1), near(i + 1))) for i, w in enumerate(words) if rare(i) and (rare(i - 1) or rare(i + 1))]
+
+    single, context = Counter(), Counter()
+    for t in texts:
+        single.update((w, q) for _, w, q in parts(t))
+        context.update(q for _, _, q in parts(t))
+
+    def brute(t, off):
+        value = model.tokens(arrow_block(t or ""))[0].copy()
+        for i, w, q in parts(t):
+            spelled = sum(model.spelling[a * 256 + b] for a, b in zip(b" " + w.encode(), w.encode() + b" ", strict=True))
+            share = max(single[w, q] - off, 0) / max(context[q] - off, 1)
+            value[i] += np.log(masked_lm.INTERPOLATED * share + (1 - masked_lm.INTERPOLATED) * np.exp(spelled)) - spelled
+        return value.sum()
+
+    got = masked_lm.score(corpus, model).filter("doc_id < 5000 or doc_id is null").collect()
+    want = sorted((len((t or "").split()), brute(t, 1)) for t in texts)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-3 for a, b in zip(sorted((r.n_tokens, r.log_prob) for r in got), want, strict=True))
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == len(texts) and abs(by_id[401].log_prob - brute(twice, 1)) < 2e-3
+    assert by_id[401].mean_log_prob > by_id[402].mean_log_prob + 3
     fluent = [text() for _ in range(20)]
     flat = sum(made, [])
-    exchanged = [" ".join(rng.permutation(flat)[: len(t.split())]) for t in fluent]
-    shuffled = [" ".join(rng.permutation(t.split())) for t in fluent]
-    rows = [(100 * k + i, t) for k, group in enumerate((fluent, exchanged, shuffled)) for i, t in enumerate(group)] + [(900, "qqq zzzrin"), (None, fluent[0]), (5, fluent[0])]
-    got = {r.doc_id: r for r in masked_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    mean = lambda k: np.mean([got[100 * k + i].mean_log_prob for i in range(20)])
+    groups = fluent, [" ".join(rng.permutation(flat)[: len(t.split())]) for t in fluent], [" ".join(rng.permutation(t.split())) for t in fluent]
+    asked = [(100 * k + i, t) for k, group in enumerate(groups) for i, t in enumerate(group)]
+    other = {r.doc_id: r for r in masked_lm.score(spark.createDataFrame(asked, "doc_id long, text string"), model, corpus).collect()}
+    mean = lambda k: np.mean([other[100 * k + i].mean_log_prob for i in range(20)])
     assert mean(0) > mean(1) + 1 and mean(0) > mean(2) + 1
-    assert len(got) == 62 and got[None].log_prob == got[5].log_prob == got[0].log_prob
-
-    texts = [r.text for r in train.collect()]
-    block = lambda t: next(_shared.blocks(__import__("pyarrow").array([t])))
-    kinds = {}
-
-    def parts(t):
-        words, kind = t.split(), model.vocabulary.classes(block(t))[0]
-        kinds.update(zip(words, kind.tolist(), strict=True))
-        rare = lambda i: 0 <= i < len(words) and kind[i] >= masked_lm.FREQUENT
-        for i, w in enumerate(words):
-            if rare(i):
-                right = not rare(i - 1) and rare(i + 1)
-                yield w, (right, words[i + 1] if right else words[i - 1] if i else None)
-
-    pairs = Counter(p for t in texts for p in parts(t))
-    single, context, sizes, types = Counter(), Counter(), Counter(), Counter()
-    for (w, q), n in pairs.items():
-        single[w] += n
-        context[kinds[w], q] += n - 1
-    for w, n in single.items():
-        sizes[kinds[w]] += n
-        types[kinds[w]] += 1
-    for d, t in [(0, fluent[0]), (100, exchanged[0]), (200, shuffled[0]), (900, "qqq zzzrin")]:
-        want = model.log_probabilities(block(t))[1][0]
-        for w, q in parts(t):
-            c, chars = kinds[w], w.encode()
-            spelled = np.exp(sum(model.spelling[a * 256 + b] for a, b in zip(b" " + chars, chars + b" ", strict=True)))
-            if sizes[c]:
-                alone = (max(single[w] - 1, 0) + types[c] * spelled) / sizes[c]
-                share = max(pairs[w, q] - 1, 0) / context[c, q] if context[c, q] else 0
-                want += np.log(masked_lm.INTERPOLATED * share + (1 - masked_lm.INTERPOLATED) * alone) - np.log(spelled)
-            else:
-                want += np.log(1 - masked_lm.INTERPOLATED)
-        assert abs(got[d].log_prob - want) < 1e-3
+    assert all(abs(other[i].log_prob - brute(t, 0)) < 2e-3 for i, t in asked)
 
 
 # 10
