@@ -194,7 +194,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     blocks, and each pair of blocks is a group by itself. A group reports a spanning forest of its links.
     """
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.select("fp").repartition(n, "fp")  # each row becomes 64
+    spread = distinct.select("fp").repartition(n, F.xxhash64("fp"))  # each row becomes 64; by fp the rows would stay in the few tasks that grouped them
     keyed = spread.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
     live = keyed.join(hot, "key", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / F.lit(BUCKET)), F.lit(1)).cast("int"))
