@@ -40,10 +40,10 @@ def pair_scorer(score: ScorePairs) -> Callable[[Column, Column], Column]:
     return run
 
 
-def generate_replies(rows: DataFrame, generate: Generate, messages: str = "messages", attempts: int = 3, tasks: int | None = None) -> DataFrame:
+def generate_replies(rows: DataFrame, generate: Generate, messages: str = "messages", attempts: int = 3, tasks: int | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
     """``rows`` without their messages, with content, usage and error.
 
-    A call that fails ``attempts`` times gives null content and the error's text; it never fails the job. ``tasks`` spreads slow
+    A call that fails, or whose content ``accept`` refuses, is made again; one that fails ``attempts`` times gives null content and the error's text; it never fails the job. ``tasks`` spreads slow
     calls over so many tasks.
     """
     spread = rows.repartition(tasks) if tasks else rows
@@ -55,6 +55,8 @@ def generate_replies(rows: DataFrame, generate: Generate, messages: str = "messa
         for _ in range(attempts):
             try:
                 content, usage = generate(said)
+                if accept and not accept(content):
+                    raise ValueError("malformed reply")
                 return content, {k: int((usage or {}).get(k, 0)) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}, None
             except Exception as e:  # any failure of a caller's client becomes an error row
                 error = str(e)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -107,6 +108,15 @@ def parse_intent_response(content: Column) -> Column:
     return F.transform(F.filter(found, lambda i: i.isNotNull()), whole)
 
 
+def well_formed(content: str) -> bool:
+    """Whether a reply, without code fences, is a JSON object: others are asked for again."""
+    bare = re.sub(r"\n?```$", "", re.sub(r"^```(json)?\s*\n?", "", (content or "").strip()))
+    try:
+        return isinstance(json.loads(bare), dict)
+    except ValueError:
+        return False
+
+
 def validate_intents(intents: DataFrame) -> DataFrame:
     """Completed tags, quality_score and validation_issues from clause_keywords and clause_function, which go.
 
@@ -189,7 +199,7 @@ def generate_intents(
     if items:
         asked = asked.unionByName(item_intent_prompts(chunks))
     said = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
-    replies = hooks.generate_replies(asked.withColumn("messages", said).drop("prompt"), generate, tasks=tasks)
+    replies = hooks.generate_replies(asked.withColumn("messages", said).drop("prompt"), generate, tasks=tasks, accept=well_formed)
     keys = ["doc_id", "pos", "item_pos", "clause_id", "item_no", "clause_keywords", "clause_function"]
     parsed = replies.select(*keys, F.posexplode(parse_intent_response(F.col("content"))).alias("n", "i")).select(*keys, "n", "i.*")
     found = validate_intents(parsed.withColumn("subitem_no", F.lit(None).cast("string")))

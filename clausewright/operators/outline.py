@@ -65,30 +65,38 @@ def _numbered(text: Column, pattern: str, build) -> Column:
     return F.transform(pairs, lambda q: build(q["no"], q["text"]))
 
 
-def _described(text: Column) -> list[Column]:
+def _described(text: Column, details: bool) -> list[Column]:
+    if not details:
+        return [text.alias("context")]
     return [
         text.alias("context"), T.clean_text(text).alias("raw_text"), T.detect_references(text).alias("reference_clauses"),
         lexicon.label_all(text, lexicon.ACTIONS).alias("action_keywords"), T.extract_entities(text).alias("entities"),
     ]
 
 
-def parse_subitems(text: Column, spec: OutlineSpec | None = None) -> Column:
-    return _numbered(text, (spec or OutlineSpec()).subitem, lambda no, t: F.struct(no.alias("subitem_no"), *_described(t)))
+def parse_subitems(text: Column, spec: OutlineSpec | None = None, details: bool = True) -> Column:
+    return _numbered(text, (spec or OutlineSpec()).subitem, lambda no, t: F.struct(no.alias("subitem_no"), *_described(t, details)))
 
 
-def parse_items(text: Column, spec: OutlineSpec | None = None) -> Column:
-    none = F.array().cast("array<string>").alias("intent_ids")
-    return _numbered(text, (spec or OutlineSpec()).item, lambda no, t: F.struct(no.alias("item_no"), *_described(t), none, parse_subitems(t, spec).alias("sub_items")))
+def parse_items(text: Column, spec: OutlineSpec | None = None, details: bool = True) -> Column:
+    none, subs = F.array().cast("array<string>").alias("intent_ids"), lambda t: parse_subitems(t, spec, details).alias("sub_items")
+    return _numbered(text, (spec or OutlineSpec()).item, lambda no, t: F.struct(no.alias("item_no"), *_described(t, details), none, subs(t)))
 
 
-def generate_chunks(docs: DataFrame, spec: OutlineSpec | None = None) -> DataFrame:
-    """Nested chunks, one row per clause."""
-    rows = split_clauses(docs, spec)
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in as many tasks as there are cores, if a scan of few large row groups would leave cores without work; else as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def generate_chunks(docs: DataFrame, spec: OutlineSpec | None = None, details: bool = True) -> DataFrame:
+    """Nested chunks, one row per clause. Without ``details`` only the outline: numbers, titles and contexts, no labels, references or entities."""
+    rows = split_clauses(spread(docs), spec)
     body, title = F.col("body"), F.col("clause_title")
+    labels = [lexicon.insurance_types(title, body).alias("insurance_types"), lexicon.clause_function(title, body).alias("clause_function")] if details else []
     clause = F.struct(
-        "clause_no", "clause_title", "clause_id", *_described(body), F.array().cast("array<string>").alias("intent_ids"),
-        parse_items(body, spec).alias("items"), lexicon.insurance_types(title, body).alias("insurance_types"),
-        lexicon.clause_function(title, body).alias("clause_function"),
+        "clause_no", "clause_title", "clause_id", *_described(body, details), F.array().cast("array<string>").alias("intent_ids"),
+        parse_items(body, spec, details).alias("items"), *labels,
     )
     return rows.select("doc_id", "pos", F.col("clause_id").alias("chunk_id"), "chapter_no", "chapter_title", clause.alias("clause"))
 
@@ -115,18 +123,19 @@ def flatten_outline(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def reference_edges(chunks: DataFrame) -> DataFrame:
-    """(doc_id, clause_id, item_no, subitem_no, ref, target) for every reference at the three levels."""
-    base = chunks.select("doc_id", F.col("clause.clause_id").alias("clause_id"), F.col("clause.clause_no").alias("clause_no"), "clause")
-    items = base.select("doc_id", "clause_id", "clause_no", F.explode("clause.items").alias("i"))
-    subs = items.select("doc_id", "clause_id", "clause_no", F.col("i.item_no").alias("item_no"), F.explode("i.sub_items").alias("s"))
+    """(doc_id, clause_id, item_no, subitem_no, ref, target) for every reference at the three levels, in one pass."""
     null = F.lit(None).cast("string")
-    keys = ["doc_id", "clause_id", "clause_no"]
-    edges = (
-        base.select(*keys, null.alias("item_no"), null.alias("subitem_no"), F.explode("clause.reference_clauses").alias("ref"))
-        .unionByName(items.select(*keys, F.col("i.item_no").alias("item_no"), null.alias("subitem_no"), F.explode("i.reference_clauses").alias("ref")))
-        .unionByName(subs.select(*keys, "item_no", F.col("s.subitem_no").alias("subitem_no"), F.explode("s.reference_clauses").alias("ref")))
-    )
-    return edges.withColumn("target", T.resolve_reference(F.col("ref"), F.col("clause_no"), F.col("item_no"))).drop("clause_no")
+
+    def listed(refs: Column, item: Column, sub: Column) -> Column:
+        return F.transform(refs, lambda r: F.struct(item.alias("item_no"), sub.alias("subitem_no"), r.alias("ref")))
+
+    def below(item: Column) -> Column:
+        return F.flatten(F.transform(item["sub_items"], lambda s: listed(s["reference_clauses"], item["item_no"], s["subitem_no"])))
+
+    of_items = F.flatten(F.transform("clause.items", lambda i: F.concat(listed(i["reference_clauses"], i["item_no"], null), below(i))))
+    rows = chunks.select("doc_id", "clause.clause_id", "clause.clause_no", F.explode(F.concat(listed(F.col("clause.reference_clauses"), null, null), of_items)).alias("e"))
+    target = T.resolve_reference(F.col("e.ref"), F.col("clause_no"), F.col("e.item_no"))
+    return rows.select("doc_id", "clause_id", "e.item_no", "e.subitem_no", "e.ref", target.alias("target"))
 
 
 def split_long(text: Column, max_chars: int = 500, stops: str = "。；") -> Column:

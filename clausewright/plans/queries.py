@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import lexicon
 from clausewright.operators import chat, outline, search, stats
+from clausewright.sources import tables
 
 # Latin stand-ins for the lexicons: the given tables hold no Han text.
 LATIN = (("article", ("the ", "der ", "la ")), ("mail", ("@",)), ("table", (" | ",)), ("shout", ("!!",)))
@@ -38,11 +39,11 @@ lines AS (SELECT doc_id, i, l[i + 1] AS line FROM clean, unnest(range(len(l))) A
 
 
 def outline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.outline_counts(outline.generate_chunks(statutes(spark, sf_dir)))
+    return stats.outline_counts(outline.generate_chunks(statutes(spark, sf_dir), details=False))
 
 
 def outline_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = outline.generate_chunks(statutes(spark, sf_dir))
+    chunks = outline.generate_chunks(statutes(spark, sf_dir), details=False)
     return chunks.select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.col("clause.clause_no").alias("clause_no"), F.col("clause.clause_title").alias("clause_title"), "chapter_no",
         F.size("clause.items").cast("long").alias("n_items"),
@@ -65,6 +66,13 @@ WHERE h.i % 4 = 0
 )
 
 
+def stored_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all statutes, written once, for queries that use them more than once."""
+    path = tables.scratch(spark, "statutes")
+    outline.generate_chunks(statutes(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(

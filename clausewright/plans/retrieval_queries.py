@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import hooks, lexicon
-from clausewright.operators import flat, intents as I, outline, retrieve as R
+from clausewright.operators import flat, intents as I, retrieve as R
 from clausewright.plans import queries as Q
 from clausewright.sources import tables
 
@@ -91,13 +89,13 @@ FROM m
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = Q.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     tagged = text.withColumn("semantic_tags", lexicon.label_all(F.col("text"), Q.LATIN))
-    return tagged.join(Q.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return tagged.join(Q.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "left")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every benchmark item with a vector the five best documents by weighted cosine and BM25; items ask for the tags of their text."""
+    """For every benchmark item the five best documents by weighted cosine and BM25; items ask for the tags of their text. Without a vector the cosine is 0."""
     items = Q.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), "text")
-    asked = items.join(Q.table(spark, sf_dir, "embeddings"), "vec_id").select(
+    asked = items.join(Q.table(spark, sf_dir, "embeddings"), "vec_id", "left").select(
         F.col("vec_id").alias("query_id"), "text", lexicon.label_all(F.col("text"), Q.LATIN).alias("tags"), F.lit(5).alias("k_intents"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     found = R.hybrid_search(asked, _vectors(spark, sf_dir), "vec_id")
@@ -107,14 +105,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hybrid_sql() -> str:
     tags = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(text, '{k}')" for k in keys) + f" THEN '{label}' END" for label, keys in Q.LATIN) + "], lambda x: x IS NOT NULL)"
     base = Q.BM25[: Q.BM25.index("r AS (")]
-    base = base.replace("AS t FROM documents", "AS t FROM documents JOIN embeddings ON vec_id = doc_id")
     return (
         base
         + f"""n AS (SELECT query_id, doc_id, CASE WHEN top > 0 THEN score / top ELSE score END AS sparse FROM s JOIN m USING (query_id)),
-a AS (SELECT item_id AS query_id, {tags} AS tags, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
-e AS (SELECT doc_id, {tags} AS own, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
+a AS (SELECT item_id AS query_id, {tags} AS tags, embedding::DOUBLE[] AS v FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+e AS (SELECT doc_id, {tags} AS own, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 h AS (
-  SELECT a.query_id, e.doc_id AS vec_id, round((0.85 * list_cosine_similarity(a.v, e.v) + 0.15 * coalesce(sparse, 0))
+  SELECT a.query_id, e.doc_id AS vec_id, round((0.85 * coalesce(list_cosine_similarity(a.v, e.v), 0) + 0.15 * coalesce(sparse, 0))
     * CASE WHEN len(tags) > 0 AND NOT list_has_any(tags, own) THEN 0.5 ELSE 1 END, 9) AS x
   FROM a CROSS JOIN e LEFT JOIN n ON n.query_id = a.query_id AND n.doc_id = e.doc_id)
 SELECT query_id, vec_id, round(x, 5) AS hybrid_score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS rank FROM h QUALIFY rank <= 5
@@ -122,18 +119,19 @@ SELECT query_id, vec_id, round(x, 5) AS hybrid_score, row_number() OVER (PARTITI
     )
 
 
-def _encode(texts: list[str]) -> np.ndarray:
-    """A stand-in for a caller's encoder: counts of hashed words."""
-    rows = np.zeros((len(texts), 64))
-    for i, text in enumerate(texts):
-        for word in text.split():
-            rows[i, zlib.crc32(word.encode()) % 64] += 1
-    return rows
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """A stand-in for a caller's encoder that SQL can follow: counts of some letters."""
+    return np.array([[t.count("e"), t.count("a"), t.count("t"), 1] for t in texts], float)
+
+
+def letters_sql(*columns: str) -> str:
+    count = lambda x: " + ".join(f"length({c}) - length(replace({c}, '{x}', ''))" for c in columns)
+    return "[" + ", ".join(f"({count(x)})::DOUBLE" for x in "eat") + ", 1.0]"
 
 
 def retrieve_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against the clauses of all documents: each clause's heading is an intent that also refers to the clause itself."""
-    chunks = outline.generate_chunks(Q.statutes(spark, sf_dir))
+    chunks = Q.stored_statutes(spark, sf_dir)
     title, null, empty = F.col("clause.clause_title"), F.lit(None).cast("string"), F.array().cast("array<string>")
     first = F.try_element_at(F.col("clause.items"), F.lit(1))["item_no"]
     made = chunks.select(
@@ -142,14 +140,46 @@ def retrieve_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("category"), lexicon.label_all(title, lexicon.QUERY_TAGS).alias("semantic_tags"),
     )
     numbered = I.number_intents(made).withColumn("text", F.col("user_query"))
-    vectors = numbered.withColumn("embedding", hooks.encoder(_encode)(F.col("text")))
-    asked = R.prepare_queries(Q.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _encode)
-    _, clauses = R.retrieve(asked, vectors, chunks, encode=_encode)
+    vectors = numbered.withColumn("embedding", hooks.encoder(letter_counts)(F.col("text")))
+    asked = R.prepare_queries(Q.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), letter_counts)
+    _, clauses = R.retrieve(asked, vectors, chunks, encode=letter_counts)
     return clauses.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "source_type", "clause_id", "item_no", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+RETRIEVE_CLAUSES = (
+    Q._LINES
+    + rf""",
+c AS (
+  SELECT h.doc_id, h.i // 4 AS pos, h.line AS title, '第' || translate((h.i // 4 + 1)::VARCHAR, '0123456789', '百一二三四五六七八九') || '條_' || h.line AS clause_id,
+    coalesce(s.line, '') AS s, coalesce(a.line, '') AS a, coalesce(b.line, '') AS b, a.line IS NOT NULL AS has_item,
+    '{{' || h.doc_id || ', intent_' || lpad((h.i // 4 + 1)::VARCHAR, 4, '0') || '}}' AS key
+  FROM lines h LEFT JOIN lines s ON s.doc_id = h.doc_id AND s.i = h.i + 1 LEFT JOIN lines a ON a.doc_id = h.doc_id AND a.i = h.i + 2
+  LEFT JOIN lines b ON b.doc_id = h.doc_id AND b.i = h.i + 3 WHERE h.i % 4 = 0),
+v AS (SELECT *, {letters_sql("title")} AS own, {letters_sql("s", "a", "b")} AS whole, {letters_sql("a", "b")} AS part FROM c),
+q AS (SELECT item_id AS query_id, coalesce(text, '') AS t, {letters_sql("coalesce(text, '')")} AS asked FROM benchmark),
+w AS (SELECT key, regexp_extract_all(title, '\p{{Han}}|[\p{{L}}\p{{N}}]+') AS t FROM v),
+p AS (SELECT key, term, count(*) AS tf, first(dl) AS dl FROM (SELECT key, len(t) AS dl, unnest(t) AS term FROM w) GROUP BY key, term),
+total AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w),
+weights AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, total GROUP BY term, n),
+terms AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM weights) ELSE raw END AS idf FROM weights),
+x AS (
+  SELECT query_id, key, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM (SELECT query_id, unnest(regexp_extract_all(t, '\p{{Han}}|[\p{{L}}\p{{N}}]+')) AS term FROM q) JOIN terms USING (term) JOIN p USING (term), total GROUP BY query_id, key),
+m AS (SELECT query_id, greatest(max(score), 0) AS top FROM x GROUP BY query_id),
+f AS (
+  SELECT q.query_id, v.*, round(0.85 * list_cosine_similarity(asked, own) + 0.15 * coalesce(CASE WHEN top > 0 THEN score / top ELSE score END, 0), 9) AS hybrid, asked
+  FROM q CROSS JOIN v LEFT JOIN x ON x.query_id = q.query_id AND x.key = v.key LEFT JOIN m ON m.query_id = q.query_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, key) AS r FROM f QUALIFY r <= 5),
+n AS (
+  SELECT query_id, doc_id, r, 0 AS step, 'mother' AS source_type, clause_id, NULL AS item_no, round(list_cosine_similarity(asked, whole), 9) AS score FROM best
+  UNION ALL SELECT query_id, doc_id, r, 1, 'item', clause_id, '一', round(list_cosine_similarity(asked, part), 9) FROM best WHERE has_item)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r, step) AS rank, source_type, clause_id, item_no, round(score, 6) AS rerank_score
+FROM n QUALIFY rank <= 3
+"""
+)
+
 QUERIES = {f.__name__: f for f in (flat_chunks, page_blocks, intent_quality, hybrid_search, retrieve_clauses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flat_chunks": FLAT_CHUNKS, "page_blocks": PAGE_BLOCKS, "intent_quality": INTENT_QUALITY, "hybrid_search": _hybrid_sql()}
+    return {"flat_chunks": FLAT_CHUNKS, "page_blocks": PAGE_BLOCKS, "intent_quality": INTENT_QUALITY, "hybrid_search": _hybrid_sql(), "retrieve_clauses": RETRIEVE_CLAUSES}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,17 +26,35 @@ def assemble_documents(blocks: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(joined("page_no").alias("text"))
 
 
-def _mode(regenerate: bool) -> str:
-    return "overwrite" if regenerate else "ignore"
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder that the session names in spark.checkpoint.dir; only a local session may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="clausewright-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write under path has ended: then Spark has left its mark of success."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def _store(df: DataFrame, path: str, regenerate: bool, kind: str = "parquet") -> None:
+    """Write df unless a whole output is there; a half-written one is written again."""
+    if regenerate or not _complete(df.sparkSession, path):
+        getattr(df.write.mode("overwrite"), kind)(path)
 
 
 def _manifest(df: DataFrame, path: str, regenerate: bool) -> None:
-    df.coalesce(1).write.mode(_mode(regenerate)).json(f"{path}/metadata")
+    _store(df.coalesce(1), f"{path}/metadata", regenerate, "json")
 
 
 def write_chunks(chunks: DataFrame, path: str, version: str, enhancements: tuple[str, ...] = (), regenerate: bool = False) -> None:
     """Chunks under ``path``/chunks and a one-row manifest; outputs that exist stay unless ``regenerate``."""
-    chunks.write.mode(_mode(regenerate)).parquet(f"{path}/chunks")
+    _store(chunks, f"{path}/chunks", regenerate)
     stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
     named = F.array(*map(F.lit, enhancements)).cast("array<string>")
     row = stored.agg(F.count("*").alias("total_chunks")).withColumns({"generated_at": F.current_timestamp(), "version": F.lit(version), "enhancements": named})
@@ -51,7 +72,7 @@ def read_chunks_json(spark: SparkSession, path: str, name: str = "chunks") -> Da
 
 def write_intents(intents: DataFrame, path: str, version: str, regenerate: bool = False) -> None:
     """Intents under ``path``/intents and a manifest with their number and mean quality score."""
-    intents.write.mode(_mode(regenerate)).parquet(f"{path}/intents")
+    _store(intents, f"{path}/intents", regenerate)
     stored = read_intents(intents.sparkSession, path)
     row = stored.agg(F.count("*").alias("total_intents"), F.avg("quality_score").alias("average_quality_score"))
     _manifest(row.withColumns({"generated_at": F.current_timestamp(), "version": F.lit(version)}), f"{path}/intents_manifest", regenerate)
@@ -62,13 +83,13 @@ def read_intents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks_with_intents(chunks: DataFrame, path: str, regenerate: bool = False) -> None:
-    chunks.write.mode(_mode(regenerate)).parquet(f"{path}/chunks_with_intents")
+    _store(chunks, f"{path}/chunks_with_intents", regenerate)
 
 
 def write_versioned(chunks: DataFrame, base: str, version: str, notes: str, date: str, embedding_model: str, regenerate: bool = False) -> DataFrame:
     """Chunks with vectors under ``base``/``version`` and their manifest, which is returned."""
     path = f"{base}/{version}"
-    chunks.write.mode(_mode(regenerate)).parquet(f"{path}/chunks")
+    _store(chunks, f"{path}/chunks", regenerate)
     stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
     given = {"version": version, "date": date, "notes": notes, "embedding_model": embedding_model}
     _manifest(stored.agg(F.count("*").alias("num_chunks")).withColumns({k: F.lit(v) for k, v in given.items()}), path, regenerate)
@@ -76,16 +97,17 @@ def write_versioned(chunks: DataFrame, base: str, version: str, notes: str, date
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, text): one question per line, stripped, blank lines dropped, numbered from 0 in file order.
+    """(query_id, text): one question per line, stripped, blank lines dropped, numbered from 0 in order of file names and lines.
 
     Lines are counted per input split and only the counts, one row each, meet in one place.
     """
-    lines = spark.read.text(path).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"), T.strip(F.col("value")).alias("text")).filter("text <> ''")
-    counts = lines.groupBy("p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("p", before.alias("offset"))
-    within = F.row_number().over(W.partitionBy("p").orderBy("m")) - 1
-    return lines.withColumn("i", within).join(F.broadcast(offsets), "p").select((F.col("i") + F.col("offset")).cast("long").alias("query_id"), "text")
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("m"), T.strip(F.col("value")).alias("text")).filter("text <> ''")
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("file", "start", before.alias("offset"))
+    within = F.row_number().over(W.partitionBy("file", "start").orderBy("m")) - 1
+    return lines.withColumn("i", within).join(F.broadcast(offsets), ["file", "start"]).select((F.col("i") + F.col("offset")).cast("long").alias("query_id"), "text")
 
 
 def write_answers(answers: DataFrame, path: str) -> None:

@@ -92,3 +92,44 @@ def test_topk_ties_and_zero_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
     asked = vectors.filter("vec_id = 1").withColumnRenamed("vec_id", "query_id")
     assert [(r.vec_id, r.score) for r in search.block_topk(asked, vectors, 3).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (3, 0.0)]
+
+
+def test_half_written_steps_are_written_again(spark, tmp_path):
+    from clausewright.sources import tables
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    (tmp_path / "x" / "chunks").mkdir(parents=True)  # a write that was cut off has no mark of success
+    tables.write_chunks(rows, f"file://{tmp_path}/x", "1.0")
+    assert tables.read_chunks(spark, f"file://{tmp_path}/x").count() == 2
+    tables.write_chunks(rows.limit(1), f"file://{tmp_path}/x", "1.0")
+    assert tables.read_chunks(spark, f"file://{tmp_path}/x").count() == 2  # a whole one stays
+    tables.write_chunks(rows.limit(1), f"file://{tmp_path}/x", "1.0", regenerate=True)
+    assert tables.read_chunks(spark, f"file://{tmp_path}/x").count() == 1
+
+
+def test_questions_in_order_of_files_and_lines(spark, tmp_path):
+    from clausewright.sources import tables
+
+    (tmp_path / "b.txt").write_text("third\n\n fourth \n")
+    (tmp_path / "a.txt").write_text("first\n" + "x" * 5000 + "\n")
+    got = sorted((r.query_id, r.text[:6]) for r in tables.read_questions(spark, f"file://{tmp_path}").collect())
+    assert got == [(0, "first"), (1, "xxxxxx"), (2, "third"), (3, "fourth")]
+
+
+def test_replies_are_asked_for_again(spark):
+    from clausewright.functions import hooks
+    from clausewright.operators import intents
+
+    state = {"n": 0}
+
+    def generate(said):
+        state["n"] += 1
+        if state["n"] == 1:
+            raise RuntimeError("busy")
+        return ("{broken", {}) if state["n"] == 2 else ('```json\n{"intents": []}\n```', {"total_tokens": 3})
+
+    rows = spark.createDataFrame([(1, [("user", "x")])], "id long, messages array<struct<role string, content string>>")
+    third = hooks.generate_replies(rows, generate, accept=intents.well_formed).first()
+    assert third.error is None and third.usage.total_tokens == 3
+    assert hooks.generate_replies(rows, lambda said: ("{broken", {}), accept=intents.well_formed).first().error == "malformed reply"
+    assert [intents.well_formed(x) for x in (None, "", "[]", "{}", "```\n{}\n```")] == [False, False, False, True, True]
