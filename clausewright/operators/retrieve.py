@@ -61,18 +61,19 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
         vocabulary = {t: i for i, t in enumerate(sorted({t for r in block for t in r.tags or ()}))}
         asked, most = _membership([r.tags for r in block], vocabulary), max(r.k_intents for r in block)
         tagged = asked.any(1)
-        place = {int(x): i for i, x in enumerate(ids)}
+        by_id = np.argsort(ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for start in range(0, len(whole), 1024):
                     batch = whole.slice(start, 1024)
                     keys = batch.column(0).to_numpy(zero_copy_only=False)
-                    x = search.unit(np.array([v if v is not None else [0.0] * size for v in batch.column(1).to_pylist()], np.float64))
-                    dense, sparse = q @ x.T, np.zeros((len(ids), len(keys)))
-                    for col, hits in enumerate(batch.column(3).to_pylist()):
-                        for hit in hits or ():
-                            sparse[place[hit["query_id"]], col] = hit["score"]
+                    dense, sparse = q @ search.unit(search.matrix(batch.column(1), size)).T, np.zeros((len(ids), len(keys)))
+                    hits = batch.column(3)
+                    flat = hits.flatten()  # null lists have none
+                    cols = np.repeat(np.arange(len(keys)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                    at = by_id[np.searchsorted(ids[by_id], flat.field("query_id").to_numpy(zero_copy_only=False))]
+                    sparse[at, cols] = flat.field("score").to_numpy(zero_copy_only=False)
                     lacks = tagged[:, None] & (asked @ _membership(batch.column(2).to_pylist(), vocabulary).T == 0)
                     both = (w_dense * dense + (w_bm25 * sparse if use_bm25 else 0.0)) * np.where(lacks, PENALTY, 1.0)
                     rows, cols, score = search.local_top(both, keys, most)
