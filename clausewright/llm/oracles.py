@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausewright.llm.licences import RULES, SENTENCES
+from clausewright.llm.licences import RULES, SENTENCES, normalised
 
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -44,21 +44,27 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def licences_sql() -> str:
-    """The scan with the same sentences and rules."""
-    known = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
+    """Words with what stands between them; a known sentence is a stretch of words between two marks, without an end of a sentence inside.
+
+    Of stretches that lie in a longer one only the longer counts. The rules are the same table.
+    """
+    known = ", ".join(f"({str(normalised(s).split())}, '{i}')" for i, s in SENTENCES.items())
     rules = {"".join(f"<{i}>" for i in ids): name for name, ids in sorted(RULES, key=lambda r: -len(r[1]))}
     names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.items())
     pattern = "|".join(rules)
     return rf"""
-WITH known(sentence, sid) AS (VALUES {known}),
-lines AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[.!?;][ \t]+', chr(10), 'g'), chr(10)) AS l FROM documents),
-cut AS (
-  SELECT doc_id, i AS place, trim(regexp_replace(lower(l[i]), '[^a-z0-9]+', ' ', 'g')) AS sentence
-  FROM lines, unnest(range(1, len(l) + 1)) AS t(i)),
-chains AS (
-  SELECT doc_id, count(*) AS n, string_agg('<' || sid || '>', '' ORDER BY place) AS chain
-  FROM cut JOIN known USING (sentence) GROUP BY doc_id),
+WITH known(words, sid) AS (VALUES {known}),
+texts AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g'), '\bv\.[ \t\n]+', 'v ', 'g') AS t FROM documents),
+tokens AS (SELECT doc_id, regexp_extract_all(t, '[a-z0-9]+') AS w, regexp_extract_all(' ' || t || ' ', '[^a-z0-9]+') AS gap FROM texts),
+ends AS (
+  SELECT doc_id, w, list_transform(gap, lambda g: CASE WHEN regexp_matches(g, '[.!?]["'')]*[ \t\n]|\n[^\n]*\n') THEN 2 WHEN regexp_matches(g, '\n|[;:][ \t]') THEN 1 ELSE 0 END) AS e FROM tokens),
+places AS (SELECT doc_id, i, w[i] AS word FROM ends, unnest(range(1, len(w) + 1)) AS t(i) WHERE i = 1 OR e[i] > 0),
+found AS (
+  SELECT p.doc_id, p.i, len(k.words) AS n, k.sid FROM places p JOIN known k ON p.word = k.words[1] JOIN ends d ON d.doc_id = p.doc_id
+  WHERE d.w[p.i:p.i + len(k.words) - 1] = k.words AND (p.i + len(k.words) - 1 = len(d.w) OR d.e[p.i + len(k.words)] > 0)
+    AND NOT list_contains(d.e[p.i + 1:p.i + len(k.words) - 1], 2)),
+longest AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.n > f.n AND o.i <= f.i AND o.i + o.n >= f.i + f.n)),
+chains AS (SELECT doc_id, count(*) AS n, string_agg('<' || sid || '>', '' ORDER BY i) AS chain FROM longest GROUP BY doc_id),
 taken AS (SELECT *, list_transform(regexp_extract_all(chain, '{pattern}'), lambda x: CASE x {names} END) AS t FROM chains)
 SELECT doc_id,
   coalesce(array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ','), '') AS licences,

@@ -239,14 +239,27 @@ modification, are permitted provided that the following conditions are met:
 
 def test_licences_in_wrapped_notices(spark, docs):
     rows = [(name, text) for name, text in NOTICES.items()] + [(name + "+", text.replace("\n", "\r\n")) for name, text in NOTICES.items()]
-    got = {r.doc_id: (r.licences, r.n_matches, r.unmatched) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), wrapped=True).collect()}
+    got = {r.doc_id: (r.licences, r.n_matches, r.unmatched) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {i: ([i.rstrip("+")], 1, []) for i, _ in rows}
     # What lines hold whole is found as without wrapping.
     text = "words that go on\nAll rights reserved. Some\nmore words; licensed under CC BY 4.0\nReleased under the MIT License\nand so on.\nAll rights reserved.\nAll rights reserved."
-    plain = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    for table in (plain, docs):
-        assert sorted(licences.scan(table, wrapped=True).collect()) == sorted(licences.scan(table).collect())
-    assert licences.scan(plain).first().n_matches == 5
+    plain = spark.createDataFrame([(1, text), (1, text), (None, "Not all rights reserved."), (2, "all rights\n\nreserved"), (3, "x " * 50_000 + "\nall\n# rights\n# reserved!")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_matches) for r in licences.scan(plain).collect()), key=str)
+    assert got == [(1, 5), (1, 5), (2, 0), (3, 1), (None, 0)]
+
+
+def test_licences_as_sql_has_it(spark, docs, tmp_path):
+    """Rows, wrapped notices among them, against the operator's SQL, which finds sentences by comparing words."""
+    import duckdb
+
+    from clausewright.llm import oracles, queries
+
+    rows = [(i, t) for i, t in enumerate([*NOTICES.values(), *(t.replace("\n", "\r\n") for t in NOTICES.values()), "; ".join(licences.SENTENCES.values()), "\n".join(licences.SENTENCES.values()), None, ""])]
+    docs.select(F.col("doc_id") + 1000, "text").union(spark.createDataFrame(rows, "doc_id long, text string")).toDF("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op4_licences(spark, str(tmp_path)).select("doc_id", "licences", "n_matches", "n_sentences", "unmatched").collect())
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(base.execute(oracles.licences_sql()).fetchall()) and max(r[3] for r in got) > 50
 
 
 # 5
