@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import BLOCK_BYTES, Block, materialise, span_hashes
+from clausewright.llm._shared import Block, materialise, span_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -39,7 +39,9 @@ BATCH = 1 << 16
 #: Ranges of hashes in a partition; each has an index of its own, and one is in memory at a time.
 RANGES = 8
 #: Runs, and bytes of runs, that a task packs at once.
-PACKED_RUNS, PACKED_BYTES = 1 << 20, 1 << 23
+PACKED_RUNS, PACKED_BYTES = 1 << 19, 1 << 23
+#: Bytes of text whose grams a task hashes at once; a longer text comes in pieces.
+PIECE_BYTES = 1 << 19
 #: A hash is frequent with at least HOT different runs, if they are also one in SHARE of all. So at most SHARE hashes (half a megabyte) are sent to the
 #: tasks, and the runs of any other hash are fewer than one in SHARE of all: less than the share of an ordinary task.
 HOT, SHARE = 1024, 1 << 16
@@ -187,7 +189,7 @@ def _answer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 def repeated_hashes(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, least: int | None = None) -> DataFrame:
     """What ``_answer`` says about (text, key): the hashes of each document's runs that occur more than once in all texts."""
-    least, n, piece = least or HOT, _partitions(keyed), BLOCK_BYTES
+    least, n, piece = least or HOT, _partitions(keyed), PIECE_BYTES
     asked = keyed.select("text", "key").mapInArrow(lambda b: _ask(b, length, gram, n, piece), ASKED)
     return asked.repartitionById(n, "p").mapInArrow(lambda b: _answer(b, least), "key long, hashes binary, h long, n long")
 
@@ -271,7 +273,7 @@ def _ship(batches: Iterator[pa.RecordBatch], length: int, gram: int, n: int, pie
             data = block.buf.tobytes()
             content = [data[a:b] for a, b in zip(start.tolist(), (start + count + length - 1).tolist(), strict=True)]
             held.append((h, s, doc[rows[text]], mark[rows[text]], start - block.bounds[text] + offsets[text], count, content))
-            size += int(count.sum()) + length * len(count)
+            size += int(count.sum()) + length * len(count) + length * int(count[np.isin(h, frequent)].sum())  # frequent ones go string by string
             if size >= PACKED_BYTES:
                 yield packed(held)
                 held, size = [], 0
@@ -356,7 +358,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, doc_id, mark, text, spans) of each document: row is all its columns; spans are (doc_id, mark, start, n) of strings that go."""
-    n, piece, size = _partitions(docs), BLOCK_BYTES, BATCH
+    n, piece, size = _partitions(docs), PIECE_BYTES, BATCH
     identity = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("mark"))
     keyed = identity.select("*", F.xxhash64("doc_id", "mark").alias("key"))
     answers = materialise(repeated_hashes(keyed.select(F.col("row.text").alias("text"), "key"), length, gram), "repeated")

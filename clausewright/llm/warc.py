@@ -1,8 +1,10 @@
 """WARC archives: writing, gzip normalisation with a sidecar offset index, reading back (operator 1).
 
 ``write_archives`` writes pages as WARC files whose records share one gzip stream each, by Spark's text sink.
-``normalise`` inflates each such stream once, in pieces, rewrites every record as a gzip member of its own and keeps the archive as
-a table of members in file order; the offset index is a table beside it. The bytes of an archive are its members by offset.
+``normalise`` inflates each such stream once, in pieces, and rewrites every record as a gzip member of its own. Spark has no sink for binary
+files on every store, so a rewritten archive is a table of its bytes in segments of about a MB (in order of offset they are the file), each with the offsets
+of its records; the sidecar offset index is a table beside it. Records are read by these offsets alone.
+An archive is bounded by bytes: larger records share a file with fewer others.
 
 Cases: null html is an empty payload; equal payloads of at least ``min_bytes`` bytes make revisits of the one with the smallest
 page_id (rows that repeat that page_id are responses too); a null page_id is a response and reads back as null; a null url has no
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records in one archive file at most.
-RECORDS_PER_FILE = 20_000
-PIECE = 1 << 16
+#: Payloads below so many bytes, and how many such records an archive holds at most: a GB before compression, but for one record that is larger.
+SIZES = ((1 << 16, 1 << 14), (1 << 22, 1 << 8), (1 << 62, 1))
+#: Bytes that are inflated at once, and bytes of a segment.
+PIECE, SEGMENT = 1 << 16, 1 << 20
 END = "\r\n\r\n"
 _URN = "urn:page:"
-MEMBERS = "archive string, offset long, length long, record_id string, record_type string, member binary"
+SEGMENTS = "archive string, offset long, content binary, records array<struct<offset long, length long, record_id string, record_type string>>"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
@@ -37,7 +40,7 @@ def base32_sha1(content):
 
 
 def warc_records(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One column ``value``: the record of each page, without the blank lines that end it.
+    """``value``, the record of each page without the blank lines that end it, and ``size``, the bytes of its payload.
 
     The first page of each payload is found on digests alone, so that a frequent payload is pre-aggregated.
     """
@@ -64,13 +67,22 @@ def warc_records(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T0
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return rows.select(F.concat(head, F.lit(END), block).alias("value"))
+    return rows.select(F.concat(head, F.lit(END), block).alias("value"), F.octet_length("html").alias("size"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write WARC files, each one gzip stream over all its records."""
-    out = warc_records(pages, min_bytes).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write WARC files, each one gzip stream over all its records; pages of a class of SIZES share files."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    kind = F.lit(len(SIZES) - 1)
+    for k in reversed(range(len(SIZES) - 1)):
+        kind = F.when(size < SIZES[k][0], F.lit(k)).otherwise(kind)
+    found = sorted(r.k for r in pages.select(kind.alias("k")).distinct().collect())  # a few classes
+    rows = warc_records(pages, min_bytes)
+    for k in found or [0]:
+        own = rows.filter(F.col("size") < SIZES[k][0])
+        own = own.filter(F.col("size") >= SIZES[k - 1][0]) if k else own
+        out = own.select("value").write.option("lineSep", END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", SIZES[k][1]).text(f"{path}/{k}")
 
 
 def inflate(content: memoryview) -> Iterator[bytes]:
@@ -110,50 +122,54 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         del buffer[: size + 4]
 
 
-def members(spark: SparkSession, path: str, level: int = 6) -> DataFrame:
-    """Each record of the archives under path as a gzip member, with its place in the rewritten archive."""
+def segments(spark: SparkSession, path: str, level: int = 6) -> DataFrame:
+    """The archives under path, rewritten: every record is a gzip member, and a segment holds some of them one behind the other."""
+
+    def made(name: str, offset: int, members: list[tuple]) -> pa.RecordBatch:
+        at, listed = offset, []
+        for member, headers in members:
+            listed.append({"offset": at, "length": len(member), "record_id": headers["warc-record-id"], "record_type": headers["warc-type"]})
+            at += len(member)
+        kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string())]))
+        columns = [pa.array([name]), pa.array([offset], pa.int64()), pa.array([b"".join(m for m, _ in members)], pa.binary()), pa.array([listed], kind)]
+        return pa.RecordBatch.from_arrays(columns, names=["archive", "offset", "content", "records"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, size, offset = [], 0, 0
+                held, size, offset = [], 0, 0
                 for headers, _, whole in records(inflate(memoryview(content.as_buffer()))):
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = packer.compress(whole) + packer.flush()
-                    rows.append((name, offset, len(member), headers["warc-record-id"], headers["warc-type"], member))
-                    offset, size = offset + len(member), size + len(member)
-                    if size > 1 << 22:
-                        yield _batch(rows, kinds)
-                        rows, size = [], 0
-                yield _batch(rows, kinds)
-
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("archive"), "content").mapInArrow(run, MEMBERS)
+                    held.append((packer.compress(whole) + packer.flush(), headers))
+                    size += len(held[-1][0])
+                    if size > SEGMENT:
+                        yield made(name, offset, held)
+                        held, size, offset = [], 0, offset + size
+                if held:
+                    yield made(name, offset, held)
 
-
-def _batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    names = [f.split()[0] for f in MEMBERS.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("archive"), "content").mapInArrow(run, SEGMENTS)
 
 
 def normalise(spark: SparkSession, source: str, target: str, level: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Rewrite archives record by record under ``target``: the members, and the sidecar offset index."""
-    members(spark, source, level).write.option("compression", "none").parquet(f"{target}/members")
-    stored = spark.read.schema(MEMBERS).parquet(f"{target}/members")
-    stored.drop("member").write.parquet(f"{target}/index")
-    return stored, spark.read.schema(stored.drop("member").schema).parquet(f"{target}/index")
+    """Rewrite archives under ``target``: their segments, and the sidecar index (archive, segment, offset, length, record_id, record_type)."""
+    segments(spark, source, level).write.option("compression", "none").parquet(f"{target}/archives")
+    stored = spark.read.schema(SEGMENTS).parquet(f"{target}/archives")
+    places = stored.select("archive", F.col("offset").alias("segment"), F.explode("records").alias("r")).select("archive", "segment", "r.*")
+    places.write.parquet(f"{target}/index")
+    return stored, spark.read.schema(places.schema).parquet(f"{target}/index")
 
 
 def fetch(stored: DataFrame, index: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """The members of some record ids, found by the offset index."""
-    places = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi").select("archive", "offset")
-    return stored.join(places, ["archive", "offset"], "left_semi")
+    """The segments that hold some record ids, each with the places of these records only, found by the offset index."""
+    wanted = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
+    places = wanted.groupBy("archive", F.col("segment").alias("offset")).agg(F.collect_list(F.struct("offset", "length", "record_id", "record_type")).alias("records"))
+    return stored.drop("records").join(places, ["archive", "offset"]).select("archive", "offset", "content", "records")
 
 
 def read_records(stored: DataFrame) -> DataFrame:
-    """Inflate members and report each record; a response's digest is computed from its payload and must be the one stated."""
+    """Inflate the members at the offsets that the segments list and report each record; a response's digest is computed from its payload and must be the one stated."""
 
     def page(urn: str | None) -> int | None:
         number = (urn or "").strip("<>").removeprefix(_URN)
@@ -169,11 +185,18 @@ def read_records(stored: DataFrame) -> DataFrame:
         return page(headers["warc-record-id"]), size, digest, kind, page(headers.get("warc-refers-to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for batch in batches:
-            rows = [report(*next(records(inflate(memoryview(m.as_buffer()))))[:2]) for m in batch.column(3)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[:3]], names=names)
-
-    return stored.select("archive", "offset", "length", "member").mapInArrow(run, RECORDS)
+            for archive, first, content, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                data, rows = memoryview(content.as_buffer()), []
+                for place in places:
+                    at = place["offset"] - first
+                    headers, block, _ = next(records(inflate(data[at : at + place["length"]])))
+                    if headers["warc-record-id"] != place["record_id"]:
+                        raise ValueError(f"the index has another record than {headers['warc-record-id']}")
+                    rows.append((*report(headers, block), archive, place["offset"], place["length"]))
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return stored.select("archive", "offset", "content", "records").mapInArrow(run, RECORDS)

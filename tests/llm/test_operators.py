@@ -43,14 +43,27 @@ def test_warc(spark, tmp_path):
         (3, 9, e, "revisit", 1), (1, 9, e, "response", None), (1, 9, e, "response", None), (2, 0, sha(""), "response", None),
         (5, 0, sha(""), "revisit", 2), (4, 6, sha("a\r\n\r\nb"), "response", None), (0, 7, sha("null id"), "response", None),
     ], key=str)
-    members = {(r.archive, r.offset): bytes(r.member) for r in stored.collect()}
+    # The segments of an archive in order are a file of one member for each record, and the sidecar says where.
+    files = {}
+    for r in sorted(stored.collect(), key=lambda r: r.offset):
+        assert len(files.setdefault(r.archive, bytearray())) == r.offset
+        files[r.archive] += r.content
     for row in index.collect():
-        assert len(members[row.archive, row.offset]) == row.length
-    archive = b"".join(m for _, m in sorted(members.items()))
-    whole = list(warc.records(warc.inflate(memoryview(archive))))
-    assert len(whole) == 7 and all(h["warc-type"] in ("response", "revisit") for h, _, _ in whole)
-    wanted = spark.createDataFrame([("<urn:page:4>",)], "record_id string")
-    assert warc.fetch(stored, index, wanted).count() == 1
+        (headers, _, _), = warc.records(warc.inflate(memoryview(files[row.archive])[row.offset : row.offset + row.length]))
+        assert headers["warc-record-id"] == row.record_id and headers["warc-type"] == row.record_type
+    whole = [x for f in files.values() for x in warc.records(warc.inflate(memoryview(f)))]
+    assert len(whole) == 7 == index.count()
+    wanted = spark.createDataFrame([("<urn:page:4>",), ("<urn:page:3>",), ("<urn:page:77>",)], "record_id string")
+    assert sorted(r.page_id for r in warc.read_records(warc.fetch(stored, index, wanted)).collect()) == [3, 4]
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", ((10, 5), (100, 2), (1 << 62, 1)))
+    pages = spark.createDataFrame([(i, "u", f"{i:03d}" + "x" * (0, 40, 400)[i % 3]) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/in")
+    stored, index = warc.normalise(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    assert sorted(r.n for r in index.groupBy("archive").agg(F.count("*").alias("n")).collect()) == [1] * 10 + [2] * 5 + [5] * 2
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_records(stored).collect()) == [(i, 3 + (0, 40, 400)[i % 3]) for i in range(30)]
 
 
 def test_warc_minimum_and_empty(spark, tmp_path):
@@ -313,7 +326,7 @@ def test_suffix_dedup(spark, docs, cases, empty, monkeypatch):
 
 
 def test_suffix_dedup_of_a_long_text_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1000)
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("abcdé"), 6000))
     rows = [(1, text), (2, text[2500:3500] + "x" * 1200), (3, "y" + text[900:1100])]
