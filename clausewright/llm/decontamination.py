@@ -59,6 +59,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     index = materialise(prefix_index(docs, windows, small), "prefixes")
     index = F.broadcast(index) if small else index
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w")).filter("size(w) > 0")
+    return (_found_in_blocks if small else _found_by_place)(rows, index, window)
+
+
+def _found_in_blocks(rows: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """Occurrences by a small index: blocks of words meet it where they are, so that nothing is shuffled."""
     cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK)), lambda s: F.struct(s.alias("base"), F.slice("w", s + 1, BLOCK + window - 1).alias("words")))
     pieces = rows.select("doc_id", "mark", F.explode(cut).alias("b")).select("doc_id", "mark", "b.base", "b.words")
     placed = pieces.select("doc_id", "mark", "base", "words", F.posexplode("words").alias("at", "token"))
@@ -68,6 +73,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     return found.select("doc_id", "mark", (F.col("base") + start).alias("start"), "n", "items")
 
 
+def _found_by_place(rows: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """Occurrences by a large index: only words and their places are shuffled to it; what fits goes back to its document and is compared there."""
+    placed = rows.select("doc_id", "mark", F.size("w").alias("size"), F.posexplode("w").alias("at", "token"))
+    start = F.col("at") - F.col("offset")
+    fits = placed.join(index, "token").filter((start >= 0) & (start + F.col("n") <= F.col("size"))).select("doc_id", "mark", start.alias("start"), "n", "win", "items")
+    texts = rows.withColumnsRenamed({"doc_id": "d", "mark": "m"}).dropDuplicates(["d", "m"])  # repeated rows have the same hits
+    both = fits.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
+    return both.filter(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("win")).select("doc_id", "mark", "start", "n", "items")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items themselves."""
     hits = materialise(occurrences(docs, benchmark, window), "hits")

@@ -373,11 +373,15 @@ def test_suffix_index_levels():
 
 
 # 7
-def test_decontamination(spark, cases, empty):
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_WINDOWS, 0])  # 0: by shuffles
+def test_decontamination(spark, cases, empty, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
     items = [("b", "one two three four five six seven eight nine ten eleven"), ("a", "Short ITEM"), ("c", "..."), ("d", None), ("e", "ONE two three four five six seven eight nine ten")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    rows = [(1, "x one two-three four five six seven eight nine ten eleven y"), (2, "a short item, short item"), (3, "one two three four five six seven eight nine"), (4, None), (5, " ".join(["w"] * 63 + items[0][1].split()))]
-    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    rows = [(1, "x one two-three four five six seven eight nine ten eleven y"), (2, "a short item, short item"), (3, "one two three four five six seven eight nine"), (4, None), (5, " ".join(["w"] * 63 + items[0][1].split())), (None, "short item"), (None, "no item"), (2, "a short item, short item")]
+    found = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert len(found) == 8 and sorted((r.n_hit, r.items) for r in found if r.doc_id is None) == [(0, []), (2, ["a"])]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in found if r.doc_id is not None}
     assert got == {1: (13, 11, ["b", "e"]), 2: (5, 4, ["a"]), 3: (9, 0, []), 4: (0, 0, []), 5: (74, 11, ["b", "e"])}
     assert decontamination.contamination(cases, bench).filter("contaminated").count() == 0
     assert decontamination.contamination(empty, bench).count() == 0 and decontamination.contamination(cases, bench.limit(0)).filter("n_items > 0").count() == 0

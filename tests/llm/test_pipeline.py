@@ -40,3 +40,29 @@ def test_stages_keep_repeated_and_unnamed_rows(spark, tmp_path):
         now = stage(spark, now, str(tmp_path)).cache()
         assert now.columns == docs.columns and sorted(r.kept for r in now.collect()) == ["x", "y", "y", "z"]
     assert {r.kept: r.text for r in now.collect()} == {"x": rows[0][1], "y": rows[1][1][:35], "z": rows[3][1]}
+
+
+def test_stages_on_edge_cases_and_empty_tables(spark, tmp_path, cases, empty):
+    """Nulls, empty, very long and repeated texts, ties, rows without doc_id: what each stage keeps; and tables without rows."""
+    spark.createDataFrame([(1, "the quick brown fox"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"word{i} goes on" for i in range(60_000))
+    unnamed = [(None, "someone without a number writes about the sea"), (None, "someone without a number writes about the sea")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(r.doc_id, r.text, r.lang, "s", None) for r in cases.collect()] + [(i, t, "en", "s", len(t)) for i, t in [(50, long), (51, long), *unnamed]]
+    made = spark.createDataFrame(rows, columns)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted((r.doc_id for r in stages[name](spark, made, str(tmp_path)).collect()), key=str)
+    assert set(kept("language_id")) <= {5, 6, 7, 8, 9, 10, 11, 12, 50, 51, None} and kept("language_id").count(7) in (0, 2)
+    near = kept("simhash_near_dedup")
+    assert near.count(50) == 1 and 51 not in near and near.count(None) == 2 and 1 in near and 7 not in near
+    cut = {r.doc_id: r.text for r in stages["suffix_array_dedup"](spark, made, str(tmp_path)).collect()}
+    assert cut[50] == long and 51 not in cut and cut[1] is None and cut[2] == "" and cut[7] == "the quick brown fox jumps over the lazy dog"
+    clean = kept("benchmark_decontamination")
+    assert 6 not in clean and 7 not in clean and clean.count(None) == 2 and {1, 2, 3, 50, 51} <= set(clean)
+    assert len(stages["byte_bpe"](spark, made, str(tmp_path)).collect()) == len(rows)
+    none = spark.createDataFrame([], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "byte_bpe" or out.columns == none.columns)
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
