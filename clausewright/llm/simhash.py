@@ -28,6 +28,9 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: An index bucket with more fingerprints is dealt out as pairs of blocks of about this size.
 BUCKET = 1024
+#: A bucket of more than DEEP blocks is keyed again by these pieces of the 43 or 42 bits outside its segment.
+INNER = ((0, 14), (14, 14), (28, 15))
+DEEP = 64
 #: Shingles that are hashed at once.
 SHINGLES = 1 << 18
 
@@ -133,15 +136,27 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def variant_keys(fp):
-    """The 64 keys of a fingerprint: which bit is left out, then the rest of its segment."""
+def variant_keys(bits, segments=SEGMENTS):
+    """The keys of a fingerprint, one for each bit: which bit is left out, then the rest of its segment."""
     keys = []
-    for shift, width in SEGMENTS:
-        part = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    for shift, width in segments:
+        part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
         keys += [part.bitwiseAND(F.lit(~(1 << p))).bitwiseOR(F.lit((shift + p) << 22)) for p in range(width)]
     return F.array(*keys)
 
 
+def inner_keys(fp, key):
+    """Keys of the bits outside the segment that ``key`` is made of; two fingerprints within five bits there share one."""
+    (_, first), (second, _), (third, last) = SEGMENTS
+    bit, low = F.shiftrightunsigned(key, 22), fp.bitwiseAND(F.lit((1 << first) - 1))
+    outside = (
+        F.when(bit < second, F.shiftrightunsigned(fp, second))
+        .when(bit < third, F.shiftrightunsigned(fp, third).bitwiseOR(F.shiftleft(low, last)))
+        .otherwise(fp.bitwiseAND(F.lit((1 << third) - 1)))
+    )
+    return variant_keys(outside, INNER)
+
+
 def _canonical(x: np.ndarray) -> np.ndarray:
     """The one key number under which a pair is reported, from the differing bits x."""
     out = np.full(len(x), -1, np.int64)
@@ -191,27 +206,37 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b) of fingerprints that connect exactly what links at ``distance`` or fewer bits connect.
 
     Rows of an index bucket meet in one task only up to 2 * BUCKET of them; a larger bucket is cut into
-    blocks, and each pair of blocks is a group by itself. A group reports a spanning forest of its links.
+    blocks, and each pair of blocks is a group by itself. A bucket of more than DEEP blocks is first keyed
+    again by the bits outside its segment, so that a fingerprint isn't sent once for each of very many blocks.
+    A group reports a spanning forest of its links.
     """
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.select("fp").repartition(n, F.xxhash64("fp"))  # each row becomes 64; by fp the rows would stay in the few tasks that grouped them
     keyed = spread.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
-    live = keyed.join(hot, "key", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / F.lit(BUCKET)), F.lit(1)).cast("int"))
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "simhash-hot")
+    large = F.col("n") > BUCKET * DEEP
+    live = keyed.join(hot, "key", "left").withColumn("sub", F.lit(-1))
+    if not hot.filter(large).isEmpty():
+        inner = inner_keys(F.col("fp"), F.col("key"))
+        counted = keyed.join(hot.filter(large), "key").select("key", F.explode(inner).alias("sub")).groupBy("key", "sub").agg(F.count("*").alias("m"))
+        subs = F.when(large, inner).otherwise(F.array(F.lit(-1)))
+        live = live.select("key", "fp", "n", F.explode(subs).alias("sub")).join(counted.filter(F.col("m") > BUCKET), ["key", "sub"], "left")
+        live = live.withColumn("n", F.when(large, F.col("m")).otherwise(F.col("n")))
     own = F.expr("cast(pmod(xxhash64(fp, 7L), k) as int)")
     dealt = (
-        live.withColumn("own", own)
-        .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-        .select("key", "fp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        live.withColumn("k", F.coalesce(F.ceil(F.col("n") / F.lit(BUCKET)), F.lit(1)).cast("int"))
+        .withColumn("own", own)
+        .select("key", "sub", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+        .select("key", "sub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def links(rows):
-            key, fp, lo, hi = rows
-            change = (np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
-            a, b = _bucket_links(np.concatenate([[0], np.cumsum(change)]), key, fp.view(np.uint64), distance)
+            *group, fp = rows
+            change = np.any([np.diff(c) != 0 for c in group], axis=0)
+            a, b = _bucket_links(np.concatenate([[0], np.cumsum(change)]), group[0], fp.view(np.uint64), distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
@@ -220,7 +245,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            same = (rows[0] == rows[0][-1]) & (rows[2] == rows[2][-1]) & (rows[3] == rows[3][-1])
+            same = np.all([c == c[-1] for c in rows[:-1]], axis=0)
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
                 yield links([x[:cut] for x in rows])
@@ -228,20 +253,22 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield links(rest)
 
-    parts = dealt.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi")
-    return parts.select("key", "fp", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    parts = dealt.repartition("key", "sub", "lo", "hi").sortWithinPartitions("key", "sub", "lo", "hi")
+    return parts.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest linked doc_id)."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest linked doc_id).
+
+    Fingerprints, classes and names are tables before they are joined by fingerprint or root: then a join reads plain
+    shuffles (or a small table), which adaptive execution splits where a third of the rows share a key.
+    """
     marked = materialise(fingerprints(docs, width), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(fingerprint_links(distinct, distance))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
-    )
-    classes = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(classes, "root").select("fp", "component_id")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    roots = connected_components(fingerprint_links(distinct, distance)).withColumnRenamed("node", "fp")
+    classes = materialise(distinct.join(roots, "fp").groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-classes")
+    linked = roots.join(classes, "root").select("fp", "component_id")
+    named = materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "simhash-names")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

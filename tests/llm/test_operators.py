@@ -169,9 +169,11 @@ def test_simhash(docs, cases, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links_across_bucket_blocks(spark, monkeypatch):
-    """A large bucket is cut into blocks; all links still connect."""
-    monkeypatch.setattr(simhash, "BUCKET", 8)
+@pytest.mark.parametrize(("bucket", "deep"), [(8, 64), (8, 1), (3, 2)])
+def test_simhash_links_across_bucket_blocks(spark, monkeypatch, bucket, deep):
+    """A large bucket is cut into blocks, a very large one keyed again by its other bits; all links still connect."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "DEEP", deep)
     rng = np.random.default_rng(1)
     fps = {int(x) for x in rng.integers(0, 1 << 62, 30)}
     fps |= {x ^ sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for x in list(fps)[:4] for k in rng.integers(1, 7, 60)}
@@ -182,6 +184,21 @@ def test_simhash_links_across_bucket_blocks(spark, monkeypatch):
     assert len({roots.get(x, x) for x in signed}) == len(expected)
 
 
+def test_simhash_inner_keys_meet(spark):
+    """Fingerprints that differ in at most four bits share an outer key and, for each shared outer key, an inner one."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        x = int(rng.integers(0, 1 << 63)) << 1 | int(rng.integers(0, 2))
+        y = x ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 5)), replace=False))
+        rows += [(i, side, v - (1 << 64) if v >> 63 else v) for side, v in enumerate((x, y))]
+    keys = spark.createDataFrame(rows, "i int, side int, fp long").select("i", "side", "fp", F.explode(simhash.variant_keys(F.col("fp"))).alias("key"))
+    keys = keys.withColumn("inner", simhash.inner_keys(F.col("fp"), F.col("key"))).withColumn("size", F.size("inner"))
+    a, b = keys.filter("side = 0"), keys.filter("side = 1").select("i", "key", F.col("inner").alias("other"))
+    met = a.join(b, ["i", "key"]).select("i", F.arrays_overlap("inner", "other").alias("meet"), "size").collect()
+    assert {r.i for r in met} == set(range(300)) and all(r.meet for r in met) and {r.size for r in met} == {43}
+
+
 def test_xxh64():
     rng = np.random.default_rng(2)
     buf = rng.integers(0, 256, 9000).astype(np.uint8)
