@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,56 +40,57 @@ def _membership(tag_lists, vocabulary: dict[str, int]) -> np.ndarray:
 def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id", w_dense: float = W_DENSE, w_bm25: float = W_BM25, use_bm25: bool = True) -> DataFrame:
     """(query_id, key, similarity_score, bm25_score, hybrid_score, rank), exact over all pairs.
 
-    ``queries`` are (query_id, text, tags, k_intents, embedding), ``intents`` (key, text, semantic_tags, embedding). Queries go
-    out in blocks of bounded size. The sparse scores of a block are gathered on their intent, at most one per query of the
-    block, so that a task computes both scores of a piece of intents at once and passes on its best rows only. A query with
+    ``queries`` are (query_id, text, tags, k_intents, embedding), ``intents`` (key, text, semantic_tags, embedding). Blocks of
+    queries meet parts of the intents. The sparse scores of a block are gathered on their intent, at most one per query of the
+    block, so that a cell computes both scores of a piece of intents at once and passes on its best rows only. A query with
     tags halves the score of intents that share none. Negative scores need no special case. Null embeddings and zero vectors
     have similarity 0; ties go to the smaller key.
     """
-    spark = intents.sparkSession
-    index = search.bm25_index(intents.select(key, "text"), key) if use_bm25 else None
     key_type = dict(intents.dtypes)[key]
+    names = ["query_id", key, "similarity_score", "bm25_score", "hybrid_score"]
     schema = f"query_id long, {key} {key_type}, similarity_score double, bm25_score double, hybrid_score double"
-    columns = ["query_id", "text", "tags", "k_intents", "embedding"]
-
-    def ask(block: list) -> DataFrame:
-        ids = np.array([r.query_id for r in block], np.int64)
-        size = max((len(r.embedding) for r in block if r.embedding is not None), default=1)
-        q = search.unit(np.array([r.embedding if r.embedding is not None else [0.0] * size for r in block], np.float64))
-        vocabulary = {t: i for i, t in enumerate(sorted({t for r in block for t in r.tags or ()}))}
-        asked, most = _membership([r.tags for r in block], vocabulary), max(r.k_intents for r in block)
-        tagged = asked.any(1)
-        by_id = np.argsort(ids)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, len(whole), 1024):
-                    batch = whole.slice(start, 1024)
-                    keys = batch.column(0).to_numpy(zero_copy_only=False)
-                    dense, sparse = q @ search.unit(search.matrix(batch.column(1), size)).T, np.zeros((len(ids), len(keys)))
-                    hits = batch.column(3)
-                    flat = hits.flatten()  # null lists have none
-                    cols = np.repeat(np.arange(len(keys)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                    at = by_id[np.searchsorted(ids[by_id], flat.field("query_id").to_numpy(zero_copy_only=False))]
-                    sparse[at, cols] = flat.field("score").to_numpy(zero_copy_only=False)
-                    lacks = tagged[:, None] & (asked @ _membership(batch.column(2).to_pylist(), vocabulary).T == 0)
-                    both = (w_dense * dense + (w_bm25 * sparse if use_bm25 else 0.0)) * np.where(lacks, PENALTY, 1.0)
-                    rows, cols, score = search.local_top(both, keys, most)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[rows]), batch.column(0).take(pa.array(cols)), pa.array(dense[rows, cols].round(9)), pa.array(sparse[rows, cols].round(9)), pa.array(score)],
-                        names=["query_id", key, "similarity_score", "bm25_score", "hybrid_score"],
-                    )
-
-        rows = intents.select(key, F.col("embedding").cast("array<double>").alias("embedding"), "semantic_tags")
-        none = F.lit(None).cast("array<struct<query_id:bigint,score:double>>")
-        if index is None:
-            return rows.withColumn("hits", none).mapInArrow(run, schema)
-        words = spark.createDataFrame([(r.query_id, r.text) for r in block], "query_id long, text string")
-        scores = search.max_normalise(search.bm25_scores(words, index, key, "query_id"), "query_id")
-        hits = scores.groupBy(key).agg(F.collect_list(F.struct("query_id", "score")).alias("hits"))
-        return rows.join(hits, key, "left").select(key, "embedding", "semantic_tags", "hits").mapInArrow(run, schema)
-
-    found = search.in_blocks(queries.select(*columns), ask, spark.createDataFrame([], schema))
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        if len(asked) and len(rows):
+            rows = rows.combine_chunks()
+            size = search.vector_size(asked["embedding"], rows["embedding"])
+            ids, q = asked["query_id"].to_numpy(), search.unit(search.matrix(asked["embedding"], size))
+            wanted = asked["tags"].to_pylist()
+            vocabulary = {t: i for i, t in enumerate(sorted({t for tags in wanted for t in tags or ()}))}
+            marks, most, by_id = _membership(wanted, vocabulary), max(asked["k_intents"].to_pylist()), np.argsort(ids)
+            tagged = marks.any(1)
+            for start in range(0, len(rows), search.PIECE):
+                piece = rows.slice(start, search.PIECE)
+                keys = piece[key].to_numpy()
+                dense, sparse = q @ search.unit(search.matrix(piece["embedding"], size)).T, np.zeros((len(ids), len(keys)))
+                hits = piece["hits"].combine_chunks()
+                flat = hits.flatten()  # null lists have none
+                cols = np.repeat(np.arange(len(keys)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                at = by_id[np.searchsorted(ids[by_id], flat.field("query_id").to_numpy(zero_copy_only=False))]
+                sparse[at, cols] = flat.field("score").to_numpy(zero_copy_only=False)
+                lacks = tagged[:, None] & (marks @ _membership(piece["semantic_tags"].to_pylist(), vocabulary).T == 0)
+                both = (w_dense * dense + (w_bm25 * sparse if use_bm25 else 0.0)) * np.where(lacks, PENALTY, 1.0)
+                at, cols, score = search.local_top(both, keys, most)
+                found.append((ids[at], keys[cols], dense[at, cols].round(9), sparse[at, cols].round(9), score))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * 5
+        if found:
+            kept = search.best_rows(columns[0], columns[1], columns[4], most)
+            columns = [c[kept] for c in columns]
+        types = [pa.int64(), rows.schema.field(key).type if key in rows.schema.names else pa.null(), *[pa.float64()] * 3]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    asked = queries.select("query_id", "text", "tags", "k_intents", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = intents.select(key, F.col("embedding").cast("array<double>").alias("embedding"), "semantic_tags")
+    (block, blocks), (part, parts) = search.pieces(asked, ["query_id"]), search.pieces(rows, [key])
+    dealt = rows.withColumns({"part": part, "block": search.every(blocks)})
+    if use_bm25:
+        scores = search.max_normalise(search.bm25_scores(asked, search.bm25_index(intents.select(key, "text"), key), key, "query_id"), "query_id")
+        hits = scores.withColumn("block", block).groupBy(key, "block").agg(F.collect_list(F.struct("query_id", "score")).alias("hits"))
+        dealt = dealt.join(hits, [key, "block"], "left")
+    else:
+        dealt = dealt.withColumn("hits", F.lit(None).cast("array<struct<query_id:bigint,score:double>>"))
+    found = search.in_cells(asked.drop("text").withColumns({"block": block, "part": search.every(parts)}), dealt, run, schema)
     limits = queries.select("query_id", "k_intents")
     ranked = search.ranked(found, "query_id", key, "hybrid_score").join(limits, "query_id")
     return ranked.filter(F.col("rank") <= F.col("k_intents")).drop("k_intents")

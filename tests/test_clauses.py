@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,21 @@ def test_history(spark):
     assert len(last.history) == 20 and last.history[0].content == "m3" and last.conversation_length == 10
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_topk_in_many_cells(spark, monkeypatch, metric):
+    """Blocks of queries meet parts of vectors: equal to brute force, with ties, null vectors and no queries."""
+    monkeypatch.setattr(search, "BLOCK", 5)
+    x = np.random.default_rng(3).integers(-2, 3, (37, 3)).astype(float)
+    rows = [(i, None if i == 9 else v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = vectors.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    near = -((x[:, None] - x) ** 2).sum(2) if metric == "l2" else x @ x.T / norm[:, None] / norm
+    want = {(q, n): int(v) for q in range(0, 37, 3) if q != 9 for n, v in enumerate(sorted((v for v in range(37) if v != 9), key=lambda v: (-near[q, v].round(9), v))[:4], 1)}
+    assert {(r.query_id, r["rank"]): r.vec_id for r in search.block_topk(asked, vectors, 4, metric).collect()} == want
+    assert search.block_topk(asked.limit(0), vectors, 4, metric).count() == 0 == search.block_topk(asked, vectors.limit(0), 4, metric).count()
+
+
 def test_topk_ties_and_zero_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
     asked = vectors.filter("vec_id = 1").withColumnRenamed("vec_id", "query_id")

@@ -108,8 +108,10 @@ def test_a_failing_generator_keeps_its_rows(spark):
     assert row.content is None and row.usage is None and row.error == "down"
 
 
-@pytest.mark.parametrize("use_bm25", [True, False])
-def test_hybrid_equals_brute_force(spark, use_bm25):
+@pytest.mark.parametrize(("use_bm25", "block"), [(True, 4096), (True, 2), (False, 7)])
+def test_hybrid_equals_brute_force(spark, monkeypatch, use_bm25, block):
+    """Also where queries and intents meet in many cells."""
+    monkeypatch.setattr(search, "BLOCK", block)
     rng = np.random.default_rng(5)
     words = ["ab", "cd", "ef", "gh"]
     docs = [(f"i{n:02d}", " ".join(rng.choice(words, 5)), [["x"], ["y"], None][n % 3], None if n == 4 else [float(v) for v in rng.integers(-2, 3, 3)]) for n in range(40)]
