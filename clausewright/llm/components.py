@@ -11,7 +11,7 @@ from clausewright.llm._shared import materialise
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the larger (or smaller) neighbours of every node at the node's smallest neighbour.
 
-    The least neighbour is pre-aggregated, then joined back, so that a hub's edges may be split over tasks.
+    The least neighbour is pre-aggregated, then joined back; a hub's edges are streamed through one task, never gathered.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
