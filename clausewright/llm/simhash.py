@@ -1,8 +1,9 @@
 """SimHash near-duplicate classes by deletion-variant signatures (operator 3).
 
-A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four (even five) bits
-have a segment that differs in at most one, so they share an index key made of one segment with one bit left
-out. Keys are joined by equality and every candidate is verified by its Hamming distance.
+A 64-bit fingerprint is cut into three segments for a distance of four bits, into four for the seven of the pipeline's stage:
+few enough that two fingerprints within the distance have a segment that differs in at most one bit, so they share an index
+key made of one segment with one bit left out. Keys are joined by equality and every candidate is verified by its Hamming
+distance.
 
 Cases: null, empty and word-less texts have fingerprint zero and link like any other; texts shorter than a shingle
 are one shingle; equal texts share a fingerprint, which enters the index once; repeated rows stay repeated rows; an
@@ -24,12 +25,9 @@ from clausewright.llm._shared import IS_SPACE, LOWER_AZ, Block, blocks, material
 from clausewright.llm.components import connected_components
 
 SEED = 42
-#: First bit and width of the three segments.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: An index bucket with more fingerprints is dealt out as pairs of blocks of about this size.
 BUCKET = 1024
-#: A bucket of more than DEEP blocks is keyed again by these pieces of the 43 or 42 bits outside its segment.
-INNER = ((0, 14), (14, 14), (28, 15))
+#: A bucket of more than DEEP blocks is keyed again by pieces of the bits outside its segment.
 DEEP = 64
 #: Shingles that are hashed at once.
 SHINGLES = 1 << 18
@@ -90,8 +88,15 @@ def xxh64_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
-def block_fingerprints(block: Block, width: int) -> np.ndarray:
-    """The fingerprints of a block's texts, as unsigned 64-bit integers."""
+def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
+    """First bit and width of the fewest equal segments of which one differs in at most one bit at ``distance`` or fewer."""
+    n = distance // 2 + 1
+    cuts = [i * bits // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def block_fingerprints(block: Block, width: int, least: int = 1) -> np.ndarray:
+    """The fingerprints of a block's texts, as unsigned 64-bit integers; fewer than ``least`` shingles are one of all words."""
     word = ~IS_SPACE[block.buf]
     keep = word.copy()
     keep[1:] |= word[:-1]  # each word and the one separator behind it
@@ -104,7 +109,9 @@ def block_fingerprints(block: Block, width: int) -> np.ndarray:
     starts, ends = spans(inside)
     first = block.word_bounds(spans(word)[0])
     counts = np.diff(first)
-    shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    whole = counts - width + 1 < least
+    shingles = np.where(whole, np.minimum(counts, 1), counts - width + 1)
+    size = np.where(whole, counts, width)
     has = np.flatnonzero(shingles)
     offset = np.concatenate([[0], np.cumsum(shingles[has])])
     ones = np.zeros((len(has), 64), np.int64)
@@ -112,7 +119,7 @@ def block_fingerprints(block: Block, width: int) -> np.ndarray:
         number = np.arange(lo, min(lo + SHINGLES, int(offset[-1])))
         owner = np.searchsorted(offset, number, side="right") - 1
         at = number - offset[owner] + first[has][owner]
-        last = np.minimum(at + width, first[has + 1][owner]) - 1
+        last = at + size[has][owner] - 1
         a, b = starts[at[0]], ends[last[-1]]
         hashes = xxh64_spans(text[a:b], starts[at] - a, ends[last] - a)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -122,12 +129,12 @@ def block_fingerprints(block: Block, width: int) -> np.ndarray:
     return result
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (a signed long) of each document's shingles of ``width`` words."""
+def fingerprints(docs: DataFrame, width: int = 4, least: int = 1) -> DataFrame:
+    """doc_id and fp (a signed long) of each document's shingles of ``width`` words; fewer than ``least`` are one of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [block_fingerprints(b, width) for b in blocks(batch.column(1), lambda t: t.translate(LOWER_AZ))]
+            found = [block_fingerprints(b, width, least) for b in blocks(batch.column(1), lambda t: t.translate(LOWER_AZ))]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fp"]
@@ -136,31 +143,29 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def variant_keys(bits, segments=SEGMENTS):
-    """The keys of a fingerprint, one for each bit: which bit is left out, then the rest of its segment."""
+def variant_keys(bits, pieces):
+    """The keys of a fingerprint, one for each bit: which bit is left out, then the rest of its piece."""
     keys = []
-    for shift, width in segments:
-        part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        keys += [part.bitwiseAND(F.lit(~(1 << p))).bitwiseOR(F.lit((shift + p) << 22)) for p in range(width)]
+    for shift, width in pieces:
+        part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+        keys += [part.bitwiseAND(F.lit(~(1 << p))).bitwiseOR(F.lit((shift + p) << 32)) for p in range(width)]
     return F.array(*keys)
 
 
-def inner_keys(fp, key):
-    """Keys of the bits outside the segment that ``key`` is made of; two fingerprints within five bits there share one."""
-    (_, first), (second, _), (third, last) = SEGMENTS
-    bit, low = F.shiftrightunsigned(key, 22), fp.bitwiseAND(F.lit((1 << first) - 1))
-    outside = (
-        F.when(bit < second, F.shiftrightunsigned(fp, second))
-        .when(bit < third, F.shiftrightunsigned(fp, third).bitwiseOR(F.shiftleft(low, last)))
-        .otherwise(fp.bitwiseAND(F.lit((1 << third) - 1)))
-    )
-    return variant_keys(outside, INNER)
+def inner_keys(fp, key, distance: int = 4):
+    """Keys of the bits outside the segment that ``key`` is made of; two fingerprints within the distance there share one."""
+    pieces, bit, outside = segments(distance), F.shiftrightunsigned(key, 32), None
+    for shift, width in pieces:
+        low = fp.bitwiseAND(F.lit((1 << shift) - 1))
+        rest = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, shift + width), shift)) if shift + width < 64 else low
+        outside = (F if outside is None else outside).when(bit < shift + width, rest)
+    return variant_keys(outside, segments(distance, 64 - min(width for _, width in pieces)))
 
 
-def _canonical(x: np.ndarray) -> np.ndarray:
+def _canonical(x: np.ndarray, distance: int) -> np.ndarray:
     """The one key number under which a pair is reported, from the differing bits x."""
     out = np.full(len(x), -1, np.int64)
-    for shift, width in reversed(SEGMENTS):
+    for shift, width in reversed(segments(distance)):
         part = (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         near = np.bitwise_count(part) <= 1
         bit = np.where(part > 0, np.bitwise_count(np.maximum(part, 1) - np.uint64(1)), 0)
@@ -191,7 +196,7 @@ def _bucket_links(group: np.ndarray, key: np.ndarray, fp: np.ndarray, distance:
     while len(rows):
         x = fp[rows] ^ fp[rows + gap]
         ok = (np.bitwise_count(x) <= distance) & (x != 0)
-        ok[ok] = _canonical(x[ok]) == key[rows[ok]] >> 22
+        ok[ok] = _canonical(x[ok], distance) == key[rows[ok]] >> 32
         found.append((rows[ok], rows[ok] + gap))
         gap += 1
         rows = rows[left[rows] >= gap]
@@ -212,14 +217,14 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.select("fp").repartition(n, F.xxhash64("fp"))  # each row becomes 64; by fp the rows would stay in the few tasks that grouped them
-    keyed = spread.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
+    keyed = spread.select("fp", F.explode(variant_keys(F.col("fp"), segments(distance))).alias("key"))
     hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "simhash-hot")
     large = F.col("n") > BUCKET * DEEP
-    live = keyed.join(hot, "key", "left").withColumn("sub", F.lit(-1))
+    live = keyed.join(hot, "key", "left").withColumn("sub", F.lit(-1).cast("long"))
     if not hot.filter(large).isEmpty():
-        inner = inner_keys(F.col("fp"), F.col("key"))
+        inner = inner_keys(F.col("fp"), F.col("key"), distance)
         counted = keyed.join(hot.filter(large), "key").select("key", F.explode(inner).alias("sub")).groupBy("key", "sub").agg(F.count("*").alias("m"))
-        subs = F.when(large, inner).otherwise(F.array(F.lit(-1)))
+        subs = F.when(large, inner).otherwise(F.array(F.lit(-1).cast("long")))
         live = live.select("key", "fp", "n", F.explode(subs).alias("sub")).join(counted.filter(F.col("m") > BUCKET), ["key", "sub"], "left")
         live = live.withColumn("n", F.when(large, F.col("m")).otherwise(F.col("n")))
     own = F.expr("cast(pmod(xxhash64(fp, 7L), k) as int)")
@@ -257,13 +262,13 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return parts.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, least: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest linked doc_id).
 
     Fingerprints, classes and names are tables before they are joined by fingerprint or root: then a join reads plain
     shuffles (or a small table), which adaptive execution splits where a third of the rows share a key.
     """
-    marked = materialise(fingerprints(docs, width), "simhash")
+    marked = materialise(fingerprints(docs, width, least), "simhash")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     roots = connected_components(fingerprint_links(distinct, distance)).withColumnRenamed("node", "fp")
     classes = materialise(distinct.join(roots, "fp").groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-classes")
@@ -274,11 +279,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     )
 
 
-def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+def keep_representatives(docs: DataFrame, width: int = 5, distance: int = 7, least: int = 9) -> DataFrame:
     """One document of each class, that whose doc_id names it, with all columns of docs.
 
-    Repeated rows of it stay repeated. Rows without doc_id can't name a class: they stay.
+    At a similarity of 0.8 by shingles of five words about a tenth of the bits differ, more or less by chance; seven is what four
+    segments can promise. A text of fewer than ``least`` shingles has no other text of its length as similar as that, and few
+    shingles make fingerprints with few ones that differ little; so such a text is one shingle and links to its copies alone.
+    Repeated rows of the first stay repeated. Rows without doc_id can't name a class: they stay.
     """
-    named = near_duplicates(docs, width, distance).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    named = near_duplicates(docs, width, distance, least).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
     gone = named.filter("not first").withColumnRenamed("doc_id", "d")
     return docs.join(gone, docs["doc_id"] == gone["d"], "left_anti")

@@ -140,20 +140,22 @@ def test_simhash_of_a_long_text_in_stretches(monkeypatch):
     for size in (3, 1 << 18):
         monkeypatch.setattr(simhash, "SHINGLES", size)
         assert simhash.block_fingerprints(block, 4).tolist() == want
+        assert simhash.block_fingerprints(block, 5, 9).tolist() == [brute_fingerprint(t, 5, 9) for t in texts]
 
 
-def brute_fingerprint(t):
+def brute_fingerprint(t, width=4, least=1):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(_shared.LOWER_AZ))
-    shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    n = len(w) - width + 1
+    shingles = [b" ".join(w[i : i + width]) for i in range(n)] if n >= least else [b" ".join(w)] if w else []
     ones = np.zeros(64, int)
     for h, n in Counter(xxhash.xxh64_intdigest(s, 42) for s in shingles).items():
         ones += n * np.array([h >> i & 1 for i in range(64)])
     return sum(1 << i for i in range(64) if 2 * ones[i] > len(shingles))
 
 
-def brute_classes(rows):
+def brute_classes(rows, distance=4):
     fp = np.array([f for _, f in rows], np.uint64)
-    near, label = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4, np.array([d for d, _ in rows])
+    near, label = np.bitwise_count(fp[:, None] ^ fp[None]) <= distance, np.array([d for d, _ in rows])
     while True:
         new = np.array([label[n].min() for n in near])
         if (new == label).all():
@@ -169,34 +171,54 @@ def test_simhash(docs, cases, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("bucket", "deep"), [(8, 64), (8, 1), (3, 2)])
-def test_simhash_links_across_bucket_blocks(spark, monkeypatch, bucket, deep):
+def test_simhash_representatives(docs, cases, empty):
+    """The stage's own width, distance and least number of shingles: one document of each class stays, with its columns."""
+    for table in (docs, cases):
+        rows = [(r.doc_id, brute_fingerprint(r.text, 5, 9)) for r in table.select("doc_id", "text").collect()]
+        first = {d for d, _, c in brute_classes(rows, 7) if d == c}
+        got = simhash.keep_representatives(table)
+        assert got.columns == table.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in rows if d in first)
+    assert simhash.keep_representatives(empty).count() == 0
+
+
+def test_simhash_segments():
+    """One segment more than half the distance: then some segment differs in at most one bit."""
+    assert simhash.segments(4) == [(0, 21), (21, 21), (42, 22)] and simhash.segments(7) == [(0, 16), (16, 16), (32, 16), (48, 16)]
+    for distance in range(12):
+        pieces = simhash.segments(distance)
+        assert distance < 2 * len(pieces) and sum(width for _, width in pieces) == 64
+
+
+@pytest.mark.parametrize(("bucket", "deep", "distance"), [(8, 64, 4), (8, 1, 4), (3, 2, 4), (8, 1, 7), (3, 2, 7)])
+def test_simhash_links_across_bucket_blocks(spark, monkeypatch, bucket, deep, distance):
     """A large bucket is cut into blocks, a very large one keyed again by its other bits; all links still connect."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     monkeypatch.setattr(simhash, "DEEP", deep)
     rng = np.random.default_rng(1)
     fps = {int(x) for x in rng.integers(0, 1 << 62, 30)}
-    fps |= {x ^ sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for x in list(fps)[:4] for k in rng.integers(1, 7, 60)}
+    fps |= {x ^ sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for x in list(fps)[:4] for k in rng.integers(1, distance + 3, 60)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance)
     roots = {r.node: r.root for r in components.connected_components(links).collect()}
-    expected = {c for _, _, c in brute_classes(list(enumerate(fps)))}
+    expected = {c for _, _, c in brute_classes(list(enumerate(fps)), distance)}
     assert len({roots.get(x, x) for x in signed}) == len(expected)
 
 
-def test_simhash_inner_keys_meet(spark):
-    """Fingerprints that differ in at most four bits share an outer key and, for each shared outer key, an inner one."""
+@pytest.mark.parametrize(("distance", "inner"), [(4, 43), (7, 48)])
+def test_simhash_inner_keys_meet(spark, distance, inner):
+    """Fingerprints within the distance share an outer key and, for each shared outer key, an inner one."""
     rng = np.random.default_rng(4)
     rows = []
     for i in range(300):
         x = int(rng.integers(0, 1 << 63)) << 1 | int(rng.integers(0, 2))
-        y = x ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 5)), replace=False))
+        y = x ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, distance + 1)), replace=False))
         rows += [(i, side, v - (1 << 64) if v >> 63 else v) for side, v in enumerate((x, y))]
-    keys = spark.createDataFrame(rows, "i int, side int, fp long").select("i", "side", "fp", F.explode(simhash.variant_keys(F.col("fp"))).alias("key"))
-    keys = keys.withColumn("inner", simhash.inner_keys(F.col("fp"), F.col("key"))).withColumn("size", F.size("inner"))
+    keys = spark.createDataFrame(rows, "i int, side int, fp long").select("i", "side", "fp", F.explode(simhash.variant_keys(F.col("fp"), simhash.segments(distance))).alias("key"))
+    keys = keys.withColumn("inner", simhash.inner_keys(F.col("fp"), F.col("key"), distance)).withColumn("size", F.size("inner"))
     a, b = keys.filter("side = 0"), keys.filter("side = 1").select("i", "key", F.col("inner").alias("other"))
     met = a.join(b, ["i", "key"]).select("i", F.arrays_overlap("inner", "other").alias("meet"), "size").collect()
-    assert {r.i for r in met} == set(range(300)) and all(r.meet for r in met) and {r.size for r in met} == {43}
+    assert {r.i for r in met} == set(range(300)) and all(r.meet for r in met) and {r.size for r in met} == {inner}
 
 
 def test_xxh64():
