@@ -36,6 +36,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again, which cuts its lineage."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     """Whether a write under path has ended: then Spark has left its mark of success."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
