@@ -43,6 +43,39 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+RESAMPLING = r"""
+WITH steps AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS step
+  FROM range(256) AS t(b)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS f FROM d, range(1, 4) AS g(n), unnest(range(1, len(w) - n + 2)) AS t(i)),
+bf AS (SELECT array_to_string(w[i:i + n - 1], ' ') AS f FROM b, range(1, 4) AS g(n), unnest(range(1, len(w) - n + 2)) AS t(i)),
+features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT),
+    lambda c, x: xor(step[1 + (xor(c, x) & 255)], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS k
+  FROM features, steps),
+sizes AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS s_all, (SELECT count(*) FROM bf)::DOUBLE AS t_all),
+s AS (SELECT k, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM bf JOIN hashed USING (f) GROUP BY k),
+gains AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT k FROM hashed) LEFT JOIN s USING (k) LEFT JOIN t USING (k), sizes),
+weights AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM df JOIN hashed USING (f) JOIN gains USING (k) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (n >= 20) OVER () AS open FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 5 * open // 100 THEN place END AS rank FROM placed
+"""
+
+
 def licences_sql() -> str:
     """Words with what stands between them; a known sentence is a stretch of words between two marks, without an end of a sentence inside.
 
@@ -75,4 +108,4 @@ FROM documents LEFT JOIN taken USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC, "op4_licences": licences_sql(), "op7_decontamination": DECONTAMINATION}
+    return {"op1_warc": WARC, "op4_licences": licences_sql(), "op7_decontamination": DECONTAMINATION, "op11_importance_resampling": RESAMPLING}

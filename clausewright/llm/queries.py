@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import byte_bpe, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, simhash, suffix_dedup, warc
+from clausewright.llm import byte_bpe, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, resampling, simhash, suffix_dedup, warc
 from clausewright.llm._shared import shared_path
 
 
@@ -66,6 +66,10 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(docs, knn_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_warc, op2_quality_rules, op3_simhash, op4_licences, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_language_id, op9_masked_lm, op10_knn_quality)
+    made = (op1_warc, op2_quality_rules, op3_simhash, op4_licences, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_language_id, op9_masked_lm, op10_knn_quality, op11_importance_resampling)
     return {f.__name__: f for f in made}
