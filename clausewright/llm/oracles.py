@@ -43,6 +43,10 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: One bit of the CRC-32 of a number's decimal digits; a digit's byte comes in before its first bit.
+_CRC_BYTE = "CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(conv_id::VARCHAR, (i // 8 + 1)::INT, 1))::BIGINT) ELSE c END"
+_CRC_STEP = f"lambda c, i: CASE WHEN ({_CRC_BYTE}) & 1 = 1 THEN xor(({_CRC_BYTE}) >> 1, 3988292384) ELSE ({_CRC_BYTE}) >> 1 END"
+
 RESAMPLING = r"""
 WITH steps AS (
   SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS step
@@ -75,6 +79,31 @@ placed AS (SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, score DESC, doc_i
 SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 5 * open // 100 THEN place END AS rank FROM placed
 """
 
+PREFIX_TRIE = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, substr(sha256(length(r) || ':' || r || t), 1, 32)) AS a FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, a, (xor(list_reduce(range(8 * length(conv_id::VARCHAR)), lambda c, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, 4294967295::BIGINT), 4294967295) % 9) AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(d.a, [])[1:c.h], c.a[c.h + 1:]) AS a FROM heads c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 5),
+places AS (SELECT conv_id, d, a[1:d] AS p, len(a) = d AS ended FROM rebuilt, unnest(range(0, len(a) + 1)) AS u(d)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS node, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends,
+    (count(*) - 1) * coalesce(octet_length(encode(p[d].t)), 0) AS saved
+  FROM places GROUP BY d, p),
+members AS (SELECT conv_id, d, node FROM places JOIN nodes USING (d, p)),
+linked AS (SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN members m ON m.conv_id = n.node AND m.d = n.d - 1),
+children AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (d, node)),
+below AS (
+  SELECT m.d, m.node, sum(c.saved) AS saved_tokens, count(*) FILTER (c.n_children = 0) AS n_leaves
+  FROM counted c JOIN members m ON m.conv_id = c.node AND m.d <= c.d GROUP BY m.d, m.node)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM counted JOIN below USING (d, node)
+""".replace("lambda c, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END", _CRC_STEP)
+
 
 def licences_sql() -> str:
     """Words with what stands between them; a known sentence is a stretch of words between two marks, without an end of a sentence inside.
@@ -108,4 +137,4 @@ FROM documents LEFT JOIN taken USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC, "op4_licences": licences_sql(), "op7_decontamination": DECONTAMINATION, "op11_importance_resampling": RESAMPLING}
+    return {"op1_warc": WARC, "op4_licences": licences_sql(), "op7_decontamination": DECONTAMINATION, "op11_importance_resampling": RESAMPLING, "op13_prefix_trie": PREFIX_TRIE}
