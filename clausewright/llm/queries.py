@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import byte_bpe, decontamination, knn_quality, language_id, licences, masked_lm, prefix_trie, quality_rules, resampling, simhash, suffix_dedup, warc
+from clausewright.llm import byte_bpe, decontamination, knn_quality, language_id, licences, masked_lm, personal_data, prefix_trie, quality_rules, resampling, simhash, suffix_dedup, warc
 from clausewright.llm._shared import materialise, shared_path
 
 
@@ -70,11 +70,15 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.summary(personal_data.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialise(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "turns")
     return prefix_trie.prefix_trie(prefix_trie.borrow_beginnings(own))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_warc, op2_quality_rules, op3_simhash, op4_licences, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_language_id, op9_masked_lm, op10_knn_quality, op11_importance_resampling, op13_prefix_trie)
+    made = (op1_warc, op2_quality_rules, op3_simhash, op4_licences, op5_byte_bpe, op6_suffix_dedup, op7_decontamination, op8_language_id, op9_masked_lm, op10_knn_quality, op11_importance_resampling, op12_personal_data, op13_prefix_trie)
     return {f.__name__: f for f in made}

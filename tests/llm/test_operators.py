@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from clausewright.llm import (
-    _features, _shared, byte_bpe, components, decontamination, knn_quality, language_id, licences, masked_lm, quality_rules, simhash, suffix_dedup, warc,
+    _features, _shared, byte_bpe, components, decontamination, knn_quality, language_id, licences, masked_lm, personal_data, prefix_trie, quality_rules, resampling, simhash, suffix_dedup, warc,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -598,3 +598,191 @@ def test_knn_quality(spark, docs, cases, empty):
     edge = {r.doc_id: r.score for r in knn_quality.score(cases, model).collect()}
     assert edge[1] == edge[2] == pytest.approx(model.prior) and all(0 <= s <= 1 for s in edge.values())
     assert knn_quality.score(empty, knn_quality.train(empty, labels)).count() == 0
+
+
+# 11
+def brute_resampling(docs, target, percent=5, least=20):
+    """Rows by doc_id of the contract's words, n-grams and draws, one n-gram at a time."""
+    import math
+    import zlib
+
+    def features(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    own = [(i, *features(t)) for i, t in docs]
+    s, t = Counter(x for _, _, f in own for x in f), Counter(x for r in target for x in features(r)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    rows = []
+    for i, n, f in own:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(math.floor(1000 * math.log((t[x] + 1) * (s_all + 10_000) / ((s[x] + 1) * (t_all + 10_000)))) for x in f)
+        rows.append([i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    open_ = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0]))
+    return sorted(((*r, None) for r in rows), key=str), [r[0] for r in open_[: percent * len(open_) // 100]]
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 50])
+def test_resampling_equals_brute_force(spark, docs, cases, stretch, monkeypatch):
+    """Also where stretches end within texts, on the edge cases, and with a half drawn."""
+    monkeypatch.setattr(resampling, "STRETCH", stretch)
+    made = cases.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no number " * 30), (99, "w" * 700 + " " + "x" * 256 + " y" * 20)], "doc_id long, text string"))
+    made = made.unionByName(docs.select("doc_id", "text").filter("doc_id > 20"))
+    target = spark.createDataFrame([("no number at all",), ("the quick brown fox",), (None,), ("",)], "text string")
+    own = Counter()
+    of = resampling.Buckets(resampling.Grams())
+    for n, doc, bucket in of.of(["a b c".encode(), b"", "d é f".encode()]):
+        own.update((n, d) for d in doc)
+        assert len(doc) == len(bucket)
+    assert own == {(1, 0): 3, (1, 2): 3, (2, 0): 2, (2, 2): 2, (3, 0): 1, (3, 2): 1}
+    got = resampling.resample(made, target, percent=50).collect()
+    rows, drawn = brute_resampling([tuple(r) for r in made.collect()], [r.text for r in target.collect()], 50)
+    assert sorted(((*r[:5], None) for r in got), key=str) == rows
+    placed = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert [r["rank"] for r in placed] == list(range(1, len(drawn) + 1)) and [r.doc_id for r in placed] == drawn
+
+
+def test_resampling_ties_and_empty_tables(spark, empty):
+    same = spark.createDataFrame([(i, "tie " * 20) for i in (5, 5, 5, 5, 5, 5)] + [(8, "short")], "doc_id long, text string")
+    got = resampling.resample(same, empty, percent=50).collect()
+    assert sorted(r["rank"] for r in got if r["rank"]) == [1, 2, 3] and {r.doc_id for r in got if r["rank"]} == {5}
+    assert resampling.resample(empty, same).count() == 0
+
+
+# 12
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= sum(c.isdigit() for c in s) <= 19 and plain_luhn(s)),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= sum(c.isdigit() for c in s) <= 15),
+]
+
+
+def plain_luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def test_personal_data_equals_brute_force(spark, docs, cases):
+    rng = np.random.default_rng(3)
+    letters = list("ab1234567890 .-+@()_%é") + ["4111111111111111", "+1 (017) 555-7713", "1.2.3.4", "x@y.de"]
+    noisy = [(1000 + i, "".join(rng.choice(letters, 60))) for i in range(300)]
+    extra = noisy + [(5000 + n, r.text) for n, r in enumerate(cases.collect())]
+    made = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    found = personal_data.find_spans(made).collect()
+    assert len(found) == made.count()
+    for r in found:
+        want = [(k, m.start(), m.end()) for k, p, ok in PII for m in re.finditer(p, r.text or "") if ok(m[0])]
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == want
+        order = [(["email", "ip", "card", "phone", "iban", "ssn"].index(s.kind), s.start) for s in r.spans]
+        assert order == sorted(order)
+    spans = {r.doc_id: r.spans for r in found}
+    for r in personal_data.summary(personal_data.find_spans(made)).collect():
+        listed = lambda some: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in some)
+        base = [s for s in spans[r.doc_id] if s.base]
+        assert r.spans == listed(spans[r.doc_id]) and r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.kind == k for s in base) for k, _, _ in PII)
+
+
+def test_personal_data_validators_and_context(spark):
+    of = personal_data.Finder(personal_data.BASE + personal_data.MORE, 0.6).of
+    shown = lambda t: [(k, t[a:b]) for k, a, b, *_ in of(t)]
+    assert shown("IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432") == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
+    assert shown("DE89 3704 0044 0532 0130 01") == []  # wrong check digits
+    assert shown("amex card 378282246310005") == [("card", "378282246310005")] and shown("order 378282246310005") == []
+    assert shown("ssn 123-45-6789") == [("ssn", "123-45-6789")] and shown("123-45-6789") == [] and shown("ssn 000-45-6789") == []
+    assert shown("please call 030 1234567 today") == [("phone", "030 1234567")] and shown("about 030 1234567 today") == []
+    assert shown("4111111111111111 5500005555555559") == [("card", "4111111111111111"), ("card", "5500005555555559")]  # 32 digits are no card, each 16 are
+    assert shown("4111 1111 1111 1112") == []
+    docs = spark.createDataFrame([(1, "mail a@b.de or 1.2.3.4!", "k"), (2, None, "k")], "doc_id long, text string, spans string")
+    assert [(r.text, r.spans) for r in personal_data.redact(docs).orderBy("doc_id").collect()] == [("mail [EMAIL] or [IP]!", "k"), (None, "k")]
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + " @", "1 " * 100_000, "+1" + "(" * 200_000, "a." * 100_000 + "@", "1." * 100_000, "A1" * 100_000, "+1((" * 50_000])
+def test_personal_data_takes_linear_time(text):
+    import time
+
+    began = time.process_time()
+    personal_data.Finder(personal_data.BASE + personal_data.MORE, 0.6).of(text)
+    assert time.process_time() - began < 5
+
+
+def test_personal_data_of_empty_tables(empty):
+    assert personal_data.summary(personal_data.find_spans(empty)).count() == 0 and personal_data.redact(empty).columns == empty.columns
+
+
+# 13
+def brute_trie(conversations):
+    """Nodes by beginnings as tuples; conversations: {conv_id: [(role, text), ...]}."""
+    nodes = {}
+    for c, turns in sorted(conversations.items()):
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    rows = []
+    for p, members in nodes.items():
+        under = [q for q in nodes if q[: len(p)] == p]
+        children = lambda q: sum(len(x) == len(q) + 1 and x[: len(q)] == q for x in nodes)
+        ends = ",".join(str(c) for c in members if len(conversations[c]) == len(p))
+        rows.append((
+            members[0], len(p), nodes[p[:-1]][0] if p else None, len(members), children(p), sum(not children(q) for q in under),
+            sum((len(nodes[q]) - 1) * len(q[-1][1].encode()) for q in under if q), hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(rows)
+
+
+def tries(spark, given):
+    rows = [(c, n, r, t) for c, turns in given.items() for n, (r, t) in enumerate(turns)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+
+
+@pytest.mark.parametrize(("block", "piece"), [(1 << 16, 1 << 20), (1, 1), (3, 2)])
+def test_trie_equals_brute_force(spark, block, piece):
+    """Blocks and pieces of a few rows too, so that beginnings run over many of them."""
+    rng = np.random.default_rng(block)
+    given = {int(c): [(["user", "assistant"][n % 2], "é" * int(x)) for n, x in enumerate(rng.integers(0, 2, rng.integers(1, 6)))] for c in range(60)}
+    given |= {c: [("user", "same")] * 7 for c in range(100, 130)}
+    given |= {200: [("user", "same")] * 3, 201: [("user", "alone")]}
+    own = _shared.materialise(prefix_trie.sequences(tries(spark, given)), "turns")
+    packed = prefix_trie._packed(own).select("key", "sizes", "conv_id").collect()
+    assert sorted(map(tuple, trie_in_blocks(packed, block, piece))) == brute_trie(given)
+    if block == 1 << 16:
+        assert sorted(map(tuple, prefix_trie.prefix_trie(own).collect())) == brute_trie(given)
+
+
+def trie_in_blocks(packed, block, piece):
+    """The operator's own steps over sorted rows, with small blocks; these are constants of its tasks."""
+    from unittest import mock
+
+    import pyarrow as pa
+
+    rows = sorted((bytes(r.key), r.conv_id, bytes(r.sizes)) for r in packed)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["conv_id", "key", "sizes"])
+    task = mock.Mock(**{"get.return_value.partitionId.return_value": 5})
+    with mock.patch.multiple(prefix_trie, BLOCK=block, PIECE=piece, TaskContext=task):
+        forest = [r for b in prefix_trie._forests(prefix_trie._pieces(iter([batch]))) for r in b.to_pylist()]
+    paths = [{k: r[k] for k in ("block", "first", "last", "common", "places")} for r in forest if r["places"]]
+    assert len(paths) >= len({r[0] for r in rows}) // block
+    merged = [r for b in prefix_trie._merge_paths(iter([pa.RecordBatch.from_pylist(paths)])) for r in b.to_pylist()]
+    named = {(r["block"], r["place"]): r["parent_conv_id"] for r in merged if r["place"] is not None}
+    inner = [r | ({"parent_conv_id": named[r["block"], r["place"]]} if r["place"] is not None else {}) for r in forest if not r["places"]]
+    return [[r[c] for c in prefix_trie.NODE_COLUMNS] for r in inner + [r for r in merged if r["place"] is None]]
+
+
+def test_trie_borrows_beginnings(spark):
+    import zlib
+
+    given = {c: [("user", f"{c} {n}") for n in range(1 + c % 4 * 3)] for c in [*range(0, 23), 31, 1002, 2004, 2008, 2012]}
+    own = _shared.materialise(prefix_trie.sequences(tries(spark, given)), "turns")
+    rebuilt = {}
+    for c in given:
+        h = zlib.crc32(str(c).encode()) % 9
+        rebuilt[c] = given.get(c - c % 5, [])[:h] + given[c][h:]
+    assert any(not t for t in rebuilt.values())
+    assert sorted(map(tuple, prefix_trie.prefix_trie(prefix_trie.borrow_beginnings(own)).collect())) == brute_trie(rebuilt)
+
+
+def test_trie_of_nulls_and_empty_tables(spark):
+    rows = [(1, None, None, "a", 1), (1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, 1, "user", "x", 1), (2, 5, "", "a", 1)]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    assert sorted(map(tuple, prefix_trie.conversation_trie(made).collect())) == brute_trie({1: [("", "a"), ("user", ""), ("user", "")], 2: [("", "a")]})
+    assert prefix_trie.conversation_trie(made.limit(0)).count() == 0
