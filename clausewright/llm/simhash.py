@@ -277,16 +277,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, least: i
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_representatives(docs: DataFrame, width: int = 5, distance: int = 7, least: int = 9) -> DataFrame:
-    """One document of each class, that whose doc_id names it, with all columns of docs.
-
-    At a similarity of 0.8 by shingles of five words about a tenth of the bits differ, more or less by chance; seven is what four
-    segments can promise. A text of fewer than ``least`` shingles has no other text of its length as similar as that, and few
-    shingles make fingerprints with few ones that differ little; so such a text is one shingle and links to its copies alone.
-    Repeated rows of the first stay repeated. Rows without doc_id can't name a class: they stay.
-    """
-    named = near_duplicates(docs, width, distance, least).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = named.filter("not first").withColumnRenamed("doc_id", "d")
-    return docs.join(gone, docs["doc_id"] == gone["d"], "left_anti")

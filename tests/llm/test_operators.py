@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from clausewright.llm import (
-    _features, _shared, byte_bpe, components, decontamination, knn_quality, language_id, licences, masked_lm, personal_data, prefix_trie, quality_rules, resampling, simhash, suffix_dedup, warc,
+    _features, _shared, byte_bpe, components, decontamination, knn_quality, language_id, licences, masked_lm, near_copies, personal_data, prefix_trie, quality_rules, resampling, simhash, suffix_dedup, warc,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -171,15 +171,11 @@ def test_simhash(docs, cases, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_representatives(docs, cases, empty):
-    """The stage's own width, distance and least number of shingles: one document of each class stays, with its columns."""
+def test_simhash_of_other_parameters(docs, cases):
+    """Shingles of five words at seven bits, fewer than nine of them as one shingle."""
     for table in (docs, cases):
         rows = [(r.doc_id, brute_fingerprint(r.text, 5, 9)) for r in table.select("doc_id", "text").collect()]
-        first = {d for d, _, c in brute_classes(rows, 7) if d == c}
-        got = simhash.keep_representatives(table)
-        assert got.columns == table.columns
-        assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in rows if d in first)
-    assert simhash.keep_representatives(empty).count() == 0
+        assert {tuple(r) for r in simhash.near_duplicates(table, 5, 7, 9).collect()} == brute_classes(rows, 7)
 
 
 def test_simhash_segments():
@@ -786,3 +782,79 @@ def test_trie_of_nulls_and_empty_tables(spark):
     made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
     assert sorted(map(tuple, prefix_trie.conversation_trie(made).collect())) == brute_trie({1: [("", "a"), ("user", ""), ("user", "")], 2: [("", "a")]})
     assert prefix_trie.conversation_trie(made.limit(0)).count() == 0
+
+
+# The pipeline's near-duplicate stage
+def plain_shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def plain_classes(sets, least=0.8):
+    """The smallest id of each id's class, from all pairs of sets."""
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            both = len(x & y)
+            if x == y or both and both >= least * (len(x) + len(y) - both) - 1e-9:
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("bucket", [2048, 4])
+def test_near_copies_equal_all_pairs(spark, docs, cases, bucket, monkeypatch):
+    """Texts with a few words exchanged, on both sides of 0.8, copies of copies, short texts, and buckets that are dealt as pairs of blocks."""
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    rng = np.random.default_rng(11)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bases = [" ".join(f"w{x}" for x in rng.integers(0, 5000, n)) for n in (12, 40, 200, 1000)]
+    for base in bases:
+        for k in range(25):
+            words = base.split()
+            for at in rng.choice(len(words), max(1, len(words) * (k % 5) // 60), replace=False):
+                words[at] = f"v{rng.integers(0, 10**6)}"
+            rows.append((10_000 + len(rows), ("  " if k % 2 else " \n").join(words).upper() if k % 3 else " ".join(words)))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "rep.doc_id").toDF("doc_id", "rep").collect()
+    want = plain_classes({i: plain_shingles(t) for i, t in rows})
+    missed = [r.doc_id for r in got if r.rep != want[r.doc_id]]
+    assert len(got) == len(rows) and len(missed) <= 2 and len(set(want.values())) < len(rows) - 30, missed
+    for r in got:  # never more than what links
+        assert want[r.rep] == want[r.doc_id]
+
+
+def test_near_copies_recall_on_all_documents(spark):
+    """Pairs of differing texts at 0.8 or more, by an index of all shingles but those of very many texts."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    rep = {r.doc_id: r.rep for r in near_copies.near_copies(docs).select("doc_id", "rep.doc_id").toDF("doc_id", "rep").collect()}
+    first = {}
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        first.setdefault(frozenset(map(hash, plain_shingles(r.text))), r.doc_id)
+    texts_of, shared = defaultdict(list), Counter()
+    for s, i in first.items():
+        for x in s:
+            texts_of[x].append((i, len(s)))
+    for found in texts_of.values():
+        if len(found) <= 100:
+            shared.update((a, b) for n, a in enumerate(found) for b in found[n + 1 :])
+    pairs = [(a, b) for ((a, x), (b, y)), n in shared.items() if n >= 0.8 * (x + y - n) - 1e-9]
+    assert len(pairs) > 30 and sum(rep[a] == rep[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_near_copies_by_document_not_by_doc_id(spark, empty):
+    a, b = "one two three four five six seven eight nine ten", "eins zwei drei vier fünf sechs sieben acht neun zehn"
+    rows = [(0, b, "p"), (1, a, "q"), (1, b, "r"), (1, a, "s"), (None, a, "t"), (None, "alone one two three four five", "u"), (None, "alone one two three four five", "v"), (4, None, "w"), (3, " ", "x")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    kept = sorted(r.mark for r in near_copies.keep_representatives(made).collect())
+    assert [k for k in kept if k not in "uv"] == ["p", "q", "s", "x"] and len([k for k in kept if k in "uv"]) == 1
+    assert near_copies.keep_representatives(empty).count() == 0 and near_copies.keep_representatives(made).columns == made.columns
