@@ -58,6 +58,7 @@ SCOPES: Lexicon = (
     ("typhoon", ("颱風", "天災", "暴風")),
     ("claim", ("理賠", "申請", "文件", "索取")),
 )
+# How many intents and clauses by the wording of a question.
 TOP_K = ((("哪些", "所有", "全部", "什麼"), 10, 5), (("多久", "幾小時", "幾天"), 3, 2))
 DEFAULT_K = (5, 3)
 

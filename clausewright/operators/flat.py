@@ -38,14 +38,18 @@ def flat_chunks(docs: DataFrame, version: str = "1.0", max_chars: int = 500) ->
     Type and scope are those of the piece.
     """
     text = T.clean_flat_text(F.translate(F.coalesce("text", F.lit("")), outline.MARKS, ""))
-    chapters = docs.select("doc_id", F.posexplode(outline.headings(text, FLAT_CHAPTER, stripped=False)).alias("chapter_pos", "ch"))
-    clauses = chapters.select("doc_id", "chapter_pos", "ch", F.posexplode(outline.headings(F.col("ch.body"), FLAT_CLAUSE)).alias("clause_pos", "cl"))
-    items = clauses.select("doc_id", "chapter_pos", "clause_pos", "ch", "cl", F.posexplode(_pieces(F.col("cl.body"))).alias("item_pos", "p"))
-    rows = items.select("*", F.posexplode(outline.split_long(F.col("p.text"), max_chars)).alias("piece_pos", "text"))
+    # A text leaves the row before its parts become rows of their own: no part carries the whole.
     pair = lambda c, name: F.struct(F.col(f"{c}.no").alias("no"), F.col(f"{c}.title").alias("title")).alias(name)
+    chapters = outline.spread(docs).select("doc_id", F.posexplode(outline.headings(text, FLAT_CHAPTER, stripped=False)).alias("chapter_pos", "ch"))
+    chapters = chapters.select("doc_id", "chapter_pos", pair("ch", "chapter"), outline.headings(F.col("ch.body"), FLAT_CLAUSE).alias("found"))
+    clauses = chapters.select("doc_id", "chapter_pos", "chapter", F.posexplode("found").alias("clause_pos", "cl"))
+    clauses = clauses.select("doc_id", "chapter_pos", "clause_pos", "chapter", pair("cl", "clause"), _pieces(F.col("cl.body")).alias("found"))
+    items = clauses.select("doc_id", "chapter_pos", "clause_pos", "chapter", "clause", F.posexplode("found").alias("item_pos", "p"))
+    rows = items.select("doc_id", "chapter_pos", "clause_pos", "item_pos", "chapter", "clause", "p.item", outline.split_long(F.col("p.text"), max_chars).alias("found"))
+    rows = rows.select("doc_id", "chapter_pos", "clause_pos", "item_pos", "chapter", "clause", "item", F.posexplode("found").alias("piece_pos", "text"))
     return rows.select(
-        "doc_id", "chapter_pos", "clause_pos", "item_pos", "piece_pos", pair("ch", "chapter"), pair("cl", "clause"),
-        F.col("p.item").alias("item"), "text", F.lit(version).alias("version"),
+        "doc_id", "chapter_pos", "clause_pos", "item_pos", "piece_pos", "chapter", "clause",
+        "item", "text", F.lit(version).alias("version"),
         lexicon.label_first(F.col("text"), lexicon.CHUNK_TYPES, "coverage").alias("chunk_type"),
         lexicon.label_all(F.col("text"), lexicon.SCOPES, ["general"]).alias("semantic_scope"),
     )

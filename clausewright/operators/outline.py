@@ -12,6 +12,7 @@ from clausewright.functions import lexicon, text as T
 MARKS = "\x01\x02\x03\x04"
 
 
+# The heading patterns of a spec.
 @dataclass(frozen=True)
 class OutlineSpec:
     """Heading patterns: two groups (number, title) for chapters and clauses, one (number) for items and sub-items."""
@@ -22,44 +23,64 @@ class OutlineSpec:
     subitem: str = rf"^\s*[(（]({T.NUMERAL}+|[0-9]+|[a-zA-Z])[)）]\s*"
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    """What stands before the first heading, then number, title, the heading and what stands below it, for each heading."""
+    return F.split(F.regexp_replace(text, f"(?mdU){pattern}", "\x01$1\x02$2\x03$0\x04"), "\x01", -1)
+
+
+def _behind(array: Column) -> Column:
+    return F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
+
+
+def _heading(part: Column, stripped: bool) -> Column:
+    below = F.substring_index(part, "\x04", -1)
+    return F.struct(
+        F.substring_index(part, "\x02", 1).alias("no"),
+        T.strip(F.substring_index(F.substring_index(part, "\x03", 1), "\x02", -1)).alias("title"),
+        (T.strip(below) if stripped else below).alias("body"),
+    )
+
+
 def headings(text: Column, pattern: str, stripped: bool = True) -> Column:
-    """array<struct<no, title, start, body>> of the headings in a text and what stands below each, stripped or as it is."""
-    marked = F.regexp_replace(text, f"(?mdU){pattern}", "\x01$1\x02$2\x03$0\x04")
-    parts = F.split(marked, "\x01", -1)
-    empty = F.array().cast("array<struct<no:string,title:string,start:int,body:string>>")
-
-    def add(state, part):
-        behind = F.substring_index(part, "\x03", -1)
-        below = F.substring_index(part, "\x04", -1)
-        head = F.struct(
-            F.substring_index(part, "\x02", 1).alias("no"),
-            T.strip(F.substring_index(F.substring_index(part, "\x03", 1), "\x02", -1)).alias("title"),
-            state["at"].alias("start"),
-            (T.strip(below) if stripped else below).alias("body"),
-        )
-        return F.struct((state["at"] + F.length(behind) - 1).alias("at"), F.concat(state["out"], F.array(head)).alias("out"))
-
-    start = F.struct(F.length(F.element_at(parts, 1)).alias("at"), empty.alias("out"))
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, add, lambda s: s["out"])
+    """array<struct<no, title, body>> of the headings in a text and what stands below each, stripped or as it is; in time linear in the text."""
+    return F.transform(_behind(_parts(text, pattern)), lambda p: _heading(p, stripped))
+
+
+def _chapters_of(parts: Column, pattern: str) -> Column:
+    """array<struct<no, title>>: for each clause the last chapter heading that starts before it, null before the first: an as-of join within the row.
+
+    The clauses' starts are marked in the text, then chapters are found in the marked text; the marks between two chapter headings are the
+    clauses of the first one. So no positions are compared, and time is linear in the text.
+    """
+    marked = F.concat(F.element_at(parts, 1), F.array_join(F.transform(_behind(parts), lambda p: F.concat(F.lit("\x01"), F.translate(F.substring_index(p, "\x03", -1), "\x04", ""))), ""))
+    # A chapter heading that starts where a clause does starts behind the clause's mark.
+    anchored = ("^(\x01?)(" + pattern[1:] if pattern.startswith("^") else "(\x01?)(" + pattern) + ")"
+    segments = F.split(F.regexp_replace(marked, f"(?mdU){anchored}", "$1\x02$3\x03$4\x04$2"), "\x02", -1)
+
+    def members(segment: Column, i: Column) -> Column:
+        head, below = F.substring_index(F.translate(segment, "\x01", ""), "\x04", 1), F.substring_index(segment, "\x04", -1)
+        chapter = F.struct(F.substring_index(head, "\x03", 1).alias("no"), T.strip(F.substring_index(head, "\x03", -1)).alias("title"))
+        return F.array_repeat(F.when(i > 0, chapter), (F.length(below) - F.length(F.translate(below, "\x01", ""))).cast("int"))
+
+    return F.flatten(F.transform(segments, members))
 
 
 def split_clauses(docs: DataFrame, spec: OutlineSpec | None = None) -> DataFrame:
     """One row per clause: doc_id, pos, clause_no, clause_title, clause_id, body, chapter_no, chapter_title."""
     spec = spec or OutlineSpec()
     body = T.strip(F.translate(F.coalesce("text", F.lit("")), MARKS, ""))
-    rows = docs.select("doc_id", headings(body, spec.clause).alias("clauses"), headings(body, spec.chapter).alias("chapters"))
-    rows = rows.select("doc_id", "chapters", F.posexplode("clauses").alias("pos", "c"))
-    chapter = F.try_element_at(F.filter("chapters", lambda h: h["start"] < F.col("c.start")), F.lit(-1))
+    rows = docs.select("doc_id", _parts(body, spec.clause).alias("parts"))
+    found = F.arrays_zip(F.transform(_behind(F.col("parts")), lambda p: _heading(p, True)).alias("c"), _chapters_of(F.col("parts"), spec.chapter).alias("h"))
+    rows = rows.select("doc_id", F.posexplode(found).alias("pos", "x"))
     return rows.select(
-        "doc_id", "pos", F.col("c.no").alias("clause_no"), F.col("c.title").alias("clause_title"),
-        F.concat("c.no", F.lit("_"), "c.title").alias("clause_id"), F.col("c.body").alias("body"),
-        chapter["no"].alias("chapter_no"), chapter["title"].alias("chapter_title"),
+        "doc_id", "pos", F.col("x.c.no").alias("clause_no"), F.col("x.c.title").alias("clause_title"),
+        F.concat("x.c.no", F.lit("_"), "x.c.title").alias("clause_id"), F.col("x.c.body").alias("body"),
+        F.col("x.h.no").alias("chapter_no"), F.col("x.h.title").alias("chapter_title"),
     )
 
 
 def _numbered(text: Column, pattern: str, build) -> Column:
-    parts = F.split(F.regexp_replace(text, f"(?mdU){pattern}", "\x01$1\x02"), "\x01", -1)
-    found = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    found = _behind(F.split(F.regexp_replace(text, f"(?mdU){pattern}", "\x01$1\x02"), "\x01", -1))
     # Two steps: a lambda's text would be cut anew for each of its uses, an array's element is not.
     pairs = F.transform(found, lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("no"), T.strip(F.substring_index(p, "\x02", -1)).alias("text")))
     return F.transform(pairs, lambda q: build(q["no"], q["text"]))
@@ -139,17 +160,30 @@ def reference_edges(chunks: DataFrame) -> DataFrame:
 
 
 def split_long(text: Column, max_chars: int = 500, stops: str = "。；") -> Column:
-    """Pieces of at most ``max_chars`` characters packed from sentences; a longer sentence stays whole."""
-    empty = F.array().cast("array<string>")
+    """Pieces of at most ``max_chars`` characters packed from sentences; a longer sentence stays whole.
 
-    def add(state, s):
-        fits = F.length(state["buf"]) + F.length(s) <= max_chars
-        flushed = F.when(T.strip(state["buf"]) != "", F.concat(state["out"], F.array(T.strip(state["buf"])))).otherwise(state["out"])
-        return F.struct(F.when(fits, F.concat(state["buf"], s)).otherwise(s).alias("buf"), F.when(fits, state["out"]).otherwise(flushed).alias("out"))
+    The fold over n sentences runs in about the square root of n stretches, so that adding a piece never copies all pieces before it.
+    """
+    empty = F.array().cast("array<string>")
 
-    def finish(state):
+    def flushed(state):
         return F.when(T.strip(state["buf"]) != "", F.concat(state["out"], F.array(T.strip(state["buf"])))).otherwise(state["out"])
 
-    start = F.struct(F.lit("").alias("buf"), empty.alias("out"))
-    packed = F.aggregate(F.split(text, f"(?<=[{stops}])", -1), start, add, finish)
-    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
+    def add(state, s):
+        fits = F.length(state["buf"]) + F.length(s) <= max_chars
+        return F.struct(F.when(fits, F.concat(state["buf"], s)).otherwise(s).alias("buf"), F.when(fits, state["out"]).otherwise(flushed(state)).alias("out"))
+
+    def add_stretch(state, stretch):
+        packed = F.aggregate(stretch, F.struct(state["buf"].alias("buf"), empty.alias("out")), add)
+        once = F.transform(F.array(packed), lambda p: F.struct(p["buf"].alias("buf"), F.concat(state["out"], F.array(p["out"])).alias("out")))
+        return F.element_at(once, 1)
+
+    def stretches(sentences):
+        width = F.ceil(F.sqrt(F.size(sentences))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(sentences), width), lambda i: F.slice(sentences, i, width))
+
+    last = F.concat(F.split(text, f"(?<=[{stops}])", -1), F.array(F.lit("")))
+    cut = F.flatten(F.transform(F.array(last), stretches))
+    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<array<string>>").alias("out"))
+    rest = lambda state: F.concat(F.flatten(state["out"]), flushed(F.struct(state["buf"].alias("buf"), empty.alias("out"))))
+    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(F.aggregate(cut, start, add_stretch, rest))

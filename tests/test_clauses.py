@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clausewright.functions import lexicon, text as T
-from clausewright.operators import chat, outline, search
+from clausewright.operators import chat, flat, outline, search
 
 
 def one(spark, value, build, kind="string"):
@@ -149,3 +153,64 @@ def test_replies_are_asked_for_again(spark):
     assert third.error is None and third.usage.total_tokens == 3
     assert hooks.generate_replies(rows, lambda said: ("{broken", {}), accept=intents.well_formed).first().error == "malformed reply"
     assert [intents.well_formed(x) for x in (None, "", "[]", "{}", "```\n{}\n```")] == [False, False, False, True, True]
+
+
+def plain_outline(text, spec):
+    """Clauses with the chapter before them, by match positions."""
+    text = re.sub("[\x01-\x04]", "", text or "").strip()
+    chapters = [(m.start(), m[1], m[2].strip()) for m in re.finditer(f"(?m){spec.chapter}", text)]
+    found = list(re.finditer(f"(?m){spec.clause}", text))
+    rows = []
+    for i, m in enumerate(found):
+        before = [c for c in chapters if c[0] < m.start()]
+        end = found[i + 1].start() if i + 1 < len(found) else len(text)
+        rows.append((i, m[1], m[2].strip(), text[m.end() : end].strip(), *(before[-1][1:] if before else (None, None))))
+    return rows
+
+
+@pytest.mark.parametrize("spec", [outline.OutlineSpec(), outline.OutlineSpec(chapter=r"^(第[一二三]+[章條])\s*(.+?)$")])
+def test_outline_equals_match_positions(spark, spec):
+    """Random texts of headings, broken lines and marks; with the second pattern chapters and clauses start at the same places."""
+    rng = random.Random(4)
+    parts = ["第一章", "第二條", "第三條", "\n", "\n", "\n", " ", "　", "名", "一、", "\x01", "\x03", "第一章 總則\n", "\n第二條 題\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in outline.split_clauses(docs, spec).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.clause_no, r.clause_title, r.body, r.chapter_no, r.chapter_title))
+    assert got == {i: rows for i, t in enumerate(texts) if (rows := plain_outline(t, spec))} and len(got) > 100
+
+
+def plain_pieces(text, most=500):
+    if len(text) <= most:
+        return [text]
+    out, buf = [], ""
+    for s in re.split("(?<=[。；])", text):
+        if len(buf) + len(s) <= most:
+            buf += s
+        else:
+            out, buf = out + [buf], s
+    return [p.strip() for p in [*out, buf] if p.strip()]
+
+
+def test_long_texts_take_linear_time(spark):
+    """Eight times the headings, or sentences, take at most eight times as long, and give the rows of the plain way."""
+    took = {}
+    for n in (4_000, 4_000, 32_000):  # the first run compiles
+        heads = "\n".join(f"第一章 部{i}\n第二條 題{i}\n內容{i}。" for i in range(n // 2))
+        text = "".join(f"第{i}句的內容。" for i in range(n))
+        docs = spark.createDataFrame([(1, heads, text)], "doc_id long, text string, long string").repartition(1)
+        for name, run in {
+            "outline": lambda d: outline.split_clauses(d).select("pos", "chapter_title", "clause_title"),
+            "flat": lambda d: flat.flat_chunks(d).select("chapter_pos", "chapter.title", "text"),
+            "pieces": lambda d: d.select(F.posexplode(outline.split_long(F.col("long")))),
+        }.items():
+            began = time.time()
+            rows = run(docs).collect()
+            took[name, n] = time.time() - began
+            if name == "pieces":
+                assert [r.col for r in sorted(rows)] == plain_pieces(text)
+            else:
+                assert len(rows) == n // 2 and all(r[1].endswith(str(r[0])) for r in rows)
+    for name in ("outline", "flat", "pieces"):
+        assert took[name, 32_000] <= 8 * max(took[name, 4_000], 0.5)
