@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import lexicon
-from clausewright.operators import chat, outline, search, stats
+from clausewright.operators import chat, outline, postings, search, stats
 from clausewright.sources import tables
 
 # Latin stand-ins for the lexicons: the given tables hold no Han text.
@@ -100,15 +100,29 @@ def source_shares_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.share_counts(table(spark, sf_dir, "documents"), "source", "none", top=10)
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark item the ten best documents by max-normalised BM25."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    index = search.bm25_index(table(spark, sf_dir, "documents"), "doc_id")
-    scores = search.bm25_scores(asked, index, "doc_id", "query_id")
-    rounded = search.max_normalise(scores, "query_id").withColumn("score", F.round("score", 6))
+    asked = _items(spark, sf_dir)
+    scores = search.bm25_scores(asked, search.bm25_index(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "query_id")
+    rounded = search.max_normalise(tables.stored(scores, "bm25-scores"), "query_id").withColumn("score", F.round("score", 6))
     return search.top_k(rounded, "query_id", "doc_id", 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks of postings and their bounds."""
+    index = postings.block_index(table(spark, sf_dir, "documents"), "doc_id")
+    return postings.bm25_topk(_items(spark, sf_dir), index, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def bm25_block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every benchmark item how many blocks of postings its terms have, and how many its search for the ten best documents reads."""
+    return postings.block_reads(_items(spark, sf_dir), postings.block_index(table(spark, sf_dir, "documents"), "doc_id"), 10)
+
+
 BM25 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\p{Han}|[\p{L}\p{N}]+') AS t FROM documents),
 p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM w),
@@ -173,7 +187,7 @@ FROM k WINDOW h AS (PARTITION BY conv_id, session ORDER BY seq ROWS BETWEEN 20 P
 
 QUERIES = {
     f.__name__: f
-    for f in (outline_counts, outline_clauses, document_labels, label_counts, language_shares, source_shares_top, bm25_search, dense_search, l2_search, history)
+    for f in (outline_counts, outline_clauses, document_labels, label_counts, language_shares, source_shares_top, bm25_search, bm25_block_search, bm25_block_reads, dense_search, l2_search, history)
 }
 
 
@@ -188,6 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "language_shares": share.format(c="lang", d="und"),
         "source_shares_top": share.format(c="source", d="none") + " ORDER BY n DESC, source LIMIT 10",
         "bm25_search": BM25,
+        "bm25_block_search": BM25,
         "dense_search": _dense_sql("list_cosine_similarity(q.v, e.v)", "DESC", 5),
         "l2_search": _dense_sql("list_distance(q.v, e.v) ** 2", "ASC", 3),
         "history": HISTORY,

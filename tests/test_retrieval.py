@@ -6,13 +6,14 @@ import json
 import os
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from clausewright.operators import chat, flat, intents as I, outline, retrieve as R, search, stats
+from clausewright.operators import chat, flat, intents as I, numbering, outline, postings, retrieve as R, search, stats
 from clausewright.plans import jobs, retrieval_queries
 from clausewright.sources import tables
 from clausewright.streaming import live
@@ -189,3 +190,45 @@ def test_intent_quality_asks_whole_texts(spark, monkeypatch):
     retrieval_queries.intent_quality(spark, "/root/testdata/sf0.001")
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     assert seen[0].join(texts, "doc_id").filter("user_query <> text").count() == 0
+
+
+@pytest.mark.parametrize(("size", "light", "k"), [(64, 0.35, 3), (2, 0.35, 3), (1, 0.8, 2), (3, 0.0, 5), (2, 0.35, 50)])
+def test_block_search_equals_brute_force(spark, monkeypatch, size, light, k):
+    """Ties, repeated terms, terms of nearly all documents (negative idf), documents and queries without terms; and blocks that are not read."""
+    monkeypatch.setattr(postings, "RANGE", size)
+    monkeypatch.setattr(postings, "LIGHT", light)
+    rng = np.random.default_rng(size)
+    rare = [f"rare{i}" for i in range(40)]
+    docs = [(i, " ".join([*rng.choice(["of", "the", "and"], 6), *rng.choice(["mid", "low", "far"], 2), *rng.choice(rare, 1)])) for i in range(60)]
+    docs += [(60 + i, docs[3][1]) for i in range(4)] + [(70, ""), (71, None), (72, "rare1 rare1 rare1 rare2")]
+    asked = [(1, "the rare1 rare2 mid"), (2, "of of the"), (3, ""), (4, None), (5, "unknown"), (6, docs[3][1]), (7, "rare1 unknown")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    corpus = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = postings.block_index(corpus, "doc_id")
+    words = {i: (t or "").split() for i, t in docs}
+    df = Counter(w for t in words.values() for w in set(t))
+    n, avgdl = len(docs), np.mean([len(t) for t in words.values()])
+    raw = {w: np.log(n - c + 0.5) - np.log(c + 0.5) for w, c in df.items()}
+    mean = np.mean(list(raw.values()))
+    want = {}
+    for q, text in asked:
+        scores = {}
+        for i, t in words.items():
+            if set(t) & set((text or "").split()):
+                terms = [(raw[w] if raw[w] >= 0 else 0.25 * mean, t.count(w)) for w in (text or "").split() if w in df]
+                scores[i] = sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for idf, tf in terms)
+        top = max([0.0, *scores.values()])
+        best = sorted((-round(s / top if top > 0 else s, 6), i) for i, s in scores.items())[:k]
+        want |= {(q, r): (i, pytest.approx(-s, abs=2e-6)) for r, (s, i) in enumerate(best, 1)}
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in postings.bm25_topk(queries, index, k).collect()}
+    assert got == want and min(raw.values()) < 0
+    reads = {r.query_id: (r.n_blocks, r.n_read) for r in postings.block_reads(queries, index, k).collect()}
+    assert all(read <= blocks for blocks, read in reads.values())
+    if (size, light) == (2, 0.35) and k == 3:
+        assert sum(read for _, read in reads.values()) < sum(blocks for blocks, _ in reads.values())
+
+
+def test_a_written_index_keeps_texts_without_tokens_in_its_totals(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "doc_id long, text string")
+    _, totals = search.bm25_counts(docs, "doc_id")
+    assert tuple(totals.first()) == (3, pytest.approx(2 / 3))
