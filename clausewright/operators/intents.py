@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.functions import hooks, text as T
+from clausewright.operators.numbering import number_rows
 
 CLAUSE_PROMPT = """List the questions that policy holders may ask about this clause, as JSON {"intents": [...]}.
 Clause: {clause_no} {clause_title}
@@ -169,10 +170,22 @@ def comparison_intents(chunks: DataFrame, templates: Sequence[dict] = COMPARISON
     return rows.withColumns({"pos": last, "item_pos": last, "item_no": null, "subitem_no": null, "quality_score": F.lit(1.0), "validation_issues": issues})
 
 
+def _intent_id(n: Column) -> Column:
+    return F.concat(F.lit("intent_"), F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")))
+
+
 def number_intents(intents: DataFrame) -> DataFrame:
     """``intent_id`` counts from intent_0001 within each document, by pos, item_pos and n; (doc_id, intent_id) is the key."""
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("pos", "item_pos", "n"))
-    return intents.withColumn("intent_id", F.concat(F.lit("intent_"), F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))))
+    return intents.withColumn("intent_id", _intent_id(F.row_number().over(W.partitionBy("doc_id").orderBy("pos", "item_pos", "n"))))
+
+
+def number_corpus_intents(intents: DataFrame) -> DataFrame:
+    """``intent_id`` counts from intent_0001 over all documents: by doc_id, pos, item_pos and n, comparisons behind all others.
+
+    Numbers come from counts of ranges of the rows and their prefix sums; no window holds all rows, nor those of one document.
+    """
+    order = [(F.col("pos") == 2**31 - 1).asc(), *(F.col(c).asc() for c in ("doc_id", "pos", "item_pos", "n"))]
+    return number_rows(intents, order, "intent_id").withColumn("intent_id", _intent_id(F.col("intent_id")))
 
 
 def attach_intent_ids(chunks: DataFrame, intents: DataFrame) -> DataFrame:
@@ -189,11 +202,11 @@ def attach_intent_ids(chunks: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 def generate_intents(
-    chunks: DataFrame, generate: hooks.Generate, items: bool = True, comparisons: bool = True, templates: Sequence[dict] = COMPARISONS, tasks: int | None = None
+    chunks: DataFrame, generate: hooks.Generate, items: bool = True, comparisons: bool = True, templates: Sequence[dict] = COMPARISONS, tasks: int | None = None, over_corpus: bool = False
 ) -> DataFrame:
     """Prompts, replies, parsing, checking, comparisons and ids in one table of intents.
 
-    Write the result before it is used more than once: each use calls ``generate`` again.
+    With ``over_corpus`` ids are unique among all documents. Write the result before it is used more than once: each use calls ``generate`` again.
     """
     asked = clause_intent_prompts(chunks)
     if items:
@@ -205,7 +218,7 @@ def generate_intents(
     found = validate_intents(parsed.withColumn("subitem_no", F.lit(None).cast("string")))
     if comparisons:
         found = found.unionByName(comparison_intents(chunks, templates))
-    return number_intents(found)
+    return number_corpus_intents(found) if over_corpus else number_intents(found)
 
 
 def intent_corpus_text(query: Column, excerpt: Column, conditions: Column, category: Column) -> Column:

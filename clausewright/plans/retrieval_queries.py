@@ -129,8 +129,8 @@ def letters_sql(*columns: str) -> str:
     return "[" + ", ".join(f"({count(x)})::DOUBLE" for x in "eat") + ", 1.0]"
 
 
-def retrieve_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against the clauses of all documents: each clause's heading is an intent that also refers to the clause itself."""
+def heading_intents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(intents with vectors, chunks) of all documents: each clause's heading is an intent that also refers to the clause itself."""
     chunks = Q.stored_statutes(spark, sf_dir)
     title, null, empty = F.col("clause.clause_title"), F.lit(None).cast("string"), F.array().cast("array<string>")
     first = F.try_element_at(F.col("clause.items"), F.lit(1))["item_no"]
@@ -140,12 +140,21 @@ def retrieve_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("category"), lexicon.label_all(title, lexicon.QUERY_TAGS).alias("semantic_tags"),
     )
     numbered = I.number_intents(made).withColumn("text", F.col("user_query"))
-    vectors = numbered.withColumn("embedding", hooks.encoder(letter_counts)(F.col("text")))
-    asked = R.prepare_queries(Q.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), letter_counts)
+    return numbered.withColumn("embedding", hooks.encoder(letter_counts)(F.col("text"))), chunks
+
+
+def ranked_clauses(asked: DataFrame, vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     _, clauses = R.retrieve(asked, vectors, chunks, encode=letter_counts)
     return clauses.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "source_type", "clause_id", "item_no", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def retrieve_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against the clauses of all documents; headings are encoded once, into a written table."""
+    vectors, chunks = heading_intents(spark, sf_dir)
+    asked = R.prepare_queries(Q.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), letter_counts)
+    return ranked_clauses(asked, tables.stored(vectors, "heading-intents"), chunks)
+
+
 RETRIEVE_CLAUSES = (
     Q._LINES
     + rf""",

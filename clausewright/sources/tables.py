@@ -103,6 +103,44 @@ def write_versioned(chunks: DataFrame, base: str, version: str, notes: str, date
     return chunks.sparkSession.read.json(f"{path}/metadata")
 
 
+def commit_version(base: str, version: str, frames: dict[str, DataFrame], **given: str) -> DataFrame:
+    """Write ``frames`` as one version under ``base`` that readers see whole or not at all; returns its manifest.
+
+    Each commit writes to a folder of its own. Its manifest, one row in one file, comes last and makes it the current one of its version;
+    what a broken commit has left is never read. Readers that have opened an earlier commit keep it, as nothing is overwritten.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    folder = f"data/{version}-{uuid.uuid4().hex}"
+    for name, frame in frames.items():
+        frame.write.parquet(f"{base}/{folder}/{name}")
+    counts = [spark.read.parquet(f"{base}/{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in frames]
+    rows = counts[0]
+    for c in counts[1:]:
+        rows = rows.unionByName(c)
+    counted = rows.agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("counts"))  # one row for each frame
+    named = {"version": version, "folder": folder, **given}
+    row = counted.withColumns({k: F.lit(v) for k, v in named.items()}).withColumn("committed_at", F.unix_micros(F.current_timestamp()))
+    row.coalesce(1).write.mode("append").json(f"{base}/manifests")
+    return current_version(spark, base, version)
+
+
+_MANIFEST = "version string, folder string, committed_at long, counts map<string,long>, date string, notes string, embedding_model string"
+
+
+def current_version(spark: SparkSession, base: str, version: str) -> DataFrame:
+    """The manifest of the last whole commit of a version; of two at the same time that with the larger folder name."""
+    rows = spark.read.schema(_MANIFEST).json(f"{base}/manifests").filter(F.col("version") == version)
+    return rows.orderBy(F.col("committed_at").desc(), F.col("folder").desc()).limit(1)
+
+
+def read_version(spark: SparkSession, base: str, version: str, name: str) -> DataFrame:
+    """A table of the last whole commit of a version."""
+    row = current_version(spark, base, version).first()
+    if row is None:
+        raise ValueError(f"no version {version} under {base}")
+    return spark.read.parquet(f"{base}/{row.folder}/{name}")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, text): one question per line, stripped, blank lines dropped, numbered from 0 in order of file names and lines.
 
