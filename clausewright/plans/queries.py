@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import lexicon
-from clausewright.operators import chat, outline, postings, search, stats
+from clausewright.operators import cells, chat, outline, postings, search, stats
 from clausewright.sources import tables
 
 # Latin stand-ins for the lexicons: the given tables hold no Han text.
@@ -156,6 +156,22 @@ def l2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, "l2", 3)
 
 
+def _in_cells(spark: SparkSession, sf_dir: str, metric: str, k: int) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set
+    found, _ = cells.search_cells(asked, cells.fit_cells(vectors, metric), k)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def dense_cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors by cosine, from cells that bounds don't rule out."""
+    return _in_cells(spark, sf_dir, "cosine", 5)
+
+
+def l2_cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_cells(spark, sf_dir, "l2", 3)
+
+
 def _dense_sql(score: str, order: str, k: int) -> str:
     return f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -187,7 +203,7 @@ FROM k WINDOW h AS (PARTITION BY conv_id, session ORDER BY seq ROWS BETWEEN 20 P
 
 QUERIES = {
     f.__name__: f
-    for f in (outline_counts, outline_clauses, document_labels, label_counts, language_shares, source_shares_top, bm25_search, bm25_block_search, bm25_block_reads, dense_search, l2_search, history)
+    for f in (outline_counts, outline_clauses, document_labels, label_counts, language_shares, source_shares_top, bm25_search, bm25_block_search, bm25_block_reads, dense_search, l2_search, dense_cell_search, l2_cell_search, history)
 }
 
 
@@ -205,5 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_block_search": BM25,
         "dense_search": _dense_sql("list_cosine_similarity(q.v, e.v)", "DESC", 5),
         "l2_search": _dense_sql("list_distance(q.v, e.v) ** 2", "ASC", 3),
+        "dense_cell_search": _dense_sql("list_cosine_similarity(q.v, e.v)", "DESC", 5),
+        "l2_cell_search": _dense_sql("list_distance(q.v, e.v) ** 2", "ASC", 3),
         "history": HISTORY,
     }

@@ -13,7 +13,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from clausewright.operators import chat, flat, intents as I, numbering, outline, postings, retrieve as R, search, stats
+from clausewright.functions import hooks
+from clausewright.operators import cells, chat, flat, intents as I, numbering, outline, postings, retrieve as R, search, stats
 from clausewright.plans import jobs, retrieval_queries
 from clausewright.sources import tables
 from clausewright.streaming import live
@@ -232,3 +233,125 @@ def test_a_written_index_keeps_texts_without_tokens_in_its_totals(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "doc_id long, text string")
     _, totals = search.bm25_counts(docs, "doc_id")
     assert tuple(totals.first()) == (3, pytest.approx(2 / 3))
+
+
+def test_rounds_know_the_answers_before_them(spark):
+    """Rounds in order of seq, sessions apart, failed rounds left out, 20 messages at most."""
+
+    def answer(messages):
+        if "fail" in messages[-1]["content"]:
+            raise ValueError("down")
+        return "|".join(m["content"] for m in messages[1:]), {"total_tokens": len(messages)}
+
+    rows = [(1, 0, n, f"q{n}", f"p{n}") for n in range(13)] + [(1, 1, 20, "new", "P")] + [(2, 0, 5, "last", "L"), (2, 0, 1, "first", "F"), (2, 0, 3, "bad", "fail"), (None, None, 1, "alone", "A")]
+    rounds = spark.createDataFrame(rows, "conv_id long, session long, seq long, query string, prompt string").repartition(3)
+    got = {(r.conv_id, r.seq): r for r in chat.answer_rounds(rounds, answer, "sys").collect()}
+    assert got[2, 1].content == "F" and got[2, 5].content == "first|F|L" and got[2, 3].content is None and got[2, 3].error == "down"
+    assert (got[2, 3].n_history, got[2, 3].conversation_length, got[2, 5].n_history, got[2, 5].conversation_length) == (2, 1, 2, 2)
+    assert got[1, 12].usage.total_tokens == 22 and got[1, 12].content.startswith("q2|") and got[1, 12].conversation_length == 10
+    assert got[1, 20].content == "P" and got[None, 1].content == "A" and len(got) == len(rows)
+    assert chat.answer_rounds(rounds.limit(0), answer, "sys").count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_rows_are_numbered_over_the_whole_table(spark, partitions):
+    rows = [(n % 7, n) for n in range(200)] + [(None, 1000), (3, 1001)] + [(5, 5)] * 60
+    made = spark.createDataFrame(rows, "a int, b int").repartition(4)
+    got = numbering.number_rows(made, [F.col("a").desc_nulls_last(), F.col("b").asc()], "n", partitions).collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)] == want and sorted(r.n for r in got) == list(range(1, len(rows) + 1))
+    assert numbering.number_rows(made.limit(0), [F.col("a")], "n").count() == 0
+
+
+def test_replies_are_kept_over_broken_runs(spark, tmp_path):
+    """A run that breaks in its second half has its first waves' replies; no prompt of theirs, and no prompt twice, is asked for again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def generate(messages):
+        said = messages[0]["content"]
+        (calls / f"{said}-{os.urandom(4).hex()}").touch()
+        if (tmp_path / "broken").exists() and len(list(calls.iterdir())) > 6:
+            os._exit(1)  # the worker dies
+        return "" if said == "odd" else said.upper(), {}
+
+    texts = [f"text{i}" for i in range(12)] + ["odd", "text3", "text3"]
+    rows = spark.createDataFrame([(i, [("user", t)]) for i, t in enumerate(texts)], "i int, messages array<struct<role:string,content:string>>").repartition(2)
+    asked = lambda: Counter(p.name.rpartition("-")[0] for p in calls.iterdir())
+    run = lambda: hooks.durable_replies(rows, generate, f"file://{tmp_path}/replies", accept=bool, waves=6)
+    (tmp_path / "broken").touch()
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        run()
+    kept = {r.content.lower() for r in spark.read.parquet(f"file://{tmp_path}/replies").collect()}
+    before = asked()
+    (tmp_path / "broken").unlink()
+    found = run()
+    got = {r.i: (r.content, r.error) for r in found.collect()}
+    assert got == {i: (t.upper(), None) if t != "odd" else (None, hooks.REFUSED) for i, t in enumerate(texts)}
+    assert kept and all(asked()[t] == before[t] for t in kept)
+    assert all(n - before[t] <= 1 for t, n in asked().items() if t != "odd") and asked()["odd"] - before["odd"] == 3
+    assert tuple(hooks.malformed(found).first()) == (len(texts), 1, 0)
+    again = asked()
+    assert {r.i: (r.content, r.error) for r in run().collect()} == got
+    assert {t: n - again[t] for t, n in asked().items() if n != again[t]} == {"odd": 3}  # only what was refused
+
+
+def test_versions_are_seen_whole_or_not_at_all(spark, tmp_path):
+    base, frame = f"file://{tmp_path}/base", lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    tables.commit_version(base, "1", {"a": frame(1, 2), "b": frame(3)}, notes="n")
+    opened = tables.read_version(spark, base, "1", "a")
+    broken = frame(7).withColumn("x", F.raise_error(F.lit("killed")).cast("int"))
+    with pytest.raises(Exception, match="killed"):
+        tables.commit_version(base, "1", {"a": frame(9), "b": broken})
+    assert sorted(r.x for r in tables.read_version(spark, base, "1", "a").collect()) == [1, 2]
+    row = tables.commit_version(base, "1", {"a": frame(4)}).first()
+    assert row.counts == {"a": 1} and [r.x for r in tables.read_version(spark, base, "1", "a").collect()] == [4]
+    assert sorted(r.x for r in opened.collect()) == [1, 2]  # who has opened the old one keeps it
+    with pytest.raises(ValueError, match="no version 2"):
+        tables.read_version(spark, base, "2", "a")
+
+
+def test_a_repeated_batch_answers_once(spark, tmp_path):
+    """The second run repeats the last batch, as after a failure between its output and its commit."""
+    (tmp_path / "q").mkdir()
+    seen = []
+
+    def retrieve(batch):
+        seen.append(sorted(r.query_id for r in batch.collect()))
+        return R.prepare_queries(batch, encode)
+
+    def run():
+        stream = spark.readStream.schema("query_id long, text string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/q")
+        live.stream_retrieve(stream, retrieve, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+
+    for n in range(2):
+        (tmp_path / "q" / f"{n}.json").write_text(json.dumps({"query_id": n, "text": "延誤"}))
+        run()
+    os.remove(tmp_path / "cp" / "commits" / "1")
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert seen == [[0], [1], [1]]
+    assert sorted(r.query_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1]
+
+
+@pytest.mark.parametrize(("metric", "n", "k", "block"), [("cosine", 8, 3, 4096), ("l2", 8, 3, 4096), ("cosine", 3, 40, 5), ("l2", 1, 2, 7), ("l2", 64, 300, 50)])
+def test_cell_search_equals_all_rows(spark, monkeypatch, metric, n, k, block):
+    """Ties, equal and zero and null vectors, cells of one hot vector, and cells that are cut into parts."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    groups = rng.normal(0, 8, (6, 5))
+    rows = [(i, [float(round(x, 2)) for x in groups[i % 6] + rng.normal(0, 0.5, 5)]) for i in range(150)]
+    rows += [(200 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(40)] + [(300, [0.0] * 5), (301, [0.0] * 5), (302, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = [(i, v) for i, v in rows if i % 20 == 0 or i in (302,)] + [(900, [50.0, -50.0, 0.0, 0.0, 1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    index = cells.fit_cells(vectors, metric, cells=n)
+    found, visits = cells.search_cells(queries, index, k)
+    shown = lambda df: {(r.query_id, r["rank"]): (r.vec_id, pytest.approx(r.score, abs=1e-7)) for r in df.collect()}
+    assert shown(found) == shown(search.block_topk(queries, vectors, k, metric))
+    read = {r.query_id: r for r in cells.rows_read(visits, index).collect()}
+    assert len(read) == len(asked) - 1 and all(r.n_rows <= r.n_rows_all == 192 for r in read.values())
+    if n == 8 and k == 3:
+        assert sum(r.n_rows for r in read.values()) < 0.7 * 192 * len(read)
+    assert cells.search_cells(queries.limit(0), index, k)[0].count() == 0
+    assert cells.search_cells(queries, cells.fit_cells(vectors.limit(0), metric, cells=n), k)[0].count() == 0
