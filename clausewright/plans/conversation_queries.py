@@ -10,9 +10,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.functions import hooks
+from clausewright.functions import hooks, segment
 from clausewright.operators import chat, intents as I, outline, retrieve as R
-from clausewright.plans import queries as Q, retrieval_queries as RQ
+from clausewright.plans import jobs, queries as Q, retrieval_queries as RQ
 from clausewright.sources import tables
 from clausewright.streaming import live
 
@@ -193,11 +193,55 @@ QUESTION_LINES = r"""
 SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark WHERE item_id % 5 <> 0 AND trim(text) <> ''
 """
 
-QUERIES = {f.__name__: f for f in (streamed_history, streamed_retrieval, conversation_answers, corpus_intent_ids, generated_intents, durable_replies, committed_version, question_lines)}
+def flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat chunks of dressed documents with vectors, written as a version and read back: chunks and letters of each document, with the manifest."""
+    base = tables.scratch(spark, "flat-index")
+    said = jobs.build_flat_index(RQ.one_chapter(spark, sf_dir), RQ.letter_counts, base, "1.0", "flat", "2026-01-01", "letters")
+    rows = jobs.read_flat_index(spark, base, "1.0").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("letters"))
+    return rows.crossJoin(F.broadcast(said.select("num_chunks", "version", "notes", "embedding_model")))  # one row of a manifest
+
+
+FLAT_INDEX = f"""
+WITH f AS ({RQ.FLAT_CHUNKS})
+SELECT doc_id, count(*) AS n_chunks, sum(list_sum({RQ.letters_sql("text")}))::DOUBLE AS letters, (SELECT count(*) FROM f) AS num_chunks, '1.0' AS version, 'flat' AS notes, 'letters' AS embedding_model
+FROM f GROUP BY doc_id
+"""
+
+
+def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on dressed documents: chunks, intents by the stand-in, and chunks that list their intents, read back from what was written."""
+    path = tables.scratch(spark, "built-index")
+    chunks, made = jobs.build_index(Q.statutes(spark, sf_dir), _intents, path)
+    chunks, made = jobs.build_index(Q.statutes(spark, sf_dir).limit(0), _intents, path)  # what is whole is not built again
+    own = F.size("clause.intent_ids") + F.aggregate("clause.items", F.lit(0), lambda n, i: n + F.size(i["intent_ids"]))
+    listed = chunks.groupBy("doc_id").agg(F.count("*").alias("n_clauses"), F.sum(own).alias("n_listed"))
+    return listed.join(made.groupBy("doc_id").agg(F.count("*").alias("n_intents")), "doc_id")
+
+
+BUILT_INDEX = (
+    Q._LINES
+    + f"""
+SELECT doc_id, count(*) FILTER (i % 4 = 0) AS n_clauses, 2 * count(*) AS n_listed, 2 * count(*) + {len(I.COMPARISONS)} AS n_intents FROM lines WHERE i % 2 = 0 GROUP BY doc_id
+"""
+)
+
+
+def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into words of the benchmark, wherever these stand within longer ones; how many tokens, and how many of them are words of the table."""
+    letters = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")
+    words = Q.table(spark, sf_dir, "benchmark").select(letters).groupBy("word").agg(F.count("*").alias("n"))
+    cut = segment.segmenter(words, runs=r"\p{L}+", others=r"\p{N}+")
+    rows = Q.table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(cut(F.lower(F.coalesce("text", F.lit(""))))).alias("pos", "word"))
+    known = rows.join(F.broadcast(words.limit(segment.MOST).select("word", F.lit(1).alias("known"))), "word", "left")  # the segmenter refuses larger tables
+    return known.groupBy("doc_id").agg(F.count("word").alias("n_tokens"), F.count("known").alias("n_known"))
+
+
+QUERIES = {f.__name__: f for f in (streamed_history, streamed_retrieval, conversation_answers, corpus_intent_ids, generated_intents, durable_replies, committed_version, question_lines, segmented_words, flat_index, built_index)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "streamed_history": Q.HISTORY, "streamed_retrieval": RQ.RETRIEVE_CLAUSES, "conversation_answers": CONVERSATION_ANSWERS, "corpus_intent_ids": CORPUS_INTENT_IDS,
         "generated_intents": GENERATED_INTENTS, "durable_replies": DURABLE_REPLIES, "committed_version": COMMITTED_VERSION, "question_lines": QUESTION_LINES,
+        "flat_index": FLAT_INDEX, "built_index": BUILT_INDEX,
     }

@@ -25,14 +25,19 @@ lines AS (SELECT doc_id, i, l[i + 1] AS line FROM clean, unnest(range(len(l))) A
 """
 
 
-def flat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dressed as one chapter: of three lines the first heads a clause, the second stands in it, the third is an item."""
 
     def dress(x, i):
         return F.when(i % 3 == 0, F.concat(F.lit("第一條 "), x)).when(i % 3 == 1, x).otherwise(F.concat(F.lit("一、"), x))
 
     dressed = F.concat(F.lit("第一章 部\n"), F.array_join(F.transform(_lines(), dress), "\n"))
-    rows = flat.flat_chunks(Q.table(spark, sf_dir, "documents").select("doc_id", dressed.alias("text")))
+    return Q.table(spark, sf_dir, "documents").select("doc_id", dressed.alias("text"))
+
+
+def flat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat chunks of documents dressed as one chapter."""
+    rows = flat.flat_chunks(one_chapter(spark, sf_dir))
     return rows.select("doc_id", F.col("clause_pos").cast("long").alias("pos"), F.col("clause.title").alias("title"), F.coalesce("item.no", F.lit("")).alias("item_no"), "text", "chunk_type")
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from clausewright.functions import hooks
+from clausewright.functions import hooks, segment
 from clausewright.operators import cells, chat, flat, intents as I, numbering, outline, postings, retrieve as R, search, stats
 from clausewright.plans import jobs, retrieval_queries
 from clausewright.sources import tables
@@ -100,7 +100,7 @@ def test_intents_end_to_end(spark, tmp_path):
 
 
 def test_a_failing_generator_keeps_its_rows(spark):
-    from clausewright.functions import hooks
+    from clausewright.functions import hooks, segment
 
     def broken(messages):
         raise ValueError("down")
@@ -355,3 +355,43 @@ def test_cell_search_equals_all_rows(spark, monkeypatch, metric, n, k, block):
         assert sum(r.n_rows for r in read.values()) < 0.7 * 192 * len(read)
     assert cells.search_cells(queries.limit(0), index, k)[0].count() == 0
     assert cells.search_cells(queries, cells.fit_cells(vectors.limit(0), metric, cells=n), k)[0].count() == 0
+
+
+def all_splits(run):
+    if not run:
+        yield []
+    for n in range(1, len(run) + 1):
+        for rest in all_splits(run[n:]):
+            yield [run[:n], *rest]
+
+
+def test_segmentation_equals_all_paths(spark):
+    """Every way to cut a run, unknown characters as words seen once; of equally probable ones the first words are longest."""
+    rng = np.random.default_rng(8)
+    letters = "甲乙丙丁"
+    for case in range(60):
+        counts = {"".join(rng.choice(list(letters[:3]), rng.integers(1, 4))): float(rng.integers(1, 6)) for _ in range(case % 9)}
+        words, total = segment.Words(counts), sum(counts.values()) or 1
+        unknown = -np.log(max(total, 2))
+
+        def score(path):
+            if any(len(w) > 1 and w not in counts for w in path):
+                return -np.inf
+            return sum(max(np.log(counts[w] / total), unknown) if len(w) == 1 and w in counts else np.log(counts[w] / total) if w in counts else unknown for w in path)
+
+        for _ in range(5):
+            run = "".join(rng.choice(list(letters), rng.integers(0, 8)))
+            paths = [(score(p), p) for p in all_splits(run)]
+            top = max(s for s, _ in paths)
+            assert words.split(run) == max((p for s, p in paths if s >= top - 1e-9), key=lambda p: [len(w) for w in p])
+    assert segment.Words({"甲" * 3: 1}).split("甲" * 50_000)[:2] == ["甲甲甲"] * 2
+
+
+def test_segmented_words_in_an_index(spark):
+    docs = spark.createDataFrame([(1, "旅遊延誤理賠 abc12"), (2, "延誤"), (3, None)], "doc_id long, text string")
+    table = spark.createDataFrame([("旅遊", 3), ("延誤", 2), ("延誤", 3), (None, 4), ("誤理", 1)], "word string, n long")
+    cut = segment.segmenter(table)
+    assert [r.t for r in docs.select("doc_id", cut(F.col("text")).alias("t")).orderBy("doc_id").collect()] == [["旅遊", "延誤", "理", "賠", "abc12"], ["延誤"], []]
+    asked = spark.createDataFrame([(1, "延誤")], "query_id long, text string")
+    index = postings.block_index(docs, "doc_id", cut)
+    assert {r.doc_id for r in postings.bm25_topk(asked, index, 5, tokens=cut).collect()} == {1, 2}
