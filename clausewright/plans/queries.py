@@ -43,7 +43,10 @@ def outline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = outline.generate_chunks(statutes(spark, sf_dir), details=False)
+    return clause_rows(outline.generate_chunks(statutes(spark, sf_dir), details=False))
+
+
+def clause_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.col("clause.clause_no").alias("clause_no"), F.col("clause.clause_title").alias("clause_title"), "chapter_no",
         F.size("clause.items").cast("long").alias("n_items"),

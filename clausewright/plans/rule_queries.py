@@ -12,7 +12,7 @@ from clausewright.functions import lexicon, text as T
 from clausewright.operators import intents as I, outline, retrieve as R, stats
 from clausewright.plans import queries as Q
 from clausewright.plans.retrieval_queries import LINES, _lines, letter_counts, letters_sql
-from clausewright.sources import tables
+from clausewright.sources import nested, tables
 
 #: Documents in a group that stands for one query.
 GROUP = 20
@@ -420,11 +420,19 @@ FROM clauses GROUP BY doc_id
 """
 )
 
+
+def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of dressed documents with all details written as nested JSON documents, read back by ranges, and their clauses."""
+    path, chunks = tables.scratch(spark, "nested"), outline.generate_chunks(Q.statutes(spark, sf_dir))
+    nested.write_nested(chunks, path, version="1.0")
+    return Q.clause_rows(nested.read_nested(spark, path, chunks.schema))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_texts, clause_labels, clause_references, question_plans, intent_prompts, parsed_replies, expanded_clauses, pair_reranking, cosine_reranking,
-        answer_contexts, numbered_intents, comparison_questions, intent_statistics, packed_pieces, stored_version, stored_answers, stored_index,
+        answer_contexts, numbered_intents, comparison_questions, intent_statistics, packed_pieces, stored_version, stored_answers, stored_index, nested_index,
     )
 }
 
@@ -435,4 +443,5 @@ def oracle_sql() -> dict[str, str]:
         "parsed_replies": PARSED_REPLIES, "expanded_clauses": EXPANDED_CLAUSES, "pair_reranking": PAIR_RERANKING, "cosine_reranking": COSINE_RERANKING,
         "answer_contexts": ANSWER_CONTEXTS, "numbered_intents": NUMBERED_INTENTS, "comparison_questions": COMPARISON_QUESTIONS, "intent_statistics": INTENT_STATISTICS,
         "packed_pieces": PACKED_PIECES, "stored_version": STORED_VERSION, "stored_answers": STORED_ANSWERS, "stored_index": STORED_INDEX,
+        "nested_index": Q.OUTLINE_CLAUSES,
     }

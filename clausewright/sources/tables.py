@@ -73,7 +73,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks_json(spark: SparkSession, path: str, name: str = "chunks") -> DataFrame:
-    """Rows of JSON documents that hold them in one array beside their metadata."""
+    """Rows of small JSON documents, each read by one task, that hold them in one array beside their metadata; ``nested`` reads large ones by ranges."""
     return spark.read.option("multiLine", True).json(path).select(F.explode(name).alias("r")).select("r.*")
 
 
