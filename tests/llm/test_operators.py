@@ -408,9 +408,9 @@ def test_suffix_index_levels():
 
 
 # 7
-@pytest.mark.parametrize("most", [decontamination.BROADCAST_WINDOWS, 0])  # 0: by shuffles
-def test_decontamination(spark, cases, empty, monkeypatch, most):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+@pytest.mark.parametrize("bound, most", [("BROADCAST_WINDOWS", decontamination.BROADCAST_WINDOWS), ("BROADCAST_WINDOWS", 0), ("BROADCAST_BYTES", 0)])  # 0: by shuffles
+def test_decontamination(spark, cases, empty, monkeypatch, bound, most):
+    monkeypatch.setattr(decontamination, bound, most)
     items = [("b", "one two three four five six seven eight nine ten eleven"), ("a", "Short ITEM"), ("c", "..."), ("d", None), ("e", "ONE two three four five six seven eight nine ten")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     rows = [(1, "x one two-three four five six seven eight nine ten eleven y"), (2, "a short item, short item"), (3, "one two three four five six seven eight nine"), (4, None), (5, " ".join(["w"] * 63 + items[0][1].split())), (None, "short item"), (None, "no item"), (2, "a short item, short item")]
@@ -419,6 +419,9 @@ def test_decontamination(spark, cases, empty, monkeypatch, most):
     got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in found if r.doc_id is not None}
     assert got == {1: (13, 11, ["b", "e"]), 2: (5, 4, ["a"]), 3: (9, 0, []), 4: (0, 0, []), 5: (74, 11, ["b", "e"])}
     assert decontamination.contamination(cases, bench).filter("contaminated").count() == 0
+    shared = spark.range(3000).selectExpr("cast(id as string) item_id", "if(id % 2 = 0, 'words that all share', 'words that odd ones share') text")
+    many = decontamination.contamination(spark.createDataFrame([(1, "the words that all share"), (2, "words that odd ones share"), (3, "words")], "doc_id long, text string"), shared)
+    assert {r.doc_id: (r.n_hit, r.items) for r in many.collect()} == {1: (4, sorted(map(str, range(0, 3000, 2)))), 2: (5, sorted(map(str, range(1, 3000, 2)))), 3: (0, [])}
     assert decontamination.contamination(empty, bench).count() == 0 and decontamination.contamination(cases, bench.limit(0)).filter("n_items > 0").count() == 0
 
 
