@@ -47,8 +47,9 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
     have similarity 0; ties go to the smaller key.
     """
     key_type = dict(intents.dtypes)[key]
+    query_type = search.key_type(queries, "query_id")
     names = ["query_id", key, "similarity_score", "bm25_score", "hybrid_score"]
-    schema = f"query_id long, {key} {key_type}, similarity_score double, bm25_score double, hybrid_score double"
+    schema = f"query_id {query_type}, {key} {key_type}, similarity_score double, bm25_score double, hybrid_score double"
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
@@ -77,7 +78,7 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
         if found:
             kept = search.best_rows(columns[0], columns[1], columns[4], most)
             columns = [c[kept] for c in columns]
-        types = [pa.int64(), rows.schema.field(key).type if key in rows.schema.names else pa.null(), *[pa.float64()] * 3]
+        types = [pa.string() if query_type == "string" else pa.int64(), rows.schema.field(key).type if key in rows.schema.names else pa.null(), *[pa.float64()] * 3]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     asked = queries.select("query_id", "text", "tags", "k_intents", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -89,7 +90,7 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
         hits = scores.withColumn("block", block).groupBy(key, "block").agg(F.collect_list(F.struct("query_id", "score")).alias("hits"))
         dealt = dealt.join(hits, [key, "block"], "left")
     else:
-        dealt = dealt.withColumn("hits", F.lit(None).cast("array<struct<query_id:bigint,score:double>>"))
+        dealt = dealt.withColumn("hits", F.lit(None).cast(f"array<struct<query_id:{query_type},score:double>>"))
     found = search.in_cells(asked.drop("text").withColumns({"block": block, "part": search.every(parts)}), dealt, run, schema)
     limits = queries.select("query_id", "k_intents")
     ranked = search.ranked(found, "query_id", key, "hybrid_score").join(limits, "query_id")
@@ -201,10 +202,10 @@ def top_intents(found: DataFrame) -> DataFrame:
 
 def retrieve_intents(queries: DataFrame, intents: DataFrame, use_bm25: bool = True) -> DataFrame:
     """Retrieved intents with their fields. ``intents`` need (doc_id, intent_id, text, semantic_tags, embedding) and the fields of an intent."""
-    keyed = intents.withColumn("key", F.struct("doc_id", "intent_id").cast("string"))
-    found = hybrid_search(queries, keyed, "key", use_bm25=use_bm25)
-    fields = ["key", "doc_id", "intent_id", "clause_id", "item_no", "subitem_no", "user_query", "category", "referenced_clauses"]
-    return found.join(keyed.select(*fields), "key").drop("key")
+    keyed = intents.withColumn("_intent", F.struct("doc_id", "intent_id").cast("string"))
+    found = hybrid_search(queries, keyed, "_intent", use_bm25=use_bm25)
+    fields = ["_intent", "doc_id", "intent_id", "clause_id", "item_no", "subitem_no", "user_query", "category", "referenced_clauses"]
+    return found.join(keyed.select(*fields), "_intent").drop("_intent")
 
 
 def retrieve(

@@ -136,6 +136,20 @@ def test_hybrid_equals_brute_force(spark, monkeypatch, use_bm25, block):
     assert got == want
 
 
+@pytest.mark.parametrize("use_bm25", [True, False])
+def test_text_keys_find_what_numbers_find(spark, use_bm25):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"w{i % 7} w{i % 3}", ["t"], rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(40)]
+    intents = spark.createDataFrame(rows, "intent_id long, text string, semantic_tags array<string>, embedding array<double>")
+    queries = intents.filter("intent_id % 4 = 1").selectExpr("intent_id AS query_id", "text", "array('t') AS tags", "4 AS k_intents", "embedding")
+    named = lambda df, key: df.withColumn(key, F.format_string("k%04d", F.col(key)))
+    number = lambda rows, key: sorted((int(str(r.query_id).strip("k")), r["rank"], int(str(r[key]).strip("k")), r[2]) for r in rows.collect())
+    texts = named(queries, "query_id"), named(intents, "intent_id")
+    assert number(R.hybrid_search(*texts, use_bm25=use_bm25), "intent_id") == number(R.hybrid_search(queries, intents, use_bm25=use_bm25), "intent_id")
+    for metric in ("cosine", "l2"):
+        assert number(search.block_topk(*texts, 3, metric, key="intent_id"), "intent_id") == number(search.block_topk(queries, intents, 3, metric, key="intent_id"), "intent_id")
+
+
 def test_expansion_and_context(spark):
     chunks = outline.generate_chunks(spark.createDataFrame([(1, TEXT)], "doc_id long, text string"))
     rows = [(1, 1, 1, "第一條_延誤", "一", "一", ["第二條_不保事項"]), (1, 2, 1, "第二條_不保事項", None, None, None)]
