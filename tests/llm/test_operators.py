@@ -528,17 +528,22 @@ def test_masked_lm(docs, cases, empty):
     assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
 
 
-def test_masked_lm_scores(spark):
-    """Sums by brute force; fluent texts are likelier than ones whose words are exchanged or out of order, and texts that occur twice than others."""
+@pytest.mark.parametrize("heavy", [1, 1 << 17, 1 << 20])  # no pair is heavy, some pairs but no word between them, and all of both
+def test_masked_lm_scores(spark, monkeypatch, heavy):
+    """Sums by brute force, words between frequent words too; fluent texts are likelier than ones whose words are exchanged or out of order, and texts that occur twice than others."""
+    monkeypatch.setattr(masked_lm, "HEAVY", heavy)
     rng = np.random.default_rng(4)
     made = [[f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("rin", "sin")][k::4] for k in range(4)]
     text = lambda: " ".join(w for k in rng.integers(0, 25, 12) for w in (made[0][k], made[1][k], made[2][k], made[3][k]))
     twice = "unique words that nobody else would ever put into such an order here"
     texts = [text() for _ in range(400)] + [twice, twice, "other single words which no one has written down before in this way", "", None, "one"]
+    texts += ["top1 inner top2"] * 5 + ["top1 other top2 last"] * 2
     rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
     common = " ".join(f"top{i}" for i in range(masked_lm.OWN))  # these words take all classes of their own
     corpus = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.range(250).select((F.col("id") + 5000).alias("doc_id"), F.lit(common).alias("text"))).repartition(3)
     model = masked_lm.train(corpus)
+    pairs, inner = map(len, model.heavy)
+    assert (pairs == inner == 0) if heavy == 1 else (pairs > inner) if heavy == 1 << 17 else (inner > pairs > 0)
 
     def parts(t):
         if not (t or "").split():
@@ -547,7 +552,7 @@ def test_masked_lm_scores(spark):
         kind, words = model.vocabulary.classes(block)[0].tolist(), t.split()
         rare = lambda i: 0 <= i < len(kind) and kind[i] >= masked_lm.OWN
         near = lambda i: words[i] if 0 <= i < len(words) else ""
-        return [(i, w, (near(i - 1), near(i + 1))) for i, w in enumerate(words) if rare(i) and (rare(i - 1) or rare(i + 1))]
+        return [(i, w, (near(i - 1), near(i + 1))) for i, w in enumerate(words) if rare(i)]
 
     single, context = Counter(), Counter()
     for t in texts:
