@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from clausewright.functions import hooks, lexicon
 from clausewright.operators import outline, search
 from clausewright.operators.intents import fill
+from clausewright.sources.tables import stored
 
 # Weights of the two scores, factor for queries whose tags an intent lacks, and labels of sources.
 W_DENSE, W_BM25, PENALTY = 0.85, 0.15, 0.5
@@ -41,8 +43,9 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
     """(query_id, key, similarity_score, bm25_score, hybrid_score, rank), exact over all pairs.
 
     ``queries`` are (query_id, text, tags, k_intents, embedding), ``intents`` (key, text, semantic_tags, embedding). Blocks of
-    queries meet parts of the intents. The sparse scores of a block are gathered on their intent, at most one per query of the
-    block, so that a cell computes both scores of a piece of intents at once and passes on its best rows only. A query with
+    queries meet parts of the intents. The sparse scores of a block are gathered by intent, at most one per query of the
+    block, and written; each query's largest is taken from there. They meet their intents in the cell, which computes both scores
+    of a piece of intents at once and passes on its best rows only. A query with
     tags halves the score of intents that share none. Negative scores need no special case. Null embeddings and zero vectors
     have similarity 0; ties go to the smaller key.
     """
@@ -54,22 +57,25 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if len(asked) and len(rows):
-            rows = rows.combine_chunks()
+            known = pc.is_valid(rows["hits"])
+            lists, rows = rows.filter(known).combine_chunks(), rows.filter(pc.invert(known)).combine_chunks()
+            own = pc.index_in(rows[key], value_set=lists[key])
             size = search.vector_size(asked["embedding"], rows["embedding"])
             ids, q = asked["query_id"].to_numpy(), search.unit(search.matrix(asked["embedding"], size))
             wanted = asked["tags"].to_pylist()
             vocabulary = {t: i for i, t in enumerate(sorted({t for tags in wanted for t in tags or ()}))}
             marks, most, by_id = _membership(wanted, vocabulary), max(asked["k_intents"].to_pylist()), np.argsort(ids)
-            tagged = marks.any(1)
+            tagged, top = marks.any(1), asked["top"].to_numpy()[:, None]
             for start in range(0, len(rows), search.PIECE):
                 piece = rows.slice(start, search.PIECE)
                 keys = piece[key].to_numpy()
                 dense, sparse = q @ search.unit(search.matrix(piece["embedding"], size)).T, np.zeros((len(ids), len(keys)))
-                hits = piece["hits"].combine_chunks()
+                hits = lists["hits"].take(own.slice(start, search.PIECE)).combine_chunks()
                 flat = hits.flatten()  # null lists have none
                 cols = np.repeat(np.arange(len(keys)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 at = by_id[np.searchsorted(ids[by_id], flat.field("query_id").to_numpy(zero_copy_only=False))]
                 sparse[at, cols] = flat.field("score").to_numpy(zero_copy_only=False)
+                sparse = np.divide(sparse, top, out=sparse, where=top > 0)
                 lacks = tagged[:, None] & (marks @ _membership(piece["semantic_tags"].to_pylist(), vocabulary).T == 0)
                 both = (w_dense * dense + (w_bm25 * sparse if use_bm25 else 0.0)) * np.where(lacks, PENALTY, 1.0)
                 at, cols, score = search.local_top(both, keys, most)
@@ -84,13 +90,17 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
     asked = queries.select("query_id", "text", "tags", "k_intents", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = intents.select(key, F.col("embedding").cast("array<double>").alias("embedding"), "semantic_tags")
     (block, blocks), (part, parts) = search.pieces(asked, ["query_id"]), search.pieces(rows, [key])
-    dealt = rows.withColumns({"part": part, "block": search.every(blocks)})
+    no_hits = F.lit(None).cast(f"array<struct<query_id:{query_type},score:double>>")
+    dealt = rows.withColumns({"part": part, "block": search.every(blocks), "hits": no_hits})
     if use_bm25:
-        scores = search.max_normalise(search.bm25_scores(asked, search.bm25_index(intents.select(key, "text"), key), key, "query_id"), "query_id")
-        hits = scores.withColumn("block", block).groupBy(key, "block").agg(F.collect_list(F.struct("query_id", "score")).alias("hits"))
-        dealt = dealt.join(hits, [key, "block"], "left")
+        scores = search.bm25_scores(asked, search.bm25_index(intents.select(key, "text"), key), key, "query_id", by_key=True)
+        pair = F.struct(F.col("query_id").cast(query_type).alias("query_id"), "score")
+        hits = stored(scores.groupBy(key, block.alias("block")).agg(F.collect_list(pair).alias("hits")), "bm25-hits")
+        top = hits.select(F.explode("hits").alias("h")).groupBy("h.query_id").agg(F.max("h.score").alias("top"))
+        asked = asked.join(top, "query_id", "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
+        dealt = dealt.unionByName(hits.withColumn("part", part), allowMissingColumns=True)
     else:
-        dealt = dealt.withColumn("hits", F.lit(None).cast(f"array<struct<query_id:{query_type},score:double>>"))
+        asked = asked.withColumn("top", F.lit(0.0))
     found = search.in_cells(asked.drop("text").withColumns({"block": block, "part": search.every(parts)}), dealt, run, schema)
     limits = queries.select("query_id", "k_intents")
     ranked = search.ranked(found, "query_id", key, "hybrid_score").join(limits, "query_id")
