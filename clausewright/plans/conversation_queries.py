@@ -226,6 +226,49 @@ SELECT doc_id, count(*) FILTER (i % 4 = 0) AS n_clauses, 2 * count(*) AS n_liste
 )
 
 
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of an index of dressed documents, as rows; an intent of each clause has its kind, tags and score from the clause's heading."""
+    chunks = Q.stored_statutes(spark, sf_dir)
+    title = F.col("clause.clause_title")
+    n, has = F.char_length(title), lambda x: title.contains(x)
+    made = chunks.select(
+        F.when(has("e"), F.lit(I.COMPARISON)).alias("query_type"), F.when(n % 7 > 0, F.concat(F.lit("length "), (n % 13).cast("string"))).alias("category"),
+        F.array_compact(F.array(*[F.when(has(x), F.lit(x)) for x in "aost"])).alias("semantic_tags"),
+        F.when(has("a"), 0.95).when(has("o"), 0.85).otherwise(0.5).alias("quality_score"), F.when(has("s"), F.lit("一")).alias("item_no"),
+    )
+    found = jobs.index_stats(chunks, made)
+
+    def rows(kind: str, *values: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values])
+        return found[kind].select(F.lit(kind).alias("statistic"), F.inline(pairs))
+
+    def counts(kind: str, label: str) -> DataFrame:
+        return found[kind].select(F.lit(kind).alias("statistic"), F.col(label).alias("name"), F.col("n").cast("double").alias("value"))
+
+    listed = rows("outline", "n_clauses", "n_items", "n_subitems").unionByName(rows("average", "avg_intents")).unionByName(rows("quality", "mean_score", "n_low", "n_high", "n_middle", "n_below"))
+    return listed.unionByName(counts("query_types", "query_type")).unionByName(counts("categories", "category")).unionByName(counts("tags", "label"))
+
+
+INDEX_STATISTICS = (
+    Q._LINES
+    + f""",
+t AS (
+  SELECT line, CASE WHEN contains(line, 'e') THEN '{I.COMPARISON}' ELSE '其他' END AS kind, CASE WHEN length(line) % 7 > 0 THEN 'length ' || length(line) % 13 ELSE '未分類' END AS category,
+    CASE WHEN contains(line, 'a') THEN 0.95::DOUBLE WHEN contains(line, 'o') THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS q, contains(line, 's') AS of_item
+  FROM lines WHERE i % 4 = 0),
+ten AS (SELECT category, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, category LIMIT 10)
+SELECT 'outline' AS statistic, unnest(['n_clauses', 'n_items', 'n_subitems']) AS name,
+  unnest([count(*) FILTER (i % 4 = 0), count(*) FILTER (i % 4 = 2), count(*) FILTER (i % 4 = 3)])::DOUBLE AS value FROM lines
+UNION ALL SELECT 'average', 'avg_intents', 1.0::DOUBLE
+UNION ALL SELECT 'quality', unnest(['mean_score', 'n_low', 'n_high', 'n_middle', 'n_below']),
+  unnest([round(avg(q), 9), count(*) FILTER (q < 0.8 AND NOT of_item), count(*) FILTER (q > 0.9), count(*) FILTER (q BETWEEN 0.8 AND 0.9), count(*) FILTER (q < 0.8)]) FROM t
+UNION ALL SELECT 'query_types', kind, count(*)::DOUBLE FROM t GROUP BY kind
+UNION ALL SELECT 'categories', category, n::DOUBLE FROM ten
+UNION ALL SELECT 'tags', x, count(*)::DOUBLE FROM t, unnest(['a', 'o', 's', 't']) AS l(x) WHERE contains(line, x) GROUP BY x
+"""
+)
+
+
 def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into words of the benchmark, wherever these stand within longer ones; how many tokens, and how many of them are words of the table."""
     letters = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")
@@ -236,12 +279,12 @@ def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.count("word").alias("n_tokens"), F.count("known").alias("n_known"))
 
 
-QUERIES = {f.__name__: f for f in (streamed_history, streamed_retrieval, conversation_answers, corpus_intent_ids, generated_intents, durable_replies, committed_version, question_lines, segmented_words, flat_index, built_index)}
+QUERIES = {f.__name__: f for f in (streamed_history, streamed_retrieval, conversation_answers, corpus_intent_ids, generated_intents, durable_replies, committed_version, question_lines, segmented_words, flat_index, built_index, index_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "streamed_history": Q.HISTORY, "streamed_retrieval": RQ.RETRIEVE_CLAUSES, "conversation_answers": CONVERSATION_ANSWERS, "corpus_intent_ids": CORPUS_INTENT_IDS,
         "generated_intents": GENERATED_INTENTS, "durable_replies": DURABLE_REPLIES, "committed_version": COMMITTED_VERSION, "question_lines": QUESTION_LINES,
-        "flat_index": FLAT_INDEX, "built_index": BUILT_INDEX,
+        "flat_index": FLAT_INDEX, "built_index": BUILT_INDEX, "index_statistics": INDEX_STATISTICS,
     }
