@@ -528,6 +528,34 @@ def test_masked_lm(docs, cases, empty):
     assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
 
 
+def test_masked_lm_learns_every_window(spark, monkeypatch):
+    """Each window of each document trains the network, in any number of tasks; those whose hash is small are predicted no better than the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4, "doc_id")
+    words, total = masked_lm.frequent_words(docs)
+    vocabulary, want = masked_lm.Vocabulary(words), np.zeros((5, masked_lm.CLASSES), np.int64)
+    parts = [[], []]
+    for k, block in enumerate(_shared.blocks(__import__("pyarrow").array([r.text for r in docs.select("text").collect()]), masked_lm._lower)):
+        kind, *_, bounds = vocabulary.classes(block)
+        windows = np.stack([kind, *(masked_lm.around(kind, bounds, place, masked_lm.EDGE) for place in masked_lm.PLACES)])
+        for row, n in zip(windows, want, strict=True):
+            n += np.bincount(row, minlength=masked_lm.CLASSES)
+        cell = windows[0]
+        for row in windows[1:]:
+            cell = cell * masked_lm.CLASSES + row
+        small = _shared.mix(cell.view(np.uint64)) <= np.uint64(int((1 << 19) / total * 2.0**64))
+        if k % 4 == 0:
+            for held, at in zip(parts, (small, ~small), strict=True):
+                held.append(windows[:, at])
+    assert total > 4_000_000 and want[0].sum() == total
+    network = masked_lm.train(docs).network
+    small, others = (network.log_probabilities(w[1:], w[0]).mean() for w in (np.concatenate(held, axis=1) for held in parts))
+    assert others > -5 and small < others + 0.3, (small, others)
+    monkeypatch.setattr(masked_lm, "TASK_WINDOWS", 1 << 20)
+    first = masked_lm.WindowNetwork()
+    moved, seen = masked_lm.learned(docs, vocabulary, first, total)
+    assert np.array_equal(seen, want) and np.array_equal((moved.embedding != first.embedding).any(axis=2), want[1:] > 0)
+
+
 @pytest.mark.parametrize("heavy", [1, 1 << 17, 1 << 20])  # no pair is heavy, some pairs but no word between them, and all of both
 def test_masked_lm_scores(spark, monkeypatch, heavy):
     """Sums by brute force, words between frequent words too; fluent texts are likelier than ones whose words are exchanged or out of order, and texts that occur twice than others."""
