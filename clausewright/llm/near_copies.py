@@ -1,8 +1,9 @@
 """Classes of near copies at an exact Jaccard similarity, for the pipeline's near-duplicate stage (on operator 3's fingerprints).
 
 Two texts are linked where their sets of ``width``-word shingles (words split and lower-cased as in operator 3; fewer words are one shingle) have a Jaccard
-similarity of ``least`` or more. At 0.8 about ten of SimHash's 64 bits differ, up to eighteen by chance, which deletion variants can't index. So candidates
-come from ``BANDS`` bands of ``ROWS`` minima each: two texts at 0.8 share one with a probability of 0.99. Within a band's bucket a SimHash distance of
+similarity of ``least`` or more. Candidates come from operator 3's index: texts whose fingerprints differ in ``NEAR`` bits at most meet under a deletion variant
+of a segment. At 0.8 about ten of the 64 bits differ, up to eighteen by chance, which deletion variants can't index. So more candidates
+come from ``BANDS`` bands of ``ROWS`` minima each: two texts at 0.8 share one with a probability of 0.99. Within a bucket of either a SimHash distance of
 ``FAR`` bits at most and the share of equal minima rule out most pairs, and the sets of shingle hashes (32 bits each) decide every link. A
 bucket reports a spanning forest of its links, so copies never become all their pairs.
 
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from clausewright.llm._shared import IS_SPACE, LOWER_AZ, Block, blocks, materialise, mix, spans, word_hashes
 from clausewright.llm.components import connected_components
-from clausewright.llm.simhash import block_fingerprints
+from clausewright.llm.simhash import block_fingerprints, near_keys
 
 BANDS, ROWS = 12, 5
+#: Bits of a fingerprint in which texts differ at most that the index of deletion variants brings together.
+NEAR = 7
 #: Bits of a fingerprint in which texts at the similarity may differ, and the share of equal minima that they have at least; both three deviations off the mean.
 FAR, ALIKE = 19, 0.63
 #: Texts of a bucket that meet in one task, twice this number at most; a larger bucket is dealt as pairs of blocks.
@@ -103,7 +106,7 @@ def _gram_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 class _Bucket:
-    """The texts of a bucket, or of two of its blocks: links that connect what is similar enough, by union-find."""
+    """The texts of a bucket, or of two of its blocks: links that connect what is similar enough, by their classes."""
 
     def __init__(self, rows: list[dict], least: float):
         self.least = least
@@ -121,16 +124,10 @@ class _Bucket:
         return both >= self.least * (len(a) + len(b) - both) - 1e-9
 
     def links(self) -> list[tuple[int, int]]:
-        up = list(range(len(self.fp)))
-
-        def find(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
+        label = np.arange(len(self.fp))  # the class of each text
         out, apart = [], len(np.unique(self.own)) > 1  # two blocks are compared with each other only
-        for i in range(len(up) - 1):
-            j = np.arange(i + 1, len(up))
+        for i in range(len(label) - 1):
+            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
             ok = np.bitwise_count(self.fp[j] ^ self.fp[i]) <= FAR
             ok &= np.minimum(self.size[j], self.size[i]) >= self.least * np.maximum(self.size[j], self.size[i])
             if apart:
@@ -139,17 +136,25 @@ class _Bucket:
             alike = (self.minima[j] == self.minima[i]).mean(axis=1)
             j = j[alike >= ALIKE]
             for k in j[np.argsort(-alike[alike >= ALIKE], kind="stable")].tolist():
-                a, b = find(i), find(k)
-                if a != b and self._similar(i, k):
-                    up[max(a, b)] = min(a, b)
+                if label[i] != label[k] and self._similar(i, k):
+                    label[label == label[k]] = label[i]
                     out.append((i, k))
         return out
 
 
+def index_keys(texts: DataFrame) -> DataFrame:
+    """(node, key): the keys of SimHash's index under which a text meets another one at NEAR bits or fewer, or with the same fingerprint."""
+    long = texts.filter("n > 1").select("node", "fp")  # one shingle is similar to itself alone
+    distinct = materialise(long.groupBy("fp").agg(F.count("*").alias("m")), "near-fingerprints")
+    near = materialise(near_keys(distinct, NEAR), "near-simhash")
+    equal = distinct.filter("m > 1").select(F.xxhash64("fp").alias("key"), "fp")
+    return materialise(near.unionByName(equal).join(long, "fp").select("node", "key"), "near-keys")
+
+
 def similar_links(docs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b) nodes that connect what the links at ``least`` connect. ``texts`` are the different word sequences: node, rep, fp, minima, bands."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.filter("n > 1").select("node", F.explode("bands").alias("key"))  # one shingle is similar to itself alone
+    keyed = texts.filter("n > 1").select("node", F.explode("bands").alias("key")).unionByName(index_keys(texts))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "near-buckets")
     live = materialise(keyed.join(shared, "key"), "near-live")
     chosen = live.select("node").distinct().join(texts, "node").select("node", "fp", "minima", F.col("rep.doc_id").alias("d"), F.col("rep.mark").alias("k"))

@@ -188,8 +188,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[moved], nodes[label[moved]]
 
 
-def _bucket_links(group: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int):
-    """Links among rows of the same group; rows are sorted by group."""
+def _bucket_pairs(group: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int):
+    """Linked rows of the same group, each pair under one key only; rows are sorted by group."""
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
     left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(group)) - 1  # rows behind this one in its group
     rows, gap, found = np.flatnonzero(left > 0), 1, []
@@ -203,17 +203,35 @@ def _bucket_links(group: np.ndarray, key: np.ndarray, fp: np.ndarray, distance:
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    a, b = _forest(a, b) if len(a) else (a, b)
-    return fp[a], fp[b]
+    return a, b
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b) of fingerprints that connect exactly what links at ``distance`` or fewer bits connect.
+    """(a, b) of fingerprints that connect exactly what links at ``distance`` or fewer bits connect; a group reports a spanning forest of its links."""
+
+    def forest(key: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray):
+        a, b = _forest(a, b) if len(a) else (a, b)
+        return fp[a], fp[b]
+
+    return _in_buckets(distinct, distance, forest, "a", "b")
+
+
+def near_keys(distinct: DataFrame, distance: int = 4) -> DataFrame:
+    """(key, fp): under which index keys a fingerprint meets another one at ``distance`` or fewer bits; any two such fingerprints share one of these keys."""
+
+    def meeting(key: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray):
+        rows = np.unique(np.concatenate([a, b]))
+        return key[rows], fp[rows]
+
+    return _in_buckets(distinct, distance, meeting, "key", "fp")
+
+
+def _in_buckets(distinct: DataFrame, distance: int, report, *names: str) -> DataFrame:
+    """What ``report`` makes of each group's keys, fingerprints and linked rows, once.
 
     Rows of an index bucket meet in one task only up to 2 * BUCKET of them; a larger bucket is cut into
     blocks, and each pair of blocks is a group by itself. A bucket of more than DEEP blocks is first keyed
     again by the bits outside its segment, so that a fingerprint isn't sent once for each of very many blocks.
-    A group reports a spanning forest of its links.
     """
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.select("fp").repartition(n, F.xxhash64("fp"))  # each row becomes 64; by fp the rows would stay in the few tasks that grouped them
@@ -241,8 +259,9 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         def links(rows):
             *group, fp = rows
             change = np.any([np.diff(c) != 0 for c in group], axis=0)
-            a, b = _bucket_links(np.concatenate([[0], np.cumsum(change)]), group[0], fp.view(np.uint64), distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            key, fp = group[0], fp.view(np.uint64)
+            found = report(key, fp, *_bucket_pairs(np.concatenate([[0], np.cumsum(change)]), key, fp, distance))
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=list(names))
 
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -259,7 +278,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             yield links(rest)
 
     parts = dealt.repartition("key", "sub", "lo", "hi").sortWithinPartitions("key", "sub", "lo", "hi")
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return parts.mapInArrow(run, ", ".join(f"{x} long" for x in names)).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, least: int = 1) -> DataFrame:

@@ -867,6 +867,35 @@ def test_near_copies_equal_all_pairs(spark, docs, cases, bucket, monkeypatch):
         assert want[r.rep] == want[r.doc_id]
 
 
+@pytest.mark.parametrize("bucket", [1024, 4])
+def test_near_copies_come_from_the_simhash_index(spark, docs, bucket, monkeypatch):
+    """All pairs of fingerprints at seven bits or fewer share a key, and with them alone all similar pairs that close are linked."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    rows = [(r.doc_id, r.text) for r in docs.limit(300).collect()]
+    for n in (60, 300):
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        for k in range(40):
+            words = base.copy()
+            for at in rng.choice(n, k % 4, replace=False):
+                words[at] = f"v{rng.integers(0, 10**6)}"
+            rows.append((10_000 + len(rows), " ".join(words)))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = near_copies.sketches(made).groupBy("node").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "fp"))).cache()
+    known, keys = {bytes(r.node): r for r in texts.filter("n > 1").collect()}, {}
+    for r in near_copies.index_keys(texts).collect():
+        keys.setdefault(bytes(r.node), set()).add(r.key)
+    close = [(a, b) for a in known for b in known if a < b and ((known[a].fp ^ known[b].fp) & (2**64 - 1)).bit_count() <= near_copies.NEAR]
+    assert len(close) > 20 and set(keys) == {x for pair in close for x in pair} and all(keys[a] & keys[b] for a, b in close)
+    # Without bands the index still brings together what is similar enough.
+    alone = near_copies.sketches(made).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "minima", "bands")))
+    alone = _shared.materialise(alone.withColumn("bands", F.array().cast("array<long>")), "alone")
+    roots = {bytes(r.node): bytes(r.root) for r in components.connected_components(near_copies.similar_links(made, alone, 5, 0.8)).collect()}
+    sets = {n: frozenset(plain_shingles(t)) for n, t in ((n, dict(rows)[known[n].doc_id]) for n in known)}
+    similar = [(a, b) for a, b in close if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(similar) > 10 and all(roots.get(a) == roots.get(b) is not None for a, b in similar)
+
+
 def test_near_copies_recall_on_all_documents(spark):
     """Pairs of differing texts at 0.8 or more, by an index of all shingles but those of very many texts."""
     from collections import defaultdict
