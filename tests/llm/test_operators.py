@@ -556,6 +556,83 @@ def test_masked_lm_learns_every_window(spark, monkeypatch):
     assert np.array_equal(seen, want) and np.array_equal((moved.embedding != first.embedding).any(axis=2), want[1:] > 0)
 
 
+def test_masked_lm_counts_by_small_tasks(docs, monkeypatch):
+    """A task of few texts passes on one row for each partition that sums them, and only what is heavy among all tokens is returned; none of it is missing."""
+    monkeypatch.setattr(masked_lm, "HEAVY", 1 << 11)
+    words, total = masked_lm.frequent_words(docs, 20)
+    vocabulary, want = masked_lm.Vocabulary(words), Counter()
+    texts = __import__("pyarrow").array([r.text for r in docs.select("text").collect()])
+    for block in _shared.blocks(texts, masked_lm._lower):
+        kind, hashes, _, _, bounds = vocabulary.classes(block)
+        want.update((4, c) for c in kind[kind >= masked_lm.OWN].tolist())
+        for number, keys in enumerate(masked_lm.between(kind, hashes, bounds)[2:], 2):
+            want.update((number, c) for c in keys.view(np.int64).tolist())
+    got = {(r.kind, r.cell): r.n for r in masked_lm.window_counts(docs.repartition(40), vocabulary, 0.0, heavy=total).filter("kind > 1").collect()}
+    heavy = {k for k, n in want.items() if k[0] < 4 and n * masked_lm.HEAVY >= 2 * total}
+    assert heavy and heavy <= got.keys() and all(n <= want[k] for k, n in got.items())
+    assert all(n * masked_lm.HEAVY >= total if k[0] < 4 else n == want[k] for k, n in got.items()) and sum(n for k, n in got.items() if k[0] == 4) == sum(n for k, n in want.items() if k[0] == 4)
+    sent = masked_lm._window_counts(iter([__import__("pyarrow").RecordBatch.from_arrays([texts.slice(0, 5)], names=["text"])]), vocabulary, 0.0, True, 7)
+    assert sum(batch.num_rows for batch in sent) <= 7
+
+
+def test_masked_lm_learns_as_a_plain_network():
+    """A batch moves the network as gradients of a plain one would, with safe and with large logits; words are found by their first bits; and rows are summed faster than place by place."""
+    import time
+
+    rng = np.random.default_rng(6)
+    windows = np.minimum(rng.zipf(1.2, (5, 5000)) - 1, masked_lm.EDGE).astype(np.int16)
+    for scale in (1, 400):
+        network = masked_lm.WindowNetwork()
+        network.group *= scale
+        plain = {k: v.astype(np.float64) for k, v in vars(network).items()}
+        h = np.tanh(plain["bias"] + sum(plain["embedding"][k][windows[k + 1]] for k in range(4)))
+        group, own = np.divmod(windows[0], masked_lm.SIDE)
+        soft = lambda z: np.exp(z - z.max(axis=1, keepdims=True)) / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+        outer, inner = soft(h @ plain["group"] + plain["group_bias"]), soft(np.einsum("nh,nhs->ns", h, plain["member"][group]) + plain["member_bias"][group])
+        log = np.log(np.maximum(outer[np.arange(5000), group], 1e-300)) + np.log(inner[np.arange(5000), own])
+        assert np.allclose(network.log_probabilities(windows[1:], windows[0]), log, rtol=1e-3, atol=1e-3)
+        outer[np.arange(5000), group] -= 1
+        inner[np.arange(5000), own] -= 1
+        back = (outer @ plain["group"].T + np.einsum("ns,nhs->nh", inner, plain["member"][group])) * (1 - h * h)
+        gradient = {k: np.zeros_like(v) for k, v in plain.items()}
+        gradient["group"], gradient["group_bias"], gradient["bias"] = h.T @ outer, outer.sum(0), back.sum(0)
+        np.add.at(gradient["member_bias"], group, inner)
+        np.add.at(gradient["member"], group, h[:, :, None] * inner[:, None, :])
+        for k in range(4):
+            np.add.at(gradient["embedding"][k], windows[k + 1], back)
+        # Large squares held before make a step proportional to its gradient.
+        network.learn(windows, {k: np.ones_like(v) for k, v in vars(network).items()}, np.random.default_rng(1))
+        for k, v in vars(network).items():
+            g = gradient[k] / 5000
+            assert np.allclose(v, plain[k] - masked_lm.RATE * g / np.sqrt(1 + g * g), atol=2e-6 * scale), k
+    for n in (1, 3, 3584):
+        words = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        vocabulary = masked_lm.Vocabulary(words.view(np.int64).tolist())
+        sought = np.concatenate([words, words + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert np.array_equal(vocabulary.hashes[vocabulary.find(sought)] == sought, np.isin(sought, words))
+    for keys, n in ((np.zeros(400, np.int16), 100), (np.arange(4, dtype=np.int16), 1), (rng.zipf(1.3, 32768).clip(max=16000).astype(np.int16), 8192)):
+        values = rng.normal(size=(n, masked_lm.HIDDEN)).astype(np.float32)
+        want = np.zeros((keys.max() + 1, masked_lm.HIDDEN))
+        np.add.at(want, keys, np.tile(values.astype(np.float64), (len(keys) // n, 1)))
+        seen, sums = masked_lm.row_sums(keys, values)
+        assert np.array_equal(seen, np.unique(keys)) and np.allclose(sums, want[seen], atol=2e-3)
+
+    def by_place():
+        for x in np.split(keys, 4):
+            order = np.argsort(x, kind="stable")
+            np.add.reduceat(values.take(order, axis=0), np.flatnonzero(masked_lm._changes(x[order])))
+
+    def least(f):
+        times = []
+        for _ in range(15):
+            at = time.process_time()
+            f()
+            times.append(time.process_time() - at)
+        return min(times)
+
+    assert least(lambda: masked_lm.row_sums(keys, values)) < 0.8 * least(by_place)
+
+
 @pytest.mark.parametrize("heavy", [1, 1 << 17, 1 << 20])  # no pair is heavy, some pairs but no word between them, and all of both
 def test_masked_lm_scores(spark, monkeypatch, heavy):
     """Sums by brute force, words between frequent words too; fluent texts are likelier than ones whose words are exchanged or out of order, and texts that occur twice than others."""
