@@ -109,10 +109,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark item the ten best documents by max-normalised BM25."""
-    asked = _items(spark, sf_dir)
-    scores = search.bm25_scores(asked, search.bm25_index(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "query_id")
-    rounded = search.max_normalise(tables.stored(scores, "bm25-scores"), "query_id").withColumn("score", F.round("score", 6))
-    return search.top_k(rounded, "query_id", "doc_id", 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    found = search.bm25_best(_items(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:

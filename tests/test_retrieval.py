@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import hooks, segment
 from clausewright.operators import cells, chat, flat, intents as I, numbering, outline, postings, retrieve as R, search, stats
-from clausewright.plans import jobs, retrieval_queries
+from clausewright.plans import jobs, queries, retrieval_queries
 from clausewright.sources import tables
 from clausewright.streaming import live
 
@@ -409,3 +409,31 @@ def test_segmented_words_in_an_index(spark):
     asked = spark.createDataFrame([(1, "延誤")], "query_id long, text string")
     index = postings.block_index(docs, "doc_id", cut)
     assert {r.doc_id for r in postings.bm25_topk(asked, index, 5, tokens=cut).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize(("block", "k"), [(4096, 3), (2, 2), (1, 50)])
+def test_best_search_equals_all_pairs(spark, monkeypatch, block, k):
+    """Several blocks of queries, equal texts, rows that share a key or have none, terms of nearly all texts, texts and queries without terms."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    docs = [(i, " ".join([*rng.choice(["of", "the", "and"], 5), *rng.choice([f"rare{i}" for i in range(20)], 2)])) for i in range(50)]
+    docs += [(60 + i, docs[3][1]) for i in range(6)] + [(70, ""), (71, None), (None, "rare1 of"), (80, "rare1 the"), (80, "rare1 rare2"), (80, ""), (None, "rare3")]
+    asked = [(1, "the rare1 rare2 rare1"), (2, "of of the"), (3, ""), (4, None), (5, "unknown"), (6, docs[3][1]), (7, "rare3 rare1 unknown")]
+    queries, corpus = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    pairs = search.bm25_scores(queries, search.bm25_index(corpus, "doc_id"), "doc_id", "query_id")
+    want = search.top_k(search.max_normalise(pairs, "query_id").withColumn("score", F.round("score", 6)), "query_id", "doc_id", k)
+    rows = lambda found: {(r.query_id, r["rank"]): (r.doc_id, pytest.approx(r.score, abs=2e-6)) for r in found.collect()}
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in search.bm25_best(queries, corpus, "doc_id", k).collect()}
+    assert got == rows(want) and len(got) > k
+
+
+def test_best_search_writes_no_pairs(spark, monkeypatch):
+    written, keep = {}, tables.stored
+    for module in (search, tables):
+        monkeypatch.setattr(module, "stored", lambda df, label: written.setdefault(label, keep(df, label)))
+    found = queries.bm25_search(spark, "/root/testdata/sf0.01")
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").count()
+    asked = found.select("query_id").distinct().count()
+    assert found.count() == 10 * asked
+    assert all(t.count() < docs * asked / 3 for t in written.values() if "query_id" in t.columns)
+    assert all("doc_id" not in t.columns or "term" not in t.columns for t in written.values())
