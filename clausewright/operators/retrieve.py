@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,9 +45,8 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
     """(query_id, key, similarity_score, bm25_score, hybrid_score, rank), exact over all pairs.
 
     ``queries`` are (query_id, text, tags, k_intents, embedding), ``intents`` (key, text, semantic_tags, embedding). Blocks of
-    queries meet parts of the intents. The sparse scores of a block are gathered by intent, at most one per query of the
-    block, and written; each query's largest is taken from there. They meet their intents in the cell, which computes both scores
-    of a piece of intents at once and passes on its best rows only. A query with
+    queries meet parts of the intents, twice: first each cell finds its queries' largest sparse scores, then it computes both scores
+    of a piece of intents at once and passes on its best rows only. So no score of a pair is shuffled or written. A query with
     tags halves the score of intents that share none. Negative scores need no special case. Null embeddings and zero vectors
     have similarity 0; ties go to the smaller key.
     """
@@ -53,29 +54,43 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
     query_type = search.key_type(queries, "query_id")
     names = ["query_id", key, "similarity_score", "bm25_score", "hybrid_score"]
     schema = f"query_id {query_type}, {key} {key_type}, similarity_score double, bm25_score double, hybrid_score double"
+    id_type = pa.string() if query_type == "string" else pa.int64()
+
+    def weights(asked: pa.Table) -> search.Weights:
+        lists = asked["words"].combine_chunks()
+        place, flat = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten()  # null lists have none
+        return search.Weights(place, flat.field("term"), flat.field("factor").to_numpy(zero_copy_only=False), asked["avgdl"][0].as_py() or 1.0, len(lists))
+
+    def largest(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        top = np.full(len(asked), -np.inf)
+        if len(asked):
+            own = weights(asked)
+            for start in range(0, len(rows), own.step):
+                _, at, score = own.hits(rows.slice(start, own.step))
+                np.maximum.at(top, at, score)
+        seen = np.isfinite(top)
+        return pa.table({"query_id": asked["query_id"].filter(pa.array(seen)).cast(id_type) if len(asked) else pa.array([], id_type), "top": top[seen]})
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if len(asked) and len(rows):
-            known = pc.is_valid(rows["hits"])
-            lists, rows = rows.filter(known).combine_chunks(), rows.filter(pc.invert(known)).combine_chunks()
-            own = pc.index_in(rows[key], value_set=lists[key])
+            rows = rows.combine_chunks()
             size = search.vector_size(asked["embedding"], rows["embedding"])
             ids, q = asked["query_id"].to_numpy(), search.unit(search.matrix(asked["embedding"], size))
             wanted = asked["tags"].to_pylist()
             vocabulary = {t: i for i, t in enumerate(sorted({t for tags in wanted for t in tags or ()}))}
-            marks, most, by_id = _membership(wanted, vocabulary), max(asked["k_intents"].to_pylist()), np.argsort(ids)
+            marks, most = _membership(wanted, vocabulary), max(asked["k_intents"].to_pylist())
             tagged, top = marks.any(1), asked["top"].to_numpy()[:, None]
-            for start in range(0, len(rows), search.PIECE):
-                piece = rows.slice(start, search.PIECE)
+            own = weights(asked) if use_bm25 else None
+            step = own.step if own else search.PIECE
+            for start in range(0, len(rows), step):
+                piece = rows.slice(start, step)
                 keys = piece[key].to_numpy()
                 dense, sparse = q @ search.unit(search.matrix(piece["embedding"], size)).T, np.zeros((len(ids), len(keys)))
-                hits = lists["hits"].take(own.slice(start, search.PIECE)).combine_chunks()
-                flat = hits.flatten()  # null lists have none
-                cols = np.repeat(np.arange(len(keys)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                at = by_id[np.searchsorted(ids[by_id], flat.field("query_id").to_numpy(zero_copy_only=False))]
-                sparse[at, cols] = flat.field("score").to_numpy(zero_copy_only=False)
-                sparse = np.divide(sparse, top, out=sparse, where=top > 0)
+                if own:
+                    cols, at, score = own.hits(piece)
+                    sparse[at, cols] = score
+                    sparse = np.divide(sparse, top, out=sparse, where=top > 0)
                 lacks = tagged[:, None] & (marks @ _membership(piece["semantic_tags"].to_pylist(), vocabulary).T == 0)
                 both = (w_dense * dense + (w_bm25 * sparse if use_bm25 else 0.0)) * np.where(lacks, PENALTY, 1.0)
                 at, cols, score = search.local_top(both, keys, most)
@@ -84,24 +99,26 @@ def hybrid_search(queries: DataFrame, intents: DataFrame, key: str = "intent_id"
         if found:
             kept = search.best_rows(columns[0], columns[1], columns[4], most)
             columns = [c[kept] for c in columns]
-        types = [pa.string() if query_type == "string" else pa.int64(), rows.schema.field(key).type if key in rows.schema.names else pa.null(), *[pa.float64()] * 3]
+        types = [id_type, rows.schema.field(key).type if key in rows.schema.names else pa.null(), *[pa.float64()] * 3]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     asked = queries.select("query_id", "text", "tags", "k_intents", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = intents.select(key, F.col("embedding").cast("array<double>").alias("embedding"), "semantic_tags")
+    rows = intents.select(key, "text", F.col("embedding").cast("array<double>").alias("embedding"), "semantic_tags")
     (block, blocks), (part, parts) = search.pieces(asked, ["query_id"]), search.pieces(rows, [key])
-    no_hits = F.lit(None).cast(f"array<struct<query_id:{query_type},score:double>>")
-    dealt = rows.withColumns({"part": part, "block": search.every(blocks), "hits": no_hits})
+    dealt = {"part": part, "block": search.every(blocks)}
     if use_bm25:
-        scores = search.bm25_scores(asked, search.bm25_index(intents.select(key, "text"), key), key, "query_id", by_key=True)
-        pair = F.struct(F.col("query_id").cast(query_type).alias("query_id"), "score")
-        hits = stored(scores.groupBy(key, block.alias("block")).agg(F.collect_list(pair).alias("hits")), "bm25-hits")
-        top = hits.select(F.explode("hits").alias("h")).groupBy("h.query_id").agg(F.max("h.score").alias("top"))
-        asked = asked.join(top, "query_id", "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
-        dealt = dealt.unionByName(hits.withColumn("part", part), allowMissingColumns=True)
+        words = search.bm25_words(rows, key)
+        of_terms = search.bm25_asked(asked, words, "query_id")
+        listed = of_terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "factor"))).alias("words"))
+        average = of_terms.agg(F.max("avgdl").alias("avgdl"))
+        asked = asked.join(listed, "query_id", "left").crossJoin(F.broadcast(average))  # one row
+        sides = asked.select("query_id", "words", "avgdl", block.alias("block"), search.every(parts).alias("part")), words.select(key, "dl", "t", "counts").withColumns(dealt)
+        tops = stored(search.in_cells(*sides, largest, f"query_id {query_type}, top double"), "bm25-tops").groupBy("query_id").agg(F.max("top").alias("top"))
+        asked = asked.join(tops, "query_id", "left").withColumn("top", F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)))
+        rows = search.bm25_words(rows, key, kept=("embedding", "semantic_tags")).drop("n", "total")
     else:
-        asked = asked.withColumn("top", F.lit(0.0))
-    found = search.in_cells(asked.drop("text").withColumns({"block": block, "part": search.every(parts)}), dealt, run, schema)
+        asked, rows = asked.withColumn("top", F.lit(0.0)), rows.drop("text")
+    found = search.in_cells(asked.drop("text").withColumns({"block": block, "part": search.every(parts)}), rows.withColumns(dealt), run, schema)
     limits = queries.select("query_id", "k_intents")
     ranked = search.ranked(found, "query_id", key, "hybrid_score").join(limits, "query_id")
     return ranked.filter(F.col("rank") <= F.col("k_intents")).drop("k_intents")
@@ -219,11 +236,17 @@ def retrieve_intents(queries: DataFrame, intents: DataFrame, use_bm25: bool = Tr
 
 
 def retrieve(
-    queries: DataFrame, intents: DataFrame, chunks: DataFrame, encode: hooks.Encode | None = None, score: hooks.ScorePairs | None = None, use_bm25: bool = True, match_on: str = "clause_id"
+    queries: DataFrame, intents: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], encode: hooks.Encode | None = None, score: hooks.ScorePairs | None = None, use_bm25: bool = True, match_on: str = "clause_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """(retrieved intents, ranked clauses) of prepared queries; clauses are reranked by ``encode`` if given, else by ``score``."""
-    found = retrieve_intents(queries, intents, use_bm25)
-    candidates = expand_intents(found, chunks, match_on)
+    """(retrieved intents, ranked clauses) of prepared queries; clauses are reranked by ``encode`` if given, else by ``score``.
+
+    Retrieved intents are written, and so are the chunks of their documents, which alone are expanded. Instead of a table, ``chunks`` may be what makes the chunks of
+    the documents it is given (doc_id).
+    """
+    found = stored(retrieve_intents(queries, intents, use_bm25), "found-intents")
+    ids = found.select("doc_id").distinct()
+    own = stored(chunks.join(ids, "doc_id", "left_semi") if isinstance(chunks, DataFrame) else chunks(ids), "found-chunks")
+    candidates = expand_intents(found, own, match_on)
     return found, rerank_cosine(candidates, queries, encode) if encode else rerank_pairs(candidates, queries, score)
 
 

@@ -437,3 +437,17 @@ def test_best_search_writes_no_pairs(spark, monkeypatch):
     assert found.count() == 10 * asked
     assert all(t.count() < docs * asked / 3 for t in written.values() if "query_id" in t.columns)
     assert all("doc_id" not in t.columns or "term" not in t.columns for t in written.values())
+
+
+def test_retrieval_writes_no_pairs_and_few_chunks(spark, monkeypatch):
+    """Sparse scores meet their intents in the cell, and only the chunks of found documents are made with their details."""
+    written, keep = {}, tables.stored
+    for module in (search, tables, R):
+        monkeypatch.setattr(module, "stored", lambda df, label: written.setdefault(label, keep(df, label)))
+    whole = queries.stored_statutes
+    monkeypatch.setattr(queries, "stored_statutes", lambda *a: written.setdefault("statutes", whole(*a)))
+    assert retrieval_queries.retrieve_clauses(spark, "/root/testdata/sf0.001").count() > 0
+    found = {r.doc_id for r in written["found-intents"].select("doc_id").collect()}
+    assert {r.doc_id for r in written["found-chunks"].select("doc_id").collect()} == found
+    assert "statutes" not in written and "bm25-hits" not in written and "clause" not in written["heading-intents"].columns
+    assert all("term" not in t.columns or not {"_intent", "intent_id"} & set(t.columns) for t in written.values())
