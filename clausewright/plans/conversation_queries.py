@@ -41,7 +41,6 @@ def streamed_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that arrive as a stream in two micro-batches, each through the whole retrieval against the written index."""
     path = tables.scratch(spark, "streamed-retrieval")
     vectors, chunks = RQ.heading_intents(spark, sf_dir)
-    vectors = tables.stored(vectors, "heading-intents")
     asked = Q.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     asked.filter("query_id % 2 = 0").coalesce(1).write.parquet(f"{path}/in/part=0")
     asked.filter("query_id % 2 <> 0").coalesce(1).write.parquet(f"{path}/in/part=1")
